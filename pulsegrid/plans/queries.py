@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import keep_apart, local_maxima
-from ..operators import activity, bandpass, baseline, features, graphs, kinetics, sampling, scalar, spatial
+from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial
+from .analysis import analyse, batch
 from .recording import GRID, pack, packed, signals, unpack
 
 FRAMES, WIDTH, DURATION, FPS = GRID.frames, GRID.width, GRID.duration, GRID.fps
@@ -212,6 +215,73 @@ def orc02(spark, d):
     return _rounded(sampling.batch_columns(named), *kinetics.KINETICS)
 
 
+def _active(spark, d):
+    s = signals(spark, d)
+    p = pack(s)
+    mask = activity.activity_mask(activity.pulsatility(s))
+    return p, mask, p.join(mask.where("active").select(*PIXEL), PIXEL)
+
+
+def clu01(spark, d):
+    _, p, mask, beats = _base(spark, d)
+    told = features.features(p, bandpass.bandpass(p, FPS), mask, beats, FRAMES, DURATION)
+    return scalar.label_map(mask, clustering.cluster_features(told, features.FEATURES))
+
+
+def clu02(spark, d):
+    _, p, mask, beats = _base(spark, d)
+    told = features.features(p, bandpass.bandpass(p, FPS), mask, beats, FRAMES, DURATION)
+    return scalar.label_map(mask, clustering.cluster_features(told, features.FEATURES, "k-means"))
+
+
+def gra03(spark, d):
+    _, mask, active = _active(spark, d)
+    return scalar.label_map(mask, clustering.cluster_graph(active, graphs.correlation_graph(active, WIDTH)))
+
+
+def gra04(spark, d):
+    _, mask, active = _active(spark, d)
+    return scalar.label_map(mask, clustering.cluster_graph(active, graphs.correlation_graph(active, WIDTH), "spectral"))
+
+
+def gra05(spark, d):
+    _, mask, active = _active(spark, d)
+    return scalar.label_map(mask, clustering.cluster_graph(active, graphs.correlation_graph(active, WIDTH), "density"))
+
+
+def nn03(spark, d):
+    """Forward loss of rows 2i and 2i + 1 as partners, within blocks of 64 vectors."""
+    v = vectors(spark, d).select(F.col("pixel_id").alias("i"), "embedding")
+    v = v.where(F.col("i") < v.count() // 2 * 2).withColumn("block", F.floor(F.col("i") / 64))
+
+    def run(pdf):
+        z = np.stack([np.asarray(e, float) for e in pdf.sort_values("i")["embedding"]])
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "loss": [encoder.contrastive_loss(z[::2], z[1::2])[0]]})
+
+    return _rounded(v.select("block", "i", "embedding").groupBy("block").applyInPandas(run, "block long, loss double"), "loss")
+
+
+def nn04(spark, d):
+    _, _, active = _active(spark, d)
+    return encoder.train_encoders(active, epochs=20).select("recording_id", "first_loss", "last_loss")
+
+
+def nn05(spark, d):
+    _, mask, active = _active(spark, d)
+    edges = graphs.cosine_graph(encoder.embed(active, encoder.train_encoders(active, epochs=20)), WIDTH)
+    return scalar.label_map(mask, clustering.cluster_graph(active, edges))
+
+
+def orc01(spark, d):
+    """The whole analysis: labels of every pixel by each method."""
+    return analyse(signals(spark, d), GRID, epochs=20).labels
+
+
+def orc02_sampled(spark, d):
+    return batch(signals(spark, d, by_type=True), GRID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prj01_normalise": prj01, "prj04_coordinates": prj04, "prj06_sanitise": prj06, "prj08_centre_l2": prj08, "prj09_zscore": prj09, "prj10_standardise": prj10,
     "stn01_blur": stn01, "stn02_block_mean": stn02, "win01_envelope": win01, "win02_exponential_baseline": win02, "win03_boundary_baseline": win03, "win04_above_minimum": win04,
@@ -220,4 +290,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg07_synchronicity": agg07, "agg08_cluster_score": agg08, "agg09_single_transient": agg09, "agg10_beat_averaged": agg10, "agg11_decay_tau": agg11,
     "gra01_correlation_graph": gra01, "gra02_cosine_graph": gra02, "joi05_label_map": joi05, "smp01_heaviest": smp01, "smp02_weighted_sample": smp02,
     "snk04_metrics_sheet": snk04, "snk05_traces_sheet": snk05, "orc02_batch": orc02,
+    "clu01_density_clusters": clu01, "clu02_k_means": clu02, "gra03_communities": gra03, "gra04_spectral": gra04, "gra05_density_graph": gra05,
+    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled,
 }
