@@ -6,12 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalar import centre_l2, coordinates
 from .spatial import neighbours
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_lag(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     """Largest sum of products of two signals shifted by up to ``most`` frames, for batches of signals of one length by Fourier transform."""
     out = np.zeros(len(a))

@@ -137,9 +137,19 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder; Spark's readers pass over folders whose names begin with an underscore."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, rows = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        status = found.next()
+        rows.append((status.getPath().toString(), status.getLen()))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
 def companions(spark: SparkSession, folder: str) -> DataFrame:
     """(recording_id, path, length): for each ``_<stem>_`` folder below ``folder`` its largest frame file, of equals the first path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    files = listing(spark, folder)
     found = files.where(F.lower("path").endswith(".ets")).withColumn("recording_id", F.regexp_extract("path", r"/_([^/]*)_/", 1)).where("recording_id <> ''")
     best = F.min(F.struct((-F.col("length")).alias("minus"), "path")).alias("best")
     return found.groupBy("recording_id").agg(best).select("recording_id", F.col("best.path").alias("path"), (-F.col("best.minus")).alias("length"))
