@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -49,6 +50,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished stages, which otherwise wait for the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal rows out by ``key`` where the input is a few large files.
 

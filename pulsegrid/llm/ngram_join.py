@@ -12,7 +12,7 @@ set, so copies are never paired. Similar classes are found exactly:
    boxes first.
 3. *Verification.* Surviving pairs are compared by their whole sets.
 
-First every class is compared with the smallest class of each of its cells, and the links found are merged into components;
+First every class is compared with the middle class of each of its cells, the one that shares most cells with others, and the links found are merged into components;
 then only pairs of different components remain to be searched in the cells, which loses no link between components.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; texts with fewer than five words
@@ -29,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, read_table
+from .common import chunks, discard, materialize, read_table, release
 from .components import components
 from .wordhash import Words, shingles
 
-WIDTH, GROUPS, SKETCH_BITS, CHUNK = 5, 32, 20, 512
+WIDTH, GROUPS, SKETCH_BITS, CHUNK = 5, 256, 20, 512
+FULL = 255  # a coordinate of so many stands for as many or more
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity from which two documents link, 0.8
 
 
@@ -47,8 +48,14 @@ def sets_of(texts: list[str]) -> list[np.ndarray]:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set; a count over 65535 stands for 65535 or more."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype("<u2")
+    """Group counts of a set."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL).astype(np.uint8)
+
+
+def most_overlap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima; two full coordinates bound nothing."""
+    out = np.minimum(p, q).sum(-1, dtype=np.int64)
+    return np.where(((p == FULL) & (q == FULL)).any(-1), 1 << 40, out)
 
 
 def least_overlap(sizes: np.ndarray | int) -> np.ndarray | int:
@@ -66,7 +73,7 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, fan: int = 32):
         self.order = np.lexsort((*points.T, sizes))
-        self.points, self.sizes, self.fan = points[self.order].astype(np.int64), sizes[self.order], fan
+        self.points, self.sizes, self.fan = points[self.order], sizes[self.order], fan
         self.levels = []
         high, low = self.points, self.sizes
         while len(high) > fan:
@@ -83,14 +90,23 @@ class RTree:
             else:
                 at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
                 at = at[at < len(high)]
-            # a coordinate of 65535 stands for more, so it bounds nothing
-            bound = np.where((high[at] == 65535) & (p == 65535), 1 << 40, np.minimum(high[at], p)).sum(1)
-            at = at[bound >= least_overlap(low[at] + size)]
+            at = at[most_overlap(high[at], p) >= least_overlap(low[at] + size)]
             if not len(at):
                 break
         return self.order[at]
 
 
+def pairs_in(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of numbers, one of ``left`` and one of ``right``, that the bound lets through; a few points are a tree of one box."""
+    if len(left) * len(right) <= 2500:
+        through = most_overlap(points[left][:, None], points[right][None]) >= least_overlap(sizes[left][:, None] + sizes[right][None])
+        i, j = np.nonzero(through)
+        return left[i], right[j]
+    tree = RTree(points[right], sizes[right])
+    found = [right[tree.search(points[i], sizes[i])] for i in left]
+    return np.repeat(left, [len(f) for f in found]), np.concatenate(found)
+
+
 def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Per document doc_id, class, n_shingles, point; and the sketch: counts of shingles by the upper bits of their hash."""
 
@@ -168,41 +184,58 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
                 # a repeated id may belong to another class
                 yield pd.DataFrame([(c, s) for c, s in rows if set_hash(s.view(np.uint64)) == c], columns=["class", "shingles"])
 
-    sets = docs.select("doc_id", "text").join(needed, "doc_id").select("class", "text").mapInPandas(run, "class long, shingles array<long>").dropDuplicates(["class"])
+    sets = docs.select("doc_id", "text").join(needed, "doc_id").select("class", "text").mapInPandas(run, "class long, shingles array<long>")
     sets = materialize(sets, "sets")
     one, two = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
     n = F.size(F.array_intersect("sa", "sb"))
-    return both.where(DENOMINATOR * n >= NUMERATOR * (F.size("sa") + F.size("sb") - n)).select("a", "b")
+    return both.where(DENOMINATOR * n >= NUMERATOR * (F.size("sa") + F.size("sb") - n)).select("a", "b").distinct()
 
 
 def bounded_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of one cell, of different components, that the count vectors let through.
 
     ``members`` has cell, class, component, n_shingles, point. A cell of more than CHUNK members is searched chunk against chunk,
-    so a task holds two chunks at a time.
+    so a group has two chunks at most. Groups are dealt out by their key and met one after the other in the batches of a task.
     """
     sized = members.join(members.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "cell")
     own = sized.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = own.select("*", other).withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, of, n = pdf["class"].to_numpy(), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
-        chunk, same = pdf["chunk"].to_numpy(), pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        points = np.stack([np.frombuffer(p, "<u2") for p in pdf["point"]]).astype(np.int64)
-        left = np.arange(len(pdf)) if same else np.flatnonzero(chunk == pdf["x"].iloc[0])
-        right = left if same else np.flatnonzero(chunk == pdf["y"].iloc[0])
-        out = []
-        if len(left) and len(right):
-            tree = RTree(points[right], n[right])
-            for i in left:
-                hit = right[tree.search(points[i], n[i])]
-                hit = hit[of[hit] != of[i]]
-                out += [(min(names[i], names[j]), max(names[i], names[j])) for j in hit if not same or j > i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.select("cell", "x", "y", "chunk", "class", "component", "n_shingles", "point").groupBy("cell", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    key = ["cell", "x", "y"]
+    dealt = own.select("*", other).withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other")).select(*key, "chunk", "class", "component", "n_shingles", "point")
+
+    def group(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        names, of, n, chunk = (pdf[c].to_numpy() for c in ("class", "component", "n_shingles", "chunk"))
+        points = np.frombuffer(b"".join(pdf["point"]), np.uint8).reshape(-1, GROUPS)
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        left = np.flatnonzero(chunk == x)
+        i, j = pairs_in(points, n, left, left if x == y else np.flatnonzero(chunk == y))
+        keep = (of[i] != of[j]) & ((x != y) | (i < j))
+        a, b = names[i[keep]], names[j[keep]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            change = np.flatnonzero((pdf[key].to_numpy()[1:] != pdf[key].to_numpy()[:-1]).any(1)) + 1
+            cuts = [0, *change]
+            found = [group(pdf.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rest = pdf.iloc[cuts[-1] :]
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
+        if rest is not None and len(rest):
+            a, b = group(rest)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long").distinct()
+
+
+def one_cell_of_each(crowded: DataFrame) -> DataFrame:
+    """(cell, class) of cells of three members or more; of cells with the same members one, as a shared passage makes many of them."""
+    larger = crowded.where("members > 2").select("cell", "class")
+    told = larger.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
+    return larger.join(told.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell"), "cell", "left_semi")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -211,8 +244,15 @@ def join(docs: DataFrame) -> DataFrame:
     # one row for each class of the corpus; a hot class is summed up before it moves
     classes = materialize(told.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "classes")
     in_cells = cells(docs, sketch)
-    shared = in_cells.groupBy("cell").agg(F.min("class").alias("first"), F.count("*").alias("members")).where("members > 1")
-    crowded = materialize(in_cells.join(shared, "cell").select("cell", "class", "first", "members"), "cells")
+    shared = in_cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialize(in_cells.join(shared, "cell").select("cell", "class", "members"), "cells")
+    release(docs.sparkSession)
+    # the class that meets most others stands in the middle of a cell: an original rather than one of its changed copies
+    weight = met.groupBy("class").agg(F.sum("members").alias("weight"))
+    middle = met.join(weight, "class").groupBy("cell").agg(F.max_by("class", F.struct("weight", "class")).alias("first"))
+    crowded = materialize(met.join(middle, "cell"), "cells")
+    discard(met)
+    release(docs.sparkSession)
 
     def sizes(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and points leave similarity possible."""
@@ -223,21 +263,21 @@ def join(docs: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                pa_, pb = (np.frombuffer(b"".join(pdf[c]), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("pa", "pb"))
-                most = np.where((pa_ == 65535) & (pb == 65535), 1 << 40, np.minimum(pa_, pb)).sum(1)
-                yield pdf.loc[most >= least_overlap((pdf["na"] + pdf["nb"]).to_numpy()), ["a", "b"]]
+                pa_, pb = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, GROUPS) for c in ("pa", "pb"))
+                yield pdf.loc[most_overlap(pa_, pb) >= least_overlap((pdf["na"] + pdf["nb"]).to_numpy()), ["a", "b"]]
 
-    star = crowded.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
+    star = crowded.where("class <> first").select(F.least("first", "class").alias("a"), F.greatest("first", "class").alias("b")).distinct()
     star = materialize(sizes(star).select("a", "b", "na", "nb", "pa", "pb").mapInPandas(bound, "a long, b long"), "pairs")
     links = materialize(verified(star, docs, classes), "links")
     joined = components(links)
-    # cells of three or more whose members still belong to different components
-    member = crowded.where("members > 2").select("cell", "class").join(joined.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # in cells of three or more, those whose members still belong to different components
+    release(docs.sparkSession)
+    member = one_cell_of_each(crowded).join(joined.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_cells = member.groupBy("cell").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("cell")
     member = member.join(open_cells, "cell").join(classes.select("class", "n_shingles", "point"), "class")
     rest = materialize(bounded_pairs(member).join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionAll(verified(rest, docs, classes))
+        links = links.unionAll(materialize(verified(rest, docs, classes), "links"))
         joined = components(links)
     of_class = joined.select(F.col("id").alias("class"), F.col("component"))
     # the smallest document of a component names it
