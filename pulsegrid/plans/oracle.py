@@ -196,3 +196,7 @@ both_ AS (SELECT recording_id, pixel_id, """ + ", ".join(KIN) + " FROM averaged
 q AS (SELECT a.vec_id, ln(sum(exp(list_inner_product(a.z, b.z) / 0.5))) - max(CASE WHEN b.vec_id // 2 = a.vec_id // 2 THEN list_inner_product(a.z, b.z) / 0.5 END) AS loss FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id // 64 = b.vec_id // 64 GROUP BY a.vec_id)
 SELECT vec_id // 64 AS block, round(avg(loss), 6) AS loss FROM q GROUP BY ALL""",
 }
+
+# a zero has no sign in a result
+for _name, _columns in {"prj08_centre_l2": ["v"], "prj09_zscore": ["v"], "prj10_standardise": ["puls", "range"], "win03_boundary_baseline": ["v"]}.items():
+    SQL[_name] = "SELECT * REPLACE (" + ", ".join(f"{c} + CAST(0 AS DOUBLE) AS {c}" for c in _columns) + f") FROM ({SQL[_name]})"
