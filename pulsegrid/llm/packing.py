@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end: int = 1,
         encode = encoder(vocabulary).encode
         for pdf in batches:
             ids, rows = iter(pdf["doc_id"]), []
-            for texts in chunks(pdf["text"]):
+            for texts in chunks(pdf["text"], 1 << 22):
                 for data in encode(texts):
                     data, doc = data + last, next(ids)
                     for k, a in enumerate(range(0, len(data), 4 * capacity)):
@@ -114,24 +114,30 @@ class Bins:
             return True
         return False
 
-    def search(self) -> None:
-        """Drain the emptiest bins into the other underfull ones until nothing gains or the lower bound is reached."""
+    def search(self, partners: int = 64, steps: int = 3000) -> None:
+        """Drain the emptiest bins into the fullest underfull ones until nothing gains, the lower bound or the last of ``steps`` is reached.
+
+        Every exchange increases the sum of squared fills, so the search can't go round in circles; ``partners`` and ``steps`` bound its time.
+        """
         least = -(-int(self.lengths.sum()) // self.capacity)
         alive = sum(1 for f in self.fill if f)
         stuck: set[int] = set()
-        while alive > least:
+        for _ in range(steps):
+            if alive <= least:
+                return
             under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
             a = next((b for b in under if b not in stuck), None)
             if a is None:
                 return
             gained = False
-            for b in reversed(under):
+            for b in under[: -partners - 1 : -1]:
                 while b != a and self.fill[a] and self.fill[b] >= self.fill[a] and self._improve(a, b):
                     gained = True
             if not self.fill[a]:
                 alive -= 1
+            if gained:
                 stuck.clear()
-            elif not gained:
+            else:
                 stuck.add(a)
 
 

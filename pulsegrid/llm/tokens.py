@@ -26,18 +26,22 @@ class Cache:
     def learn(self, units: set[str], ids) -> None:
         if len(self.new) > self.keep:
             self.old, self.new = self.new, {}
-        others = units - self.new.keys()
-        again = others & self.old.keys()
-        self.new.update((u, self.old[u]) for u in again)
-        missing = list(others - again)
+        missing = []
+        new, old = self.new, self.old
+        for u in [u for u in units if u not in new]:
+            known = old.get(u)
+            if known is None:
+                missing.append(u)
+            else:
+                new[u] = known
         if missing:
-            self.new.update(zip(missing, ids(missing), strict=True))
+            new.update(zip(missing, ids(missing), strict=True))
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers. ``keep`` bounds a generation of units that a worker remembers."""
 
-    def __init__(self, name: str, keep: int = 250_000):
+    def __init__(self, name: str, keep: int = 400_000):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.rest, self.first = Cache(keep), Cache(keep // 10)
