@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, read_table, spread
+from .common import chunks, read_table, smallest, spread
 from .wordhash import Words, windows
 
 # The statistics that trees may use, with the sign of the constraint on each.
@@ -159,7 +159,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 80,
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384) -> Forest | float:
     """Trees from ``labels`` (doc_id, quality 0 or 1); a constant score where they have one class only."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
+    chosen = smallest(known, max_labelled, "doc_id", "quality")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

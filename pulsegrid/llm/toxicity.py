@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, fold, materialize, read_table, spread
+from .common import chunks, discard, fold, materialize, read_table, smallest, spread
 from .wordhash import Words
 
 # What a sign may stand for in disguised words.
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384, bits: in
     spark = docs.sparkSession
     model = log_model(trigram_counts(docs))
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
+    chosen = smallest(known, max_labelled, "doc_id", "toxic")
     # bounded: max_labelled ids
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition("doc_id").select("text", "toxic"), "toxic")
     shared = spark.sparkContext.broadcast(model)
