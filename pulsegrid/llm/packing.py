@@ -96,13 +96,17 @@ class Bins:
     def _improve(self, a: int, b: int) -> bool:
         """The best move or exchange that carries tokens from the emptier bin ``a`` to ``b``."""
         size = self.lengths
-        mine, theirs = sorted(self.items[a], key=lambda i: -size[i]), sorted(self.items[b], key=lambda i: -size[i])
+        theirs = sorted(self.items[b], key=lambda i: -size[i])
         best, room = (0, [], []), self.capacity - self.fill[b]
         sizes = [int(size[i]) for i in reversed(theirs)]
-        pairs = [(int(size[i] + size[j]), [i, j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-        for n, give in [(0, [])] + [(int(size[i]), [i]) for i in mine] + pairs:
-            if not give:
-                continue
+        # pieces of one length are alike, and a bin has few lengths
+        mine: dict[int, list[int]] = {}
+        for i in self.items[a]:
+            mine.setdefault(int(size[i]), []).append(i)
+        lengths = sorted(mine, reverse=True)
+        pairs = [(n + m, [mine[n][0], mine[m][0]]) for k, n in enumerate(lengths) for m in lengths[k + 1 :]]
+        pairs += [(2 * n, mine[n][:2]) for n in lengths if len(mine[n]) > 1]
+        for n, give in [(n, mine[n][:1]) for n in lengths] + pairs:
             if len(give) == 1 and n <= room and n > best[0]:
                 best = (n, give, [])
             # the smallest piece to take back that makes the exchange fit
@@ -142,11 +146,11 @@ class Bins:
 
 
 def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 16_384) -> DataFrame:
-    """``parts`` with ``sequence_id`` and ``offset``; needs doc_id, piece, start, length of which no length exceeds ``capacity``."""
+    """``parts``, a written table, with ``sequence_id`` and ``offset``; needs doc_id, piece, start, length of which no length exceeds ``capacity``."""
     groups = max(1, -(-parts.count() // group_size))
     kept = parts.drop("sequence_id", "offset")
-    dealt = kept.withColumn("group_", F.pmod(F.xxhash64("doc_id", "piece", *(["ids_crc32"] if "ids_crc32" in kept.columns else [])), F.lit(groups)) if groups > 1 else F.lit(0).cast("long"))
-    # rows of one id and content may be repeated without bound, so a group takes its rows by a rank in blocks of that size
+    # the row's place spreads repeated rows too; a written table has the same places in a second try
+    dealt = kept.withColumn("group_", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", sequence_id long, offset long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
