@@ -31,7 +31,7 @@ def dominant_frequency(v: Column, frames: int, duration: float, low: float = 0.3
         turn = 2 * math.pi * k / frames
         cosines, sines = (F.array(*[F.lit(round(f(turn * i), 15)) for i in range(frames)]) for f in (math.cos, math.sin))
         dot = lambda w: F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.sqrt(dot(cosines) * dot(cosines) + dot(sines) * dot(sines))
+        return F.hypot(dot(cosines), dot(sines))
 
     best = F.array_min(F.array(*[F.struct((-F.round(power(k), 9)).alias("p"), F.lit(k * hertz).alias("f")) for k in inside]))
     return F.when(best["p"] < 0, best["f"]).otherwise(0.0)
