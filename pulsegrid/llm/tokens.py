@@ -7,6 +7,7 @@ where white space meets white space in another way are encoded whole. The ids eq
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
@@ -100,6 +101,16 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived strings and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         plain = [not self.whole.search(t) for t in texts]
         cut = [(t.replace("\n", " \n").split(" ") if self.spaced else t.split()) if p else [] for t, p in zip(texts, plain, strict=True)]
         if self.spaced:
