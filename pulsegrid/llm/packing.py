@@ -41,6 +41,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end: int = 1,
                         part = data[a : a + 4 * capacity]
                         rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        encoder(vocabulary).shrink()
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -141,6 +141,7 @@ def write_store(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int
                         names, ids, size, before, number = [], [], 0, before + size, number + 1
         if ids:
             yield close()
+        encoder(vocabulary).shrink()
 
     return materialize(parts.mapInPandas(run, "part int, block int, before long, tokens long, data binary"), "tokens")
 

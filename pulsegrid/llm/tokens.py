@@ -42,7 +42,7 @@ class Cache:
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers. ``keep`` bounds a generation of units that a worker remembers."""
 
-    def __init__(self, name: str, keep: int = 400_000):
+    def __init__(self, name: str, keep: int = 250_000):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.rest, self.first = Cache(keep), Cache(keep // 10)
@@ -94,6 +94,10 @@ class Encoder:
             self.ends = self._common_ends()
         return out
 
+    def shrink(self) -> None:
+        """Forget the older units, as a worker lives on after its task."""
+        self.rest.old, self.first.old = {}, {}
+
     def _common_ends(self) -> dict[str, bytes]:
         return {"": b"", "\n": self._ids(["\n"])[0]}
 
