@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, fold, materialize, read_table, smallest, spread
+from .common import chunks, discard, fold, materialize, read_table, release, smallest, spread
 from .wordhash import Words
 
 # What a sign may stand for in disguised words.
@@ -277,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384, bits: in
 
     pooled = sample.mapInPandas(pool, "toxic int, " + ", ".join(f"p{k} double" for k in POOLS)).toPandas()
     discard(sample)
+    release(spark)
     pooled = pooled.sort_values(list(pooled.columns), kind="stable")
     coefficients = logistic(pooled[[f"p{k}" for k in POOLS]].to_numpy(), pooled["toxic"].to_numpy(float))
     w = Weights(toxic, clean, n_toxic, n_clean).all
