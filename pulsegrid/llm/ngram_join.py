@@ -295,10 +295,14 @@ def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near duplicates the document of the smallest id stays."""
-    kept = join(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    # rows of one id are one document here: the first by text stays
-    single = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
-    return single.join(kept, "doc_id", "left_semi").select("row.*")
+    """Pipeline stage: of each component of near duplicates the first row by id stays.
+
+    Rows are told apart by a number of their own, so a row whose id is null or repeated is a document like any other: different
+    texts of one id all stay, rows without an id come last in their component, and of equal ids the first row stays. Texts without words stay.
+    """
+    # written, so that a row has the same number in every scan
+    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    found = join(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
+    first = found.join(rows.select("row_", "doc_id"), "row_").groupBy("component_id").agg(F.min(place).alias("first"))
+    return rows.join(first.select(F.col("first.row_").alias("row_")), "row_", "left_semi").select(*docs.columns)

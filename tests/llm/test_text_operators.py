@@ -202,6 +202,13 @@ def test_one_document_of_each_component(spark):
     assert sorted(r["doc_id"] for r in ngram_join.one_of_each(spark, df, "").collect()) == [2, 8, 9]
 
 
+def test_rows_without_an_id_or_of_a_repeated_id_are_documents(spark):
+    near, other = "a b c d e f", "p q r s t u v w"
+    df = spark.createDataFrame([(None, "one two three four five six"), (None, near), (None, None), (7, near), (7, other), (3, near), (None, "x y z x y z z"), (None, "x y z x y z z")], "doc_id long, text string")
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in ngram_join.one_of_each(spark, df, "").collect())
+    assert kept == [(-1, ""), (-1, "one two three four five six"), (-1, "x y z x y z z"), (3, near), (7, other)]
+
+
 # ---- tokens, store, packing
 
 
