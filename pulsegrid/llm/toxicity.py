@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Suspicious spans (letters mixed with look-alike digits and signs, letters repeated three times or more, letters written
-one by one) become character lattices; a Viterbi search under a character trigram language model of the whole corpus picks
-the restored text. A span without such signs has a lattice of one path, so it is left as it is. The restored text is then
+Suspicious spans (letters mixed with look-alike digits and signs, three or more such signs alone, letters repeated three times or
+more, letters and look-alikes written one by one) become character lattices; a Viterbi search under a character trigram language
+model of the whole corpus picks the restored text. A span without letters stays when a number is likelier. A span without such signs has a lattice of one path, so it is left as it is. The restored text is then
 scored: word and word-prefix features are weighted by how they separate labelled documents, the strongest weights of a text
 are pooled, and a small logistic regression turns the pools into a probability.
 
@@ -32,8 +32,12 @@ LOOK_ALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = " .-_*"
+# Signs that end words as punctuation more often than as letters.
+CLOSING = "!|+(¡"
 # Costs of the channel in nats: a look-alike, a look-alike read as a gap, a dropped letter of a pair, of a longer run, a dropped separator.
 SUBSTITUTE, GAP, PAIR, REPEAT, SEPARATE = 0.7, 9.0, 4.0, 0.9, 0.2
+# A span without letters may be a number: the costs of a digit (one of ten) and of another sign, which a reading as a word must beat.
+FIGURE, SIGN = 2.3, 4.6
 BEAM = 48
 
 # The model's symbols: 0 for anything but a letter, a to z, the letters of Latin-1, and one for all other letters.
@@ -81,12 +85,13 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Restores suspicious spans of lower-case texts; keeps decoded spans for reuse."""
 
-    def __init__(self, model: np.ndarray, keep: int = 100_000):
+    def __init__(self, model: np.ndarray, keep: int = 25_000):
         self.model, self.keep, self.known = model.tolist(), keep, {}
         alike = re.escape("".join(LOOK_ALIKES))
-        self.mixed = re.compile(rf"[^\W\d_{alike}\s]*(?:[{alike}]+[^\W\d_]+)+[{alike}]*")
+        sign = rf"(?:[^\W\d_]|[{alike}])"
+        self.mixed = re.compile(rf"(?<![^\W\d_])[^\W\d_]+[{alike}]{sign}*|[{alike}]+(?:[^\W\d_]{sign}*|(?<=[{alike}]{{3}}))")
         self.repeated = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-        self.spaced = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,}(?![^\W_])")
+        self.spaced = re.compile(rf"(?<![^\W_]){sign}(?:[ .\-_*]{{1,2}}{sign}){{2,}}(?![^\W_])")
 
     def text(self, text: str) -> str:
         for pattern in (self.spaced, self.mixed, self.repeated):
@@ -110,8 +115,9 @@ class Restorer:
                 into[key] = (score, said)
 
         runs = [len(m[0]) for m in re.finditer(r"(.)\1*", span, re.S) for _ in m[0]]
-        last = ""
-        for c, run in zip(span, runs, strict=True):
+        last, pure, end = "", not any(c.isalpha() for c in span), len(span.rstrip(CLOSING))
+        word = end < len(span) and span[:end].isalpha()  # a word before punctuation keeps its pairs
+        for at, (c, run) in enumerate(zip(span, runs, strict=True)):
             into: dict = {}
             options = [(x, SUBSTITUTE) for x in LOOK_ALIKES.get(c, "")]
             for (a, b), (score, said) in states.items():
@@ -119,7 +125,7 @@ class Restorer:
                 if c.isalpha():
                     x = int(_symbol[min(ord(c), 0xFFFF)])
                     put(into, (b, x), score + row[x], said + c)
-                    if c == last:
+                    if c == last and (run > 2 or not word):
                         put(into, (a, b), score - (REPEAT if run > 2 else PAIR), said)
                     continue
                 for letter, cost in options:
@@ -127,10 +133,16 @@ class Restorer:
                     put(into, (b, x), score + row[x] - cost, said + letter)
                 if c in SEPARATORS:
                     put(into, (a, b), score - SEPARATE, said)
-                put(into, (b, 0), score + row[0] - (GAP if options else 1.0), said + c)
+                if at >= end:
+                    put(into, (a, b), score, said + c)
+                elif not (pure and (options or c in SEPARATORS)):
+                    put(into, (b, 0), score + row[0] - (GAP if options else 1.0), said + c)
             states = dict(sorted(into.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(into) > BEAM else into
             last = c
-        return max((score + model[a][b][0], said) for (a, b), (score, said) in states.items())[1]
+        score, said = max((score + model[a][b][0], said) for (a, b), (score, said) in states.items())
+        if pure and score < -sum(FIGURE if c.isdigit() else SIGN for c in span[:end] if c in LOOK_ALIKES):
+            return span
+        return said
 
 
 _letter = np.zeros(256, bool)
@@ -140,23 +152,18 @@ _alike[[ord(c) for c in LOOK_ALIKES if ord(c) < 128]] = True
 
 
 def suspicious(lower: bytes, starts: np.ndarray) -> np.ndarray:
-    """Numbers of the texts (joined, beginning at ``starts``) that may hold a span to restore."""
+    """Numbers of the texts (joined, beginning at ``starts``) that may hold a span to restore, but for signs written one by one."""
     a = np.frombuffer(lower, np.uint8)
     letter = _letter[a]
     hit = np.zeros(len(a), bool)
-    hit[1:] = (_alike[a[:-1]] | (a[:-1] == 0xC2) | (a[:-1] == 0xAC)) & letter[1:]
+    # a look-alike before or after a letter, one beyond ASCII, or three look-alikes
+    alike = _alike[a]
+    hit[1:] = (alike[:-1] | (a[:-1] == 0xC2)) & letter[1:] | letter[:-1] & alike[1:]
+    hit[2:] |= (a[:-2] == 0xE2) & (a[1:-1] == 0x82) & (a[2:] == 0xAC) | alike[2:] & alike[1:-1] & alike[:-2]
     same = (a[1:] == a[:-1]) & letter[1:]
     hit[2:] |= same[1:] & same[:-1]
     # the same two-byte letter three times
     hit[5:] |= (a[5:] == a[3:-2]) & (a[5:] == a[1:-4]) & (a[4:-1] == a[2:-3]) & (a[4:-1] == a[:-5]) & (a[5:] >= 128)
-    # letters alone between separators: three in the space of a few bytes
-    gap = np.isin(a, np.frombuffer(SEPARATORS.encode(), np.uint8))
-    alone = np.zeros(len(a), bool)
-    alone[1:-1] = gap[:-2] & letter[1:-1] & gap[2:]
-    two = np.zeros(len(a), bool)
-    two[1:-2] = gap[:-3] & (a[1:-2] >= 0xC2) & (a[2:-1] >= 128) & gap[3:]
-    near = np.cumsum(alone | two)
-    hit[8:] |= near[8:] - near[:-8] >= 2
     return np.unique(np.searchsorted(starts, np.flatnonzero(hit), "right") - 1)
 
 
@@ -165,8 +172,9 @@ def restored(texts: list[str], restorer: Restorer) -> list[bytes]:
     lower = [t.lower() for t in texts]
     out = [t.encode("utf-8", "replace") for t in lower]
     starts = np.cumsum([0] + [len(t) + 1 for t in out])
-    for i in suspicious(b"\n".join(out) + b"\n", starts):
-        if i < len(out):
+    found = set(suspicious(b"\n".join(out) + b"\n", starts).tolist())
+    for i in range(len(out)):
+        if i in found or restorer.spaced.search(lower[i]):
             out[i] = restorer.text(lower[i]).encode("utf-8", "replace")
     return out
 

@@ -113,6 +113,16 @@ def test_toxicity_separates_and_undoes_disguise(spark, toxic, docs, texts, empty
     assert {r["toxicity"] for r in toxicity.score(docs, blank).collect()} == {0.0}
 
 
+def test_disguises_at_the_end_alone_and_spaced(spark):
+    said = "you are an idiot. morons and stupid clowns. the ass, a moron; all sit at a lot of tables with ease. " * 20
+    restorer = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts(spark.createDataFrame([(said,)], "text string"))))
+    pairs = [("idio7", "idiot"), ("moron5", "morons"), ("a55", "ass"), ("@55", "ass"), ("@$$", "ass"), ("m 0 r 0 n", "moron"), ("i.d.1.0.t", "idiot"), ("s-t-u-p-1-d", "stupid"), ("a s s", "ass"), ("@ $ $", "ass"), ("5_7_u_p_1_d", "stupid"), ("an idio7!", "an idiot!"), ("moron€", "morone")]
+    assert [restorer.text(a) for a, _ in pairs] == [b for _, b in pairs]
+    assert toxicity.restored([f"you {a}, the" for a, _ in pairs], restorer) == [f"you {b}, the".encode() for _, b in pairs]
+    plain = ["in 1999, for $100 or 250€", "1.2.3 and 1 3 5!!!", "an idiot!", "clowns!!", "shopp!", "so! (a) + b"]
+    assert toxicity.restored(plain, restorer) == [t.encode() for t in plain]
+
+
 # ---- n-gram join
 
 
