@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, fold, materialize, read_table, release, smallest, spread
+from .common import chunks, discard, fold, free_name, materialize, read_table, release, smallest, spread
 from .wordhash import Words
 
 # What a sign may stand for in disguised words.
@@ -293,10 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384, bits: in
     return {"model": model, "share": n_toxic / (n_toxic + n_clean), "weights": w.astype(np.float32), "coefficients": coefficients, "bits": bits}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (0 to 1), which replaces a column of that name."""
-    kept = docs.drop("toxicity")
-    schema = T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType())])
+def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and the score (0 to 1) as ``name``, which replaces a column called so."""
+    kept = docs.drop(name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 x = np.array([pools(m["weights"][slots]) for slots in feature_slots(restored(part, restorer), m["bits"])])
                 c = m["coefficients"]
                 out += (1 / (1 + np.exp(-np.clip(x @ c[:-1] + c[-1], -40, 40)))).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     return kept.mapInArrow(run, schema)
 
@@ -326,6 +326,10 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents go whose score is 0.5 or more."""
+    """Pipeline stage: documents go whose score is 0.5 or more.
+
+    Null and empty texts are scored as texts without words; null ids, repeated rows and extra columns stay as they are; an empty table stays empty.
+    """
     labels = read_table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 0)
-    return score(spread(docs, "doc_id"), fit(docs, labels)).where(F.col("toxicity") < 0.5).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return score(spread(docs, "doc_id"), fit(docs, labels), name).where(F.col(name) < 0.5).select(*docs.columns)

@@ -7,6 +7,8 @@ are the matches of ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WHITE = b"\t\n\x0b\x0c\r "
@@ -18,17 +20,19 @@ _space[list(WHITE)] = True
 _value = np.random.default_rng(20_240_607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _value[_space] = 0
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BLOCK = 1 << 20  # bytes that are hashed at a time; words across them are kept whole
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out
+
+
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,8 +42,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Sums:
+    """Running sums over bytes, from which the hash of any run of them is read."""
+
+    def __init__(self, data: np.ndarray):
+        if len(data) > BLOCK:
+            powers, self._inverse = _power(len(data) + 1)  # a single word of that length; not kept
+        else:
+            if not _powers:
+                _powers.extend(_power(BLOCK + 1))
+            powers, self._inverse = _powers
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_value[data] * powers[: len(data)], out=self._sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+
+
 class Words:
-    """The words of a batch of byte strings: ``start``, ``end`` in the joined bytes, and ``first[i]:first[i + 1]`` of text i."""
+    """The words of a batch of byte strings: ``start``, ``end`` in the joined bytes, and ``first[i]:first[i + 1]`` of text i.
+
+    Sums are taken over blocks that end between words, so their memory is that of a block, or of the longest word.
+    """
 
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts) + b"\n"
@@ -51,20 +75,39 @@ class Words:
         self.end = np.flatnonzero(gap & ~before)
         ends = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.start, ends)
-        powers, self._inverse = _power(len(joined) + 1)
-        self._sums = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_value[self.bytes] * powers[: len(joined)], out=self._sums[1:])
-
-    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the words, or of the given byte ranges."""
-        start, end = (self.start if start is None else start), (self.end if end is None else end)
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+        self._kept: list[tuple[int, int, Sums]] = []
+
+    def _parts(self) -> Iterator[tuple[int, int, Sums]]:
+        """(from, to, sums) of the blocks; those of a batch of common size are kept."""
+        if self._kept:
+            yield from self._kept
+            return
+        a = 0
+        while a < len(self.start):
+            low = int(self.start[a])
+            a = max(int(np.searchsorted(self.end, low + BLOCK, "right")), a + 1)
+            high = int(self.end[a - 1])
+            part = (low, high, Sums(self.bytes[low:high]))
+            if len(self.bytes) <= 4 * BLOCK:
+                self._kept.append(part)
+            yield part
+
+    def _of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges in order, each in a word."""
+        out = np.empty(len(start), np.uint64)
+        for low, high, sums in self._parts():
+            a, b = np.searchsorted(start, (low, high))
+            out[a:b] = sums.hashes(start[a:b] - low, end[a:b] - low)
+        return out
+
+    def hashes(self) -> np.ndarray:
+        return self._of(self.start, self.end)
 
     def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of more than ``k`` bytes, and hashes of their first ``k``."""
         at = np.flatnonzero(self.end - self.start > k)
         s = self.start[at]
-        return at, self.hashes(s, s + k)
+        return at, self._of(s, s + k)
 
 
 _LANES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
