@@ -16,7 +16,8 @@ First every class is compared with the middle class of each of its cells, the on
 then only pairs of different components remain to be searched in the cells, which loses no link between components.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; texts with fewer than five words
-are one shingle; repeated rows are copies of each other; an empty table gives an empty result; extra columns are ignored.
+are one shingle; repeated rows are copies of each other; a document without an id takes part like any other, but never names a
+component; a very long text is a set like any other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,44 +98,49 @@ class RTree:
 
 
 def pairs_in(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of numbers, one of ``left`` and one of ``right``, that the bound lets through; a few points are a tree of one box."""
-    if len(left) * len(right) <= 2500:
-        through = most_overlap(points[left][:, None], points[right][None]) >= least_overlap(sizes[left][:, None] + sizes[right][None])
-        i, j = np.nonzero(through)
-        return left[i], right[j]
+    """Pairs of numbers, one of ``left`` and one of ``right``, that a search of the tree of ``right`` lets through."""
     tree = RTree(points[right], sizes[right])
     found = [right[tree.search(points[i], sizes[i])] for i in left]
     return np.repeat(left, [len(f) for f in found]), np.concatenate(found)
 
 
 def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Per document doc_id, class, n_shingles, point; and the sketch: counts of shingles by the upper bits of their hash."""
+    """Per document doc_id, content, class, n_shingles, point; and the sketch: counts of shingles by the upper bits of their hash.
+
+    The sketch's parts are summed up for every 256 tasks first, then over all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        from pyspark import TaskContext
+
+        sketch, bucket = np.zeros(1 << SKETCH_BITS, np.int64), TaskContext.get().partitionId() // 256
         for pdf in batches:
-            rows, ids = [], iter(pdf["doc_id"])
+            rows, ids = [], iter(zip(pdf["doc_id"], pdf["content"], strict=True))
             for texts in chunks(pdf["text"]):
                 found = sets_of(texts)
                 for s in found:
-                    rows.append((next(ids), set_hash(s), len(s), point(s).tobytes()))
+                    rows.append((*next(ids), set_hash(s), len(s), point(s).tobytes()))
                 sketch += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            yield pd.DataFrame(rows, columns=["doc_id", "class", "n_shingles", "point"]).assign(slot=-1, counts=None).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "class", "n_shingles", "point"]).assign(slot=-1, bucket=0, counts=None).astype({"doc_id": "Int64"})
         step = 1 << (SKETCH_BITS - 4)
         for k in range(16):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "class": [0], "n_shingles": [0], "point": [None], "slot": [k], "counts": [np.minimum(sketch[k * step : (k + 1) * step], 0xFFFFFFFF).astype("<u4").tobytes()]})
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "content": [0], "class": [0], "n_shingles": [0], "point": [None], "slot": [k], "bucket": [bucket], "counts": [np.minimum(sketch[k * step : (k + 1) * step], 0xFFFFFFFF).astype("<u4").tobytes()]})
 
-    both = materialize(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, class long, n_shingles long, point binary, slot int, counts binary"), "classes")
+    both = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInPandas(run, "doc_id long, content long, class long, n_shingles long, point binary, slot int, bucket int, counts binary"), "classes")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"])
+        return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()]})
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         # powers of two are enough to order by
-        return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "counts": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+        whole = np.frombuffer(add(pdf)["counts"].iloc[0], "<u4").astype(np.int64)
+        return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "counts": [np.ceil(np.log2(whole + 1)).astype(np.uint8).tobytes()]})
 
-    # one part of the sketch in each of 16 groups, a row from each task
-    parts = both.where("slot >= 0").select("slot", "counts").groupBy("slot").applyInPandas(add, "slot int, counts binary").collect()
+    some = both.where("slot >= 0").select("slot", "bucket", "counts").groupBy("slot", "bucket").applyInPandas(add, "slot int, counts binary")
+    parts = some.groupBy("slot").applyInPandas(rank, "slot int, counts binary").collect()
     sketch = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in sorted(parts, key=lambda r: r["slot"])]) if parts else np.zeros(1 << SKETCH_BITS, np.uint8)
-    return both.where("slot < 0").select("doc_id", "class", "n_shingles", "point"), sketch
+    return both.where("slot < 0").select("doc_id", "content", "class", "n_shingles", "point"), sketch
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -171,25 +177,35 @@ def cells(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar.
 
-    ``classes`` has class, doc_id of one document of each. Only texts of documents in a pair are moved.
+    ``classes`` has class, doc_id and content of one document of each. Only texts of documents in a pair are moved.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id", "content"), "class")
+    # a text is found by its id, which may be null or repeated, and its hash
+    needed = needed.select("class", "content", F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("none_"))
+    named = docs.select("text", F.xxhash64("text").alias("content"), F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("none_"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()  # repeated rows of one id and text come to one task
         for pdf in batches:
             names = iter(pdf["class"])
             for texts in chunks(pdf["text"]):
-                found = sets_of(texts)
-                rows = [(next(names), s.view(np.int64)) for s in found]
-                # a repeated id may belong to another class
-                yield pd.DataFrame([(c, s) for c, s in rows if set_hash(s.view(np.uint64)) == c], columns=["class", "shingles"])
-
-    sets = docs.select("doc_id", "text").join(needed, "doc_id").select("class", "text").mapInPandas(run, "class long, shingles array<long>")
+                rows = []
+                for s in sets_of(texts):
+                    name = next(names)
+                    # a hash of a text may belong to another class
+                    if name not in told and set_hash(s) == name:
+                        told.add(name)
+                        rows.append((name, s.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["class", "shingles"])
+
+    sets = named.join(needed, ["content", "id_", "none_"]).select("class", "text").mapInPandas(run, "class long, shingles array<long>")
     sets = materialize(sets, "sets")
     one, two = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
     n = F.size(F.array_intersect("sa", "sb"))
-    return both.where(DENOMINATOR * n >= NUMERATOR * (F.size("sa") + F.size("sb") - n)).select("a", "b").distinct()
+    links = materialize(both.where(DENOMINATOR * n >= NUMERATOR * (F.size("sa") + F.size("sb") - n)).select("a", "b").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def bounded_pairs(members: DataFrame) -> DataFrame:
@@ -239,10 +255,10 @@ def one_cell_of_each(crowded: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    """Per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, which is null where no document of a component has an id."""
     told, sketch = summaries(docs)
     # one row for each class of the corpus; a hot class is summed up before it moves
-    classes = materialize(told.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")), "classes")
+    classes = materialize(told.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("point").alias("point")).select("class", "one.doc_id", "one.content", "n_shingles", "point"), "classes")
     in_cells = cells(docs, sketch)
     shared = in_cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
     met = materialize(in_cells.join(shared, "cell").select("cell", "class", "members"), "cells")
@@ -268,7 +284,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     star = crowded.where("class <> first").select(F.least("first", "class").alias("a"), F.greatest("first", "class").alias("b")).distinct()
     star = materialize(sizes(star).select("a", "b", "na", "nb", "pa", "pb").mapInPandas(bound, "a long, b long"), "pairs")
-    links = materialize(verified(star, docs, classes), "links")
+    links = verified(star, docs, classes)
     joined = components(links)
     # in cells of three or more, those whose members still belong to different components
     release(docs.sparkSession)
@@ -277,8 +293,13 @@ def join(docs: DataFrame) -> DataFrame:
     member = member.join(open_cells, "cell").join(classes.select("class", "n_shingles", "point"), "class")
     rest = materialize(bounded_pairs(member).join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionAll(materialize(verified(rest, docs, classes), "links"))
-        joined = components(links)
+        more = verified(rest, docs, classes)
+        joined = components(links.unionAll(more))
+        discard(more)
+    discard(rest)
+    discard(star)
+    discard(crowded)
+    discard(links)
     of_class = joined.select(F.col("id").alias("class"), F.col("component"))
     # the smallest document of a component names it
     named = classes.select("class", "doc_id").join(of_class, "class")
