@@ -3,12 +3,12 @@
 An item of length m may occur in a document with up to ``m // chars_per_edit`` edits. It is cut into one piece more than that
 budget, so every such occurrence holds at least one piece unchanged; an Aho-Corasick automaton finds the pieces in one pass
 over each whole text, and Myers' bit-parallel distance decides around each hit. Letters are compared in lower case and white
-space as single spaces. The items are a stated query set: they are broadcast in blocks of at most ``block`` items, one pass
-over the documents for each block.
+space as single spaces. The items are a stated query set: they are broadcast in blocks of about ``block`` characters, one pass
+over the documents for each block; the driver holds one block at a time, and the passes' results are written tables.
 
 Defined results: null and empty texts match nothing, items without a character are left out, equal items count once for each
 item_id, repeated documents give repeated rows, and of several places the one of least distance, then the first, is told.
-Extra columns are ignored.
+Null ids are told like others, a very long text is searched whole, empty tables give no match, and extra columns are ignored by ``matches`` and kept by ``without_matches``.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, spread
+from .common import materialize, read_table, settled, spread
 
 SCHEMA = "doc_id long, item_id long, distance int, budget int, start long, length int"
 
@@ -111,37 +112,41 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, block: int) -> list:
-    """The items in broadcast lists of about ``block`` at most."""
+def item_blocks(items: DataFrame, block: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in broadcast lists of about ``block`` characters, one after the other, and whether there are several; a list goes when the next is asked for."""
+    spark = items.sparkSession
     items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-items.count() // block))
-    out = []
+    size = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-size // block))
     for number in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        out.append(items.sparkSession.sparkContext.broadcast(rows))
-    return out
+        shared = spark.sparkContext.broadcast(rows)
+        yield shared, blocks > 1
+        if blocks > 1:
+            shared.unpersist()
 
 
-def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, block: int = 20_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, block: int = 4_000_000) -> DataFrame:
     """Per document and item that it holds: the least distance and its place."""
 
-    def over(shared) -> DataFrame:
+    def over(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matcher = Matcher(shared.value, chars_per_edit)
             for pdf in batches:
                 rows = [(doc, i, d, budget, at, n) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for i, d, budget, at, n in matcher.find(text)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "start", "length"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+        return docs.select("doc_id", "text").mapInPandas(settled(run), SCHEMA)
 
-    return reduce(DataFrame.unionAll, [over(shared) for shared in item_blocks(items, block)])
+    found = [materialize(over(shared), "matches") if several else over(shared) for shared, several in item_blocks(items, block)]
+    return reduce(DataFrame.unionAll, found)
 
 
-def without_matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, block: int = 20_000) -> DataFrame:
+def without_matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16, block: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
 
-    def over(docs: DataFrame, shared) -> DataFrame:
+    def over(docs: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
@@ -150,9 +155,12 @@ def without_matches(docs: DataFrame, items: DataFrame, chars_per_edit: int = 16,
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not matcher.find(t) for t in texts], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(settled(run), docs.schema)
 
-    return reduce(over, item_blocks(items, block), docs)
+    left = docs
+    for shared, several in item_blocks(items, block):
+        left = materialize(over(left, shared), "clean") if several else over(left, shared)
+    return left
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -161,5 +169,8 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents go that hold a benchmark item within its budget."""
+    """Pipeline stage: documents go that hold a benchmark item within its budget.
+
+    Null and empty texts hold none and stay; null ids, repeated rows and extra columns stay as they are; an empty table stays empty.
+    """
     return without_matches(spread(docs, "doc_id"), read_table(spark, sf_dir, "benchmark"))

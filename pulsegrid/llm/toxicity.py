@@ -2,14 +2,15 @@
 
 Suspicious spans (letters mixed with look-alike digits and signs, three or more such signs alone, letters repeated three times or
 more, letters and look-alikes written one by one) become character lattices; a Viterbi search under a character trigram language
-model of the whole corpus picks the restored text. A span without letters stays when a number is likelier. A span without such signs has a lattice of one path, so it is left as it is. The restored text is then
+model of the whole corpus picks the restored text; the search is exact. A span without letters stays when a number is likelier. A span without such signs has a lattice of one path, so it is left as it is. The restored text is then
 scored: word and word-prefix features are weighted by how they separate labelled documents, the strongest weights of a text
 are pooled, and a small logistic regression turns the pools into a probability.
 
 The language model's counts cover all documents. The weights are fitted on at most ``max_labelled`` labelled documents (the
 smallest hashes of the id). Null and empty texts are scored as texts without words; without labels of both classes every
-score is the share of toxic labels (0 without any). Rows are kept one for one, repeated ids and ties included; extra input
-columns are ignored.
+score is the share of toxic labels (0 without any). Rows are kept one for one, repeated and null ids and ties included; very long
+texts are read whole; an empty table gives an empty result; extra columns are kept. Words cut in two (``id iot``) and two signs written
+apart aren't read together, as common words are written so.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, fold, free_name, materialize, read_table, release, smallest, spread
+from .common import chunks, discard, fold, free_name, materialize, read_table, release, settled, smallest, spread
 from .wordhash import Words
 
 # What a sign may stand for in disguised words.
@@ -38,7 +39,6 @@ CLOSING = "!|+(¡"
 SUBSTITUTE, GAP, PAIR, REPEAT, SEPARATE = 0.7, 9.0, 4.0, 0.9, 0.2
 # A span without letters may be a number: the costs of a digit (one of ten) and of another sign, which a reading as a word must beat.
 FIGURE, SIGN = 2.3, 4.6
-BEAM = 48
 
 # The model's symbols: 0 for anything but a letter, a to z, the letters of Latin-1, and one for all other letters.
 SYMBOLS = 61
@@ -66,7 +66,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at, "n": total[at]})
 
-    found = docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInPandas(settled(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size)
     out[found["slot"]] = found["n"]
     return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -106,43 +106,52 @@ class Restorer:
             out = self.known[span] = self.decode(span)
         return out
 
-    def decode(self, span: str) -> str:
-        """The likeliest reading: Viterbi over the last two symbols, with the ``BEAM`` best states kept."""
-        model, states = self.model, {(0, 0): (0.0, "")}
-
-        def put(into: dict, key: tuple[int, int], score: float, said: str) -> None:
-            if key not in into or into[key][0] < score:
-                into[key] = (score, said)
-
+    def options(self, span: str) -> list[list[tuple[str, bool, float]]]:
+        """For each character of ``span`` what it may stand for: the sign read ("" if it is dropped), whether the model scores it, and the channel's cost."""
         runs = [len(m[0]) for m in re.finditer(r"(.)\1*", span, re.S) for _ in m[0]]
-        last, pure, end = "", not any(c.isalpha() for c in span), len(span.rstrip(CLOSING))
+        pure, end = not any(c.isalpha() for c in span), len(span.rstrip(CLOSING))
         word = end < len(span) and span[:end].isalpha()  # a word before punctuation keeps its pairs
+        out, last = [], ""
         for at, (c, run) in enumerate(zip(span, runs, strict=True)):
-            into: dict = {}
-            options = [(x, SUBSTITUTE) for x in LOOK_ALIKES.get(c, "")]
-            for (a, b), (score, said) in states.items():
-                row = model[a][b]
-                if c.isalpha():
-                    x = int(_symbol[min(ord(c), 0xFFFF)])
-                    put(into, (b, x), score + row[x], said + c)
-                    if c == last and (run > 2 or not word):
-                        put(into, (a, b), score - (REPEAT if run > 2 else PAIR), said)
-                    continue
-                for letter, cost in options:
-                    x = ord(letter) - 96
-                    put(into, (b, x), score + row[x] - cost, said + letter)
+            if c.isalpha():
+                own = [(c, True, 0.0)]
+                if c == last and (run > 2 or not word):
+                    own.append(("", False, REPEAT if run > 2 else PAIR))
+            else:
+                alike = LOOK_ALIKES.get(c, "")
+                own = [(x, True, SUBSTITUTE) for x in alike]
                 if c in SEPARATORS:
-                    put(into, (a, b), score - SEPARATE, said)
+                    own.append(("", False, SEPARATE))
                 if at >= end:
-                    put(into, (a, b), score, said + c)
-                elif not (pure and (options or c in SEPARATORS)):
-                    put(into, (b, 0), score + row[0] - (GAP if options else 1.0), said + c)
-            states = dict(sorted(into.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(into) > BEAM else into
+                    own.append((c, False, 0.0))
+                elif not (pure and (alike or c in SEPARATORS)):
+                    own.append((c, True, GAP if alike else 1.0))
+            out.append(own)
             last = c
-        score, said = max((score + model[a][b][0], said) for (a, b), (score, said) in states.items())
-        if pure and score < -sum(FIGURE if c.isdigit() else SIGN for c in span[:end] if c in LOOK_ALIKES):
+        return out
+
+    def decode(self, span: str) -> str:
+        """The likeliest reading: Viterbi over the last two symbols of the lattice, all states kept."""
+        model = self.model
+        states = {(0, 0): (0.0, None)}  # score, and the signs read as a chain from the last one
+        for own in self.options(span):
+            into: dict = {}
+            for read, scored, cost in own:
+                x = int(_symbol[min(ord(read), 0xFFFF)]) if scored else 0
+                for (a, b), (score, said) in states.items():
+                    key, total = ((b, x), score + model[a][b][x] - cost) if scored else ((a, b), score - cost)
+                    if key not in into or into[key][0] < total:
+                        into[key] = (total, (said, read) if read else said)
+            states = into
+        score, said = max(((score + model[a][b][0], said) for (a, b), (score, said) in states.items()), key=lambda x: x[0])
+        end = len(span.rstrip(CLOSING))
+        if not any(c.isalpha() for c in span) and score < -sum(FIGURE if c.isdigit() else SIGN for c in span[:end] if c in LOOK_ALIKES):
             return span
-        return said
+        signs = []
+        while said:
+            said, sign = said
+            signs.append(sign)
+        return "".join(reversed(signs))
 
 
 _letter = np.zeros(256, bool)
@@ -263,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384, bits: in
         yield pd.DataFrame({"slot": [-1, *at], "clean": [docs_of[0], *n[0, at]], "toxic": [docs_of[1], *n[1, at]]})
 
     # a feature of fewer than three documents says nothing, so it stays behind
-    found = sample.mapInPandas(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("slot") < 0) | (F.col("clean") + F.col("toxic") >= 3)).toPandas()
+    found = sample.mapInPandas(settled(count), "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("slot") < 0) | (F.col("clean") + F.col("toxic") >= 3)).toPandas()
     toxic, clean = np.zeros(size, np.int32), np.zeros(size, np.int32)
     total, rest = found[found["slot"] < 0], found[found["slot"] >= 0]
     n_toxic, n_clean = int(total["toxic"].sum()), int(total["clean"].sum())
@@ -283,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384, bits: in
                     rows.append([y, *pools(weights.without(seen, y))])
             yield pd.DataFrame(rows, columns=["toxic", *(f"p{k}" for k in POOLS)])
 
-    pooled = sample.mapInPandas(pool, "toxic int, " + ", ".join(f"p{k} double" for k in POOLS)).toPandas()
+    pooled = sample.mapInPandas(settled(pool), "toxic int, " + ", ".join(f"p{k} double" for k in POOLS)).toPandas()
     discard(sample)
     release(spark)
     pooled = pooled.sort_values(list(pooled.columns), kind="stable")
@@ -315,7 +324,7 @@ def score(docs: DataFrame, model: dict, name: str = "toxicity") -> DataFrame:
                 out += (1 / (1 + np.exp(-np.clip(x @ c[:-1] + c[-1], -40, 40)))).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(settled(run), schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
