@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def settled(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches, and at its end the memory that it freed goes back to the system, as the worker lives on."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not a system with the GNU C library
+
+    return whole
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` is called so in any case of letters."""
     taken = {c.lower() for c in df.columns}

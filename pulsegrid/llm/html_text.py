@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, spread
+from .common import read_table, settled, spread
 
 # Names of elements and words of classes.
 VOID = set("area base br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -333,7 +333,7 @@ def extract(pages: DataFrame) -> DataFrame:
             found = [main_text(h) for h in batch.column(batch.schema.get_field_index("html")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(found, pa.string())], names=[*rest, "text"])
 
-    return pages.select(*rest, "html").mapInArrow(run, schema)
+    return pages.select(*rest, "html").mapInArrow(settled(run), schema)
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, fold, free_name, materialize, read_table, spread
+from .common import discard, fold, free_name, materialize, read_table, settled, spread
 
 # The family of a language code. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -139,7 +139,7 @@ def fit_models(docs: DataFrame, per_language: int = 600, max_fit: int = 16_384,
         w, b, slope = fit_svm(at, x, y, 1 << bits)
         return pd.DataFrame({"task": [task], "w": [w.astype(np.float32).tobytes()], "b": [b], "slope": [slope]})
 
-    points = materialize(sample.repartition("doc_id").select("lang", "rank", "text").mapInPandas(vectors, kind), "langid")
+    points = materialize(sample.repartition("doc_id").select("lang", "rank", "text").mapInPandas(settled(vectors), kind), "langid")
     tasked = points.select(F.explode(jobs[F.col("lang")]).alias("task"), "*").where(F.col("task").startswith("L") | (F.col("rank") <= max(1, max_fit // len(common))))
     fitted = tasked.groupBy("task").applyInPandas(fit, "task string, w binary, b double, slope double")
     out = [r.asDict() | {"languages": common} for r in sorted(fitted.collect(), key=lambda r: r["task"])]
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, models: list[dict], bits: int = 12, names: tuple[st
             found = [predictor.one(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(settled(run), schema)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, read_table, release
+from .common import chunks, discard, materialize, read_table, release, settled
 from .components import components
 from .wordhash import Words, shingles
 
@@ -126,7 +126,7 @@ def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for k in range(16):
             yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "content": [0], "class": [0], "n_shingles": [0], "point": [None], "slot": [k], "bucket": [bucket], "counts": [np.minimum(sketch[k * step : (k + 1) * step], 0xFFFFFFFF).astype("<u4").tobytes()]})
 
-    both = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInPandas(run, "doc_id long, content long, class long, n_shingles long, point binary, slot int, bucket int, counts binary"), "classes")
+    both = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInPandas(settled(run), "doc_id long, content long, class long, n_shingles long, point binary, slot int, bucket int, counts binary"), "classes")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"])
@@ -171,7 +171,7 @@ def cells(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if keys:
                     yield pd.DataFrame({"cell": np.concatenate(keys).view(np.int64), "class": np.concatenate(names)})
 
-    return docs.select("text").mapInPandas(run, "cell long, class long").distinct()
+    return docs.select("text").mapInPandas(settled(run), "cell long, class long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
                         rows.append((name, s.view(np.int64)))
                 yield pd.DataFrame(rows, columns=["class", "shingles"])
 
-    sets = named.join(needed, ["content", "id_", "none_"]).select("class", "text").mapInPandas(run, "class long, shingles array<long>")
+    sets = named.join(needed, ["content", "id_", "none_"]).select("class", "text").mapInPandas(settled(run), "class long, shingles array<long>")
     sets = materialize(sets, "sets")
     one, two = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
@@ -244,7 +244,7 @@ def bounded_pairs(members: DataFrame) -> DataFrame:
             a, b = group(rest)
             yield pd.DataFrame({"a": a, "b": b})
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(settled(run), "a long, b long").distinct()
 
 
 def one_cell_of_each(crowded: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def join(docs: DataFrame) -> DataFrame:
                 yield pdf.loc[most_overlap(pa_, pb) >= least_overlap((pdf["na"] + pdf["nb"]).to_numpy()), ["a", "b"]]
 
     star = crowded.where("class <> first").select(F.least("first", "class").alias("a"), F.greatest("first", "class").alias("b")).distinct()
-    star = materialize(sizes(star).select("a", "b", "na", "nb", "pa", "pb").mapInPandas(bound, "a long, b long"), "pairs")
+    star = materialize(sizes(star).select("a", "b", "na", "nb", "pa", "pb").mapInPandas(settled(bound), "a long, b long"), "pairs")
     links = verified(star, docs, classes)
     joined = components(links)
     # in cells of three or more, those whose members still belong to different components

@@ -1,14 +1,16 @@
-"""Best-fit packing of token sequences with a swap-based local search.
+"""Best-fit packing of token sequences by a swap-based local search.
 
 Documents are encoded and cut into pieces of at most ``capacity`` tokens (only longer documents are cut). Pieces are dealt
-into groups of about ``group_size`` by a hash, so that no task holds more than a bounded share of the corpus; a group is
-packed best fit first, longest piece first. Then underfull bins are improved: one-for-one and two-for-one exchanges and
-moves between bins are taken whenever they increase the sum of squared fills, which drains the emptiest bins until they
-vanish. A group never uses more bins than best fit did, and the search ends as soon as the lower bound
-ceil(tokens / capacity) is reached.
-
-Null and empty texts are sequences of the end id alone. Repeated rows and ids are packed as separate pieces; ties go to the
-smaller id, then the earlier row of the group. An empty table gives an empty result; extra columns are ignored.
+into groups of about ``group_size`` by a hash, so that no task holds more than a bounded share of the corpus. A group's pieces
+fill bins one after the other in the order they come; then underfull bins are improved: pieces move, one-for-one and two-for-one exchanges
+are made between bins, always to the bin where they fit best, whenever that increases the sum of squared fills. This drains the
+emptiest bins until they vanish. A search ends when its group has ceil(tokens / capacity) bins, which is the fewest possible,
+or when no bin has an exchange left that gains. Bins still underfull then meet those of other groups in new groups and are
+searched again, round after round, until one group holds all of them or a round no longer frees one bin in fifty.
+
+Null and empty texts are sequences of the end id alone. Repeated rows and ids are packed as separate pieces; of exchanges that
+gain alike the first is taken. A text of any length is cut into pieces that are packed apart. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,167 +18,191 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, read_table, spread
+from .common import chunks, discard, materialize, read_table, settled, spread
 from .tokens import encoder
 
 
 def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end: int = 1, capacity: int = 4096) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
-    last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary).encode
+        closed = encoder(vocabulary).closed
         for pdf in batches:
-            ids, rows = iter(pdf["doc_id"]), []
+            docs_of, rows = iter(pdf["doc_id"]), []
             for texts in chunks(pdf["text"], 1 << 22):
-                for data in encode(texts):
-                    data, doc = data + last, next(ids)
-                    for k, a in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[a : a + 4 * capacity]
-                        rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
+                ids, ends = closed(texts, end)
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                for doc, a, b in zip(islice(docs_of, len(texts)), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    for k, at in enumerate(range(a, b, capacity)):
+                        n = min(capacity, b - at)
+                        rows.append((doc, k, at - a, n, zlib.crc32(data[4 * at : 4 * (at + n)])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-        encoder(vocabulary).shrink()
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInPandas(settled(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def in_order(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each piece when bins are filled one after the other."""
+    out, b, fill = np.zeros(len(lengths), np.int64), 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if fill + n > capacity:
+            b, fill = b + 1, 0
+        out[i] = b
+        fill += n
+    return out
+
+
+def best_fit(lengths: np.ndarray, capacity: int) -> int:
+    """The number of bins that best fit, longest piece first, needs: a yardstick for the search."""
+    rooms, bins = [], 0
+    for n in sorted(lengths.tolist(), reverse=True):
+        at = bisect_left(rooms, n)
+        left = rooms.pop(at) if at < len(rooms) else capacity
+        bins += left == capacity
+        if left > n:
+            insort(rooms, left - n)
+    return bins
 
 
 class Bins:
-    """Bins of one group: for each its fill and the pieces in it by length."""
-
-    def __init__(self, lengths: np.ndarray, capacity: int):
-        self.capacity, self.lengths = capacity, lengths
-        self.fill: list[int] = []
-        self.items: list[list[int]] = []
-        self._best_fit()
-
-    def _best_fit(self) -> None:
-        room: dict[int, list[int]] = {}  # bins by the room that they have left
-        rooms: list[int] = []  # the keys of room, in order
-        for i in sorted(range(len(self.lengths)), key=lambda i: (-self.lengths[i], i)):
-            n = int(self.lengths[i])
-            at = bisect_left(rooms, n)
-            if at == len(rooms):
-                b, left = len(self.fill), self.capacity
-                self.fill.append(0)
-                self.items.append([])
-            else:
-                left = rooms[at]
-                b = room[left].pop()
-                if not room[left]:
-                    del room[left], rooms[at]
-            self.fill[b] += n
+    """Bins of one group, and the search; ``of`` is the bin of each piece."""
+
+    def __init__(self, lengths: np.ndarray, of: np.ndarray, capacity: int):
+        self.capacity, self.lengths, self.of = capacity, lengths.astype(np.int64), of.astype(np.int64)
+        n = int(self.of.max()) + 1 if len(of) else 0
+        self.fill = np.bincount(self.of, self.lengths, n).astype(np.int64)
+        self.items: list[list[int]] = [[] for _ in range(n)]
+        for i, b in enumerate(self.of.tolist()):
             self.items[b].append(i)
-            if left - n:
-                if left - n not in room:
-                    room[left - n] = []
-                    insort(rooms, left - n)
-                room[left - n].append(b)
+
+    def _open(self) -> None:
+        """Lay out the pieces of underfull bins for the search."""
+        self.at = np.flatnonzero(self.fill[self.of] < self.capacity)
+        self.size, self.bin = self.lengths[self.at], self.of[self.at]
+        self.place = np.full(len(self.of), -1, np.int64)
+        self.place[self.at] = np.arange(len(self.at))
 
     def _shift(self, a: int, b: int, give: list[int], take: list[int]) -> None:
         """Give pieces of bin ``a`` to ``b`` and take others back."""
-        for i in give:
-            self.items[a].remove(i)
-            self.items[b].append(i)
-        for i in take:
-            self.items[b].remove(i)
-            self.items[a].append(i)
-        n = sum(int(self.lengths[i]) for i in give) - sum(int(self.lengths[i]) for i in take)
-        self.fill[a] -= n
-        self.fill[b] += n
-
-    def _gain(self, a: int, b: int, n: int) -> bool:
-        """Whether carrying ``n`` tokens from ``a`` to ``b`` fits and increases the sum of squared fills."""
-        return n > 0 and self.fill[b] + n <= self.capacity and self.fill[b] + n > self.fill[a]
-
-    def _improve(self, a: int, b: int) -> bool:
-        """The best move or exchange that carries tokens from the emptier bin ``a`` to ``b``."""
-        size = self.lengths
-        theirs = sorted(self.items[b], key=lambda i: -size[i])
-        best, room = (0, [], []), self.capacity - self.fill[b]
-        sizes = [int(size[i]) for i in reversed(theirs)]
-        # pieces of one length are alike, and a bin has few lengths
-        mine: dict[int, list[int]] = {}
+        for source, target, moved in ((a, b, give), (b, a, take)):
+            for i in moved:
+                self.items[source].remove(i)
+                self.items[target].append(i)
+                self.of[i] = self.bin[self.place[i]] = target
+                self.fill[source] -= self.lengths[i]
+                self.fill[target] += self.lengths[i]
+
+    def _step(self, a: int) -> bool:
+        """The exchange that carries tokens from bin ``a`` to another with the greatest gain: moves first, then one for one, then two for one."""
+        fill = self.fill[self.bin]
+        fill_a, own = int(self.fill[a]), {}
+        fill[self.bin == a] = self.capacity  # not with itself
         for i in self.items[a]:
-            mine.setdefault(int(size[i]), []).append(i)
-        lengths = sorted(mine, reverse=True)
-        pairs = [(n + m, [mine[n][0], mine[m][0]]) for k, n in enumerate(lengths) for m in lengths[k + 1 :]]
-        pairs += [(2 * n, mine[n][:2]) for n in lengths if len(mine[n]) > 1]
-        for n, give in [(n, mine[n][:1]) for n in lengths] + pairs:
-            if len(give) == 1 and n <= room and n > best[0]:
-                best = (n, give, [])
-            # the smallest piece to take back that makes the exchange fit
-            at = bisect_left(sizes, n - room)
-            if at < len(sizes) and sizes[at] < n and n - sizes[at] > best[0]:
-                best = (n - sizes[at], give, [theirs[len(sizes) - 1 - at]])
-        if best[0] and self._gain(a, b, best[0]):
-            self._shift(a, b, best[1], best[2])
-            return True
+            own.setdefault(int(self.lengths[i]), []).append(i)  # pieces of one length are alike
+        sizes = sorted(own, reverse=True)
+        room = self.capacity - fill
+        for n in sizes:  # a move, to the bin that it fills most
+            fits = np.where((room >= n) & (fill + n > fill_a), room, self.capacity + 1)
+            if len(fits) and fits[j := int(fits.argmin())] <= self.capacity:
+                self._shift(a, int(self.bin[j]), own[n][:1], [])
+                return True
+        singles = [(n, own[n][:1]) for n in sizes]
+        pairs = [(n + m, [own[n][0], own[m][0]]) for k, n in enumerate(sizes) for m in sizes[k + 1 :]] + [(2 * n, own[n][:2]) for n in sizes if len(own[n]) > 1]
+        for offers in (singles, pairs):
+            best = (0, None, None)
+            for n, give in offers:
+                carried = n - self.size
+                gain = np.where((carried > 0) & (carried <= room), carried * (fill - fill_a + carried), 0)
+                if len(gain) and gain[j := int(gain.argmax())] > best[0]:
+                    best = (int(gain[j]), give, j)
+            if best[0]:
+                self._shift(a, int(self.bin[best[2]]), best[1], [int(self.at[best[2]])])
+                return True
         return False
 
-    def search(self, partners: int = 64, steps: int = 3000) -> None:
-        """Drain the emptiest bins into the fullest underfull ones until nothing gains, the lower bound or the last of ``steps`` is reached.
-
-        Every exchange increases the sum of squared fills, so the search can't go round in circles; ``partners`` and ``steps`` bound its time.
-        """
+    def search(self) -> None:
+        """Drain bins, the emptiest first, until no exchange gains or the lower bound is reached. Every exchange increases the sum of squared fills, so the search ends."""
         least = -(-int(self.lengths.sum()) // self.capacity)
-        alive = sum(1 for f in self.fill if f)
-        stuck: set[int] = set()
-        for _ in range(steps):
-            if alive <= least:
-                return
-            under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: self.fill[b])
-            a = next((b for b in under if b not in stuck), None)
-            if a is None:
-                return
+        gained = True
+        while gained and (self.fill > 0).sum() > least:
             gained = False
-            for b in under[: -partners - 1 : -1]:
-                while b != a and self.fill[a] and self.fill[b] >= self.fill[a] and self._improve(a, b):
+            self._open()
+            under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            for a in under[np.argsort(self.fill[under], kind="stable")].tolist():
+                while 0 < self.fill[a] < self.capacity and self._step(a):
                     gained = True
-            if not self.fill[a]:
-                alive -= 1
-            if gained:
-                stuck.clear()
-            else:
-                stuck.add(a)
+                if gained and not self.fill[a] and (self.fill > 0).sum() <= least:
+                    return
+                if (self.fill[self.bin] == self.capacity).sum() > len(self.bin) // 2:
+                    self._open()
 
 
-def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 16_384) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 8192) -> DataFrame:
     """``parts``, a written table, with ``sequence_id`` and ``offset``; needs doc_id, piece, start, length of which no length exceeds ``capacity``."""
-    groups = max(1, -(-parts.count() // group_size))
     kept = parts.drop("sequence_id", "offset")
-    # the row's place spreads repeated rows too; a written table has the same places in a second try
-    dealt = kept.withColumn("group_", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", sequence_id long, offset long"
+    names = kept.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", group_ long, bin_ long, underfull_ boolean, offset long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf.pop("group_").iloc[0])
-        pdf = pdf.sort_values([c for c in ("doc_id", "piece") if c in pdf], kind="stable").reset_index(drop=True)
-        sequence, offset, base = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), 0
-        for a in range(0, len(pdf), 4 * group_size):
-            bins = Bins(pdf["length"].to_numpy()[a : a + 4 * group_size], capacity)
-            bins.search()
-            for items in bins.items:
-                at = 0
-                for i in items:
-                    sequence[a + i], offset[a + i] = base, at
-                    at += int(bins.lengths[i])
-                base += bool(items)
-        return pdf.assign(sequence_id=(group << 32) + sequence, offset=offset)
-
-    return dealt.groupBy("group_").applyInPandas(run, schema)
+        if "bin_" in pdf:  # bins of an earlier round stay together
+            old = pd.factorize(pd.MultiIndex.from_frame(pdf[["old_", "bin_"]]))[0]
+        else:
+            pdf = pdf.sort_values([c for c in ("doc_id", "piece") if c in pdf], kind="stable")
+            pdf = pdf.iloc[np.random.default_rng(len(pdf)).permutation(len(pdf))]
+            old = in_order(pdf["length"].to_numpy(), capacity)
+        bins = Bins(pdf["length"].to_numpy(), old, capacity)
+        bins.search()
+        offset = np.zeros(len(pdf), np.int64)
+        for items in bins.items:
+            offset[items] = np.cumsum([0, *bins.lengths[items][:-1]])
+        return pdf[names].assign(group_=pdf["group_"].iloc[0], bin_=bins.of, underfull_=bins.fill[bins.of] < capacity, offset=offset)
+
+    most = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def grouped(df: DataFrame, rows: int, *key) -> tuple[DataFrame, int]:
+        """Rows with their group, dealt out so that small groups aren't gathered into few tasks."""
+        n = max(1, -(-rows // group_size))
+        return df.withColumn("group_", F.pmod(F.xxhash64(*key), F.lit(n))).repartition(min(n, most), "group_"), n
+
+    # the row's place spreads repeated rows too; a written table has the same places in a second try
+    dealt, groups = grouped(kept, parts.count(), "doc_id", "piece", F.monotonically_increasing_id())
+    found, number, done = materialize(dealt.groupBy("group_").applyInPandas(run, schema), "packed"), 0, []
+    while True:
+        done.append(found.where("not underfull_").withColumn("round_", F.lit(number)))
+        left = found.where("underfull_")
+        told = left.agg(F.count("*").alias("rows"), F.count_distinct("group_", "bin_").alias("bins")).first()
+        if groups == 1 or number and told["bins"] > 0.98 * before:
+            done.append(left.withColumn("round_", F.lit(number)))
+            break
+        before, number = told["bins"], number + 1
+        again, groups = grouped(left.drop("offset").withColumnRenamed("group_", "old_"), told["rows"], "old_", "bin_", F.lit(number))
+        found = materialize(again.groupBy("group_").applyInPandas(run, schema), "packed")
+    out = done[0]
+    for df in done[1:]:
+        out = out.unionAll(df)
+    name = (F.col("round_").cast("long") * (1 << 58)) + F.shiftleft(F.col("group_"), 24) + F.col("bin_")
+    return out.select(*names, name.alias("sequence_id"), "offset")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(materialize(pieces(spread(docs, "doc_id")), "pieces"))
+    return pack_whole(docs)
+
+
+def pack_whole(docs: DataFrame) -> DataFrame:
+    cut = materialize(pieces(spread(docs, "doc_id")), "pieces")
+    out = pack(cut)
+    discard(cut)
+    return out
 
 
 def pack_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the packed pieces of all documents left."""
-    return pack(materialize(pieces(spread(docs.select("doc_id", "text"), "doc_id")), "pieces"))
+    return pack_whole(docs.select("doc_id", "text"))

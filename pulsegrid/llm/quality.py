@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, read_table, smallest, spread
+from .common import chunks, read_table, settled, smallest, spread
 from .wordhash import Words, windows
 
 # The statistics that trees may use, with the sign of the constraint on each.
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_384) -> Fores
 
     # bounded: max_labelled ids, and for each a row of numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition("doc_id").select("text", "quality")
-    rows = sample.mapInPandas(run, ", ".join(f"{f} double" for f in FEATURES) + ", quality int").toPandas()
+    rows = sample.mapInPandas(settled(run), ", ".join(f"{f} double" for f in FEATURES) + ", quality int").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     y = rows["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
@@ -194,7 +194,7 @@ def judge(docs: DataFrame, model: Forest | float, least: float = 0.5) -> DataFra
                 out.insert(0, "doc_id", pd.array([next(ids) for _ in texts], "Int64"))
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double, kept boolean")
+    return docs.select("doc_id", "text").mapInPandas(settled(run), "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double, kept boolean")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
