@@ -9,7 +9,8 @@ documents (one more than there are) and their i64 ids; then for each level u64 l
 lowest first, filled up to whole 64-bit words) and the u32 ranks. Blocks are written as rows of a Parquet table in ascending
 document order, so Spark's committer handles retries and lost executors.
 
-Null and empty texts are the end id alone. Null ids come first; equal ids stay separate documents in order of their text. An
+Null and empty texts are the end id alone; a text longer than a block is one block. Null ids come first; equal ids stay separate
+documents in order of a hash of their text, equal rows too. Extra columns are ignored. An
 empty table gives an empty store.
 """
 
@@ -18,23 +19,23 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, read_table
+from .common import chunks, materialize, read_table, settled
 from .tokens import encoder
 
 MAGIC, STEP = b"DAC1", 512
 
 
-def encode_block(doc_ids: list[int | None], ids: list[np.ndarray], width: int = 8) -> bytes:
-    """One block; ``ids`` has the tokens of each document. A null document id is stored as the least i64."""
-    offsets = np.cumsum([0, *map(len, ids)]).astype("<u8")
-    rest = np.concatenate(ids).astype(np.uint32) if ids else np.empty(0, np.uint32)
-    levels = []
+def encode_block(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, width: int = 8) -> bytes:
+    """One block of the tokens ``ids``; those of each document are over at ``ends``. A null document id is stored as the least i64."""
+    offsets = np.concatenate([[0], ends]).astype("<u8")
+    rest, levels = ids.astype(np.uint32, copy=False), []
     while len(rest) or not levels:
         more = rest >> np.uint32(width)
         goes_on = more > 0
@@ -45,7 +46,7 @@ def encode_block(doc_ids: list[int | None], ids: list[np.ndarray], width: int =
         levels.append(struct.pack("<Q", len(rest)) + low.tobytes() + bits.tobytes() + ranks.tobytes())
         rest = more[goes_on]
     named = np.array([-(1 << 63) if d is None else d for d in doc_ids], "<i8")
-    return MAGIC + struct.pack("<IIIQ", width, len(levels), len(ids), int(offsets[-1])) + offsets.tobytes() + named.tobytes() + b"".join(levels)
+    return MAGIC + struct.pack("<IIIQ", width, len(levels), len(ends), len(ids)) + offsets.tobytes() + named.tobytes() + b"".join(levels)
 
 
 class Block:
@@ -114,57 +115,77 @@ class Block:
 def write_store(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int = 0, block_tokens: int = 1 << 21) -> DataFrame:
     """Write the store and return its table: part, block (both in document order), before (tokens of the part's earlier blocks), tokens, data.
 
-    Documents are dealt out by ranges of doc_id and sorted within them; a block closes at ``block_tokens`` tokens.
+    Documents are dealt out by ranges of doc_id, those of one id by a hash of their text, and sorted within them; a block closes
+    once it has ``block_tokens`` tokens. Codes are written as they are, without compression, so that a block is read in place.
     """
-    last = np.array([end], "<u4").tobytes()
-    parts = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    parts = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, part, number = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
-        names, ids, size, before = [], [], 0, 0
+        closed, part, number = encoder(vocabulary).closed, TaskContext.get().partitionId(), 0
+        names, held, ends, size, before = [], [], [], 0, 0
 
         def close() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "block": [number], "before": [before], "tokens": [size], "data": [encode_block(names, ids)]})
+            return pd.DataFrame({"part": [part], "block": [number], "before": [before], "tokens": [size], "data": [encode_block(names, np.concatenate(ends), np.concatenate(held))]})
 
         for pdf in batches:
             docs_of = iter(pdf["doc_id"])
             for texts in chunks(pdf["text"], 1 << 22):
-                for data in encode(texts):
-                    doc = next(docs_of)
-                    names.append(None if pd.isna(doc) else int(doc))
-                    ids.append(np.frombuffer(data + last, "<u4"))
-                    size += len(ids[-1])
-                    if size >= block_tokens:
-                        yield close()
-                        names, ids, size, before, number = [], [], 0, before + size, number + 1
-        if ids:
+                ids, cuts = closed(texts, end)
+                names += [None if pd.isna(d) else int(d) for d in islice(docs_of, len(texts))]
+                held.append(ids)
+                ends.append(cuts + size)
+                size += len(ids)
+                if size >= block_tokens:
+                    yield close()
+                    names, held, ends, size, before, number = [], [], [], 0, before + size, number + 1
+        if names:
             yield close()
-        encoder(vocabulary).shrink()
 
-    return materialize(parts.mapInPandas(run, "part int, block int, before long, tokens long, data binary"), "tokens")
+    return materialize(parts.mapInPandas(settled(run), "part int, block int, before long, tokens long, data binary"), "tokens", compression="uncompressed")
 
 
-def read_store(store: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+def numbered(store: DataFrame) -> DataFrame:
+    """``store`` with ``first``, the number of a block's first token in the whole store."""
     base, at = {}, 0
     # one row for each task that wrote
     for row in sorted(store.groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r["part"]):
         base[row["part"]] = at
         at += row["n"]
-    shared = store.sparkSession.sparkContext.broadcast(base)
+    parts = store.sparkSession.createDataFrame(sorted(base.items()), "part int, base long")
+    return store.join(F.broadcast(parts), "part").withColumn("first", F.col("base") + F.col("before"))
+
+
+def tokens_at(store: DataFrame, wanted: DataFrame, span: int = 1 << 21) -> DataFrame:
+    """(at, token) for the token numbers ``at`` of ``wanted``: its block is found by an equi-join on spans of token numbers, the token by ranks."""
+    spans = F.explode(F.sequence(F.floor(F.col("first") / span), F.floor((F.col("first") + F.col("tokens") - 1) / span)))
+    blocks = numbered(store).select("first", "tokens", "data", spans.alias("span"))
+    asked = wanted.select("at", F.floor(F.col("at") / span).alias("span")).join(blocks.drop("data"), "span").where("at >= first and at < first + tokens")
+    by_block = asked.groupBy("first").agg(F.collect_set("at").alias("ats")).join(numbered(store).select("first", "data"), "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first, ats, data in zip(pdf["first"], pdf["ats"], pdf["data"], strict=True):
+                block = Block(data)
+                yield pd.DataFrame({"at": ats, "token": [block[int(a) - first] for a in ats]})
+
+    return by_block.mapInPandas(settled(run), "at long, token long")
+
+
+def read_store(store: DataFrame) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Each document's run of tokens is found by ranks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part, before, data in zip(pdf["part"], pdf["before"], pdf["data"], strict=True):
+            for first, data in zip(pdf["first"], pdf["data"], strict=True):
                 block = Block(data)
-                starts, cuts = block.offsets[:-1] + shared.value[part] + before, block.offsets.tolist()
-                every = memoryview(block.tokens(0, len(block)).astype("<u4").tobytes())
-                crc = [zlib.crc32(every[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(block.doc_ids, "Int64"), "start": starts, "n_tokens": np.diff(block.offsets), "ids_crc32": crc})
+                cuts = block.offsets.tolist()
+                crc = [zlib.crc32(block.tokens(a, b).astype("<u4", copy=False)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pd.DataFrame({"doc_id": pd.array(block.doc_ids, "Int64"), "start": block.offsets[:-1] + first, "n_tokens": np.diff(block.offsets), "ids_crc32": crc})
 
-    return store.select("part", "before", "data").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return numbered(store).select("first", "data").mapInPandas(settled(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_store(spark, sf_dir: str) -> DataFrame:
