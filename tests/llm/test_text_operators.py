@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter
@@ -633,10 +634,10 @@ def test_extract_keeps_rows_and_columns(spark):
 
 
 def test_licences_own_inherited_and_none(spark):
-    apache, mit = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["MIT"]
+    apache, mit = licenses.TEXTS["Apache-2.0"][0], licenses.TEXTS["MIT"][0]
     files = [
         (1, "a/LICENSE", "Some words before. " + apache, "x"), (2, "a/b/c/x.txt", "nothing here", "x"), (3, "a/b/LICENSE.txt", mit, "x"), (4, "a/y.txt", None, "x"),
-        (5, "z/q.txt", "", "x"), (6, "a/b/own.txt", "text\n" + licenses.TEMPLATES["GPL-3.0"] + "\nmore text of many other words that say a good deal", "x"), (7, "top.txt", mit, "x"), (7, "top.txt", mit, "x"), (8, "other.txt", "plain", "x"),
+        (5, "z/q.txt", "", "x"), (6, "a/b/own.txt", "text\n" + licenses.TEXTS["GPL-3.0"][0] + "\nmore text of many other words that say a good deal", "x"), (7, "top.txt", mit, "x"), (7, "top.txt", mit, "x"), (8, "other.txt", "plain", "x"),
     ]
     df = spark.createDataFrame([(i, p, t, e) for i, p, t, e in files], "id long, path string, text string, content string")
     got = sorted((r["id"], r["license"], r["how"]) for r in licenses.scan(df).collect())
@@ -647,6 +648,23 @@ def test_licences_own_inherited_and_none(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_bodies_headers_and_identifiers(spark):
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 60))
+    rng = np.random.default_rng(3)
+    files = [(k, f"p{k}/a.txt", wrap(prose(rng, "en", 120))) for k in range(20)]
+    files += [
+        (30, "q/LICENSE", "Copyright (c) 2020 Some Body\n\n" + wrap(licenses.TEXTS["MIT"][1])), (31, "q/src/deep/x.c", "int main"), (32, "r/COPYING", wrap(licenses.TEXTS["ISC"][1])),
+        (33, "s/a.py", "# SPDX-License-Identifier: Apache-2.0\nimport x"), (34, "s/b.py", "code\n\n" + wrap(licenses.TEXTS["GPL-3.0"][1]) + "\n\n" + prose(rng, "en", 200)),
+        (35, "t/LICENSE", wrap(licenses.TEXTS["BSD-3-Clause"][1])), (36, "t/u/LICENSE", wrap(licenses.TEXTS["BSD-2-Clause"][1])), (37, "t/u/v/w", None), (None, None, "x"),
+    ]
+    got = {r["id"]: (r["license"], r["how"]) for r in licenses.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert {i: x for i, x in got.items() if i is not None and i >= 30} == {
+        30: ("MIT", "own"), 31: ("MIT", "inherited"), 32: ("ISC", "own"), 33: ("Apache-2.0", "own"), 34: ("GPL-3.0", "own"),
+        35: ("BSD-3-Clause", "own"), 36: ("BSD-2-Clause", "own"), 37: ("BSD-2-Clause", "inherited"),
+    }
+    assert len(got) == len(files) and all(got[k] == (None, "none") for k in [*range(20), None])
+
+
 # ---- the pipeline
 
 
