@@ -24,34 +24,41 @@ def envelope(signals: DataFrame, frames: int) -> DataFrame:
     return signals.withColumn("env", F.expr(f"percentile(v, 0.1) OVER ({over})"))
 
 
-def _decay(t: np.ndarray, tau: float) -> np.ndarray:
-    return np.exp(-np.clip(t / max(tau, 1e-5), 0, 700))
+def _decay(t: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """exp(-t / tau) for each of ``tau``: a row for each."""
+    return np.exp(-np.clip(t[None] / np.maximum(tau, 1e-5)[:, None], 0, 700))
 
 
-def fit_decay(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Least squares of a * exp(-t / tau) + c with a >= 0: for a given tau a and c are linear, so the search is over log tau alone."""
+def fit_decays(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least squares of a * exp(-t / tau) + c with a >= 0 for each row of ``y``: for a given tau a and c are linear, so the search is over log tau alone."""
 
-    def solve(tau: float) -> tuple[float, float, float]:
-        e = _decay(t, tau)
-        d = e - e.mean()
-        a = max(float(d @ y / (d @ d)), 0.0) if d @ d > 1e-12 else 0.0
-        c = float((y - a * e).mean())
-        return float(((y - a * e - c) ** 2).sum()), a, c
+    def solve(log_tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Squared error, a and c, where each row has its own tau."""
+        e = _decay(t, np.exp(log_tau))
+        d = e - e.mean(1, keepdims=True)
+        square = (d * d).sum(1)
+        a = np.where(square > 1e-12, np.maximum((d * y).sum(1) / np.where(square > 1e-12, square, 1.0), 0.0), 0.0)
+        c = (y - a[:, None] * e).mean(1)
+        return ((y - a[:, None] * e - c[:, None]) ** 2).sum(1), a, c
 
     span = max(float(t[-1] - t[0]), 1e-5)
     grid = np.log(span) + np.linspace(np.log(1e-3), np.log(1e3), 61)
-    k = int(np.argmin([solve(float(np.exp(g)))[0] for g in grid]))
-    low, high = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+    k = np.argmin([solve(np.full(len(y), g))[0] for g in grid], axis=0)
+    low, high = grid[np.maximum(k - 1, 0)], grid[np.minimum(k + 1, len(grid) - 1)]
     golden = (np.sqrt(5) - 1) / 2
     for _ in range(60):
         x1, x2 = high - golden * (high - low), low + golden * (high - low)
-        if solve(float(np.exp(x1)))[0] <= solve(float(np.exp(x2)))[0]:
-            high = x2
-        else:
-            low = x1
-    tau = float(np.exp((low + high) / 2))
-    _, a, c = solve(tau)
-    return a, tau, c
+        left = solve(x1)[0] <= solve(x2)[0]
+        low, high = np.where(left, low, x1), np.where(left, x2, high)
+    middle = (low + high) / 2
+    _, a, c = solve(middle)
+    return a, np.exp(middle), c
+
+
+def fit_decay(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(a, tau, c) of one signal."""
+    a, tau, c = fit_decays(t, y[None])
+    return float(a[0]), float(tau[0]), float(c[0])
 
 
 def decay_baseline(envelopes: DataFrame) -> DataFrame:
@@ -59,15 +66,19 @@ def decay_baseline(envelopes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for env, times in zip(pdf["env"], pdf["times"], strict=True):
-                y, t = np.asarray(env, float), np.asarray(times, float)
+            out, fits = [np.asarray(e, float) for e in pdf["env"]], np.full((len(pdf), 3), np.nan)
+            alike: dict[bytes, list[int]] = {}  # pixels of one time axis are fitted together
+            for i, (y, times) in enumerate(zip(out, pdf["times"], strict=True)):
                 if len(y) >= 3 and np.isfinite(y).all():
-                    a, tau, c = fit_decay(t, y)
-                    rows.append((a * _decay(t, tau) + c, a, tau, c))
-                else:
-                    rows.append((y, None, None, None))
-            yield pd.DataFrame({"recording_id": pdf["recording_id"], "pixel_id": pdf["pixel_id"], "baseline": [r[0] for r in rows]} | {k: pd.array([r[i] for r in rows], "Float64") for i, k in enumerate(("a", "tau", "c"), 1)})
+                    alike.setdefault(np.asarray(times, float).tobytes(), []).append(i)
+            for axis, rows in alike.items():
+                t = np.frombuffer(axis)
+                a, tau, c = fit_decays(t, np.stack([out[i] for i in rows]))
+                fits[rows] = np.stack([a, tau, c], 1)
+                for i, fitted in zip(rows, a[:, None] * _decay(t, tau) + c[:, None], strict=True):
+                    out[i] = fitted
+            told = {k: pd.array([None if np.isnan(x) else x for x in fits[:, j]], "Float64") for j, k in enumerate(("a", "tau", "c"))}
+            yield pd.DataFrame({"recording_id": pdf["recording_id"], "pixel_id": pdf["pixel_id"], "baseline": out} | told)
 
     return envelopes.select(*PIXEL, "env", "times").mapInPandas(run, "recording_id string, pixel_id int, baseline array<double>, a double, tau double, c double")
 

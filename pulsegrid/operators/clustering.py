@@ -195,27 +195,27 @@ def feature_labels(features: np.ndarray, method: str = "density") -> np.ndarray:
     return density_clusters(distance, max(3, n // 15))
 
 
-def graph_labels(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, method: str = "communities") -> np.ndarray:
-    """Labels by a graph; a method that fails is followed by the next, the last is one cluster."""
+def graph_labels(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, method: str = "communities") -> tuple[np.ndarray, str]:
+    """Labels by a graph, and the method that gave them; a method that fails is followed by the next, the last is one cluster."""
     if n == 1:
-        return np.zeros(1, int)
-    dense = np.zeros((n, n))
+        return np.zeros(1, int), method
     methods = ["communities", "spectral", "density"]
     for m in methods[methods.index(method) :]:
         try:
             if m == "communities":
-                return communities(n, src, dst, weight)
+                return communities(n, src, dst, weight), m
+            dense = np.zeros((n, n))
             dense[src, dst] = dense[dst, src] = np.clip(weight, 0, 1)
             if m == "spectral":
-                return spectral(dense, min(8, max(2, n // 10)))
+                return spectral(dense, min(8, max(2, n // 10))), m
             distance = 1 - dense
             np.fill_diagonal(distance, 0)
             labels = density_clusters(distance, max(3, n // 15))
             labels[labels == -1] = labels.max() + 1
-            return labels
+            return labels, m
         except (np.linalg.LinAlgError, ValueError):
             continue
-    return np.zeros(n, int)
+    return np.zeros(n, int), "one cluster"
 
 
 def cluster_features(features: DataFrame, columns: list[str], method: str = "density") -> DataFrame:
@@ -238,8 +238,8 @@ def cluster_graph(active: DataFrame, edges: DataFrame, method: str = "communitie
             return pd.DataFrame({"recording_id": [], "pixel_id": [], "label": [], "status": []})
         links = links[links["src"].isin(ids) & links["dst"].isin(ids)].sort_values(["src", "dst"])
         src, dst = (np.searchsorted(ids, links[c]) for c in ("src", "dst"))
-        labels = graph_labels(len(ids), src, dst, links["weight"].to_numpy(float), method)
-        return pd.DataFrame({"recording_id": pixels["recording_id"].iloc[0], "pixel_id": ids.astype(np.int32), "label": labels.astype(np.int32), "status": method})
+        labels, used = graph_labels(len(ids), src, dst, links["weight"].to_numpy(float), method)
+        return pd.DataFrame({"recording_id": pixels["recording_id"].iloc[0], "pixel_id": ids.astype(np.int32), "label": labels.astype(np.int32), "status": used})
 
     # new names for columns that both sides may have from one table
     left = active.select("recording_id", "pixel_id").toDF("recording_id", "pixel_id").groupBy("recording_id")

@@ -30,9 +30,10 @@ def heaviest(candidates: DataFrame, k: int = 10) -> DataFrame:
 def weighted_sample(candidates: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     """``k`` pixels of each recording, drawn without replacement by weight: those of the largest log(u) / w.
 
-    u comes from a hash of the pixel and the seed, so a lost task draws the same. Without any weight all are equally likely.
+    u comes from a digest of the pixel and the seed, so a lost task draws the same. Without any weight all are equally likely.
     """
-    u = (F.pmod(F.xxhash64("recording_id", "pixel_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / (1 << 52)
+    digest = F.md5(F.concat_ws("|", "recording_id", F.col("pixel_id").cast("string"), F.lit(str(seed))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / (1 << 52)
     weight = F.when(F.sum("weight").over(Window.partitionBy("recording_id")) > 0, F.col("weight")).otherwise(1.0)
     keyed = candidates.withColumn("w_", weight).withColumn("key_", F.when(F.col("w_") > 0, F.ln(u) / F.col("w_")).otherwise(F.lit(float("-inf"))))
     return first_ranked(keyed, F.col("key_"), k).drop("w_", "key_")

@@ -35,8 +35,9 @@ def finite(v: Column) -> Column:
 
 def sanitise(signals: DataFrame, most: float = 0.9) -> DataFrame:
     """Values that aren't finite become 0; a recording where over ``most`` of them aren't is an error."""
-    share = F.avg((~finite(F.col("v"))).cast("double")).over(Window.partitionBy("recording_id"))
-    checked = signals.withColumn("share_", share)
+    # one row for each recording
+    shares = signals.groupBy("recording_id").agg(F.avg((~finite(F.col("v"))).cast("double")).alias("share_"))
+    checked = signals.join(F.broadcast(shares), "recording_id")
     value = F.when(F.col("share_") > most, F.raise_error(F.concat(F.lit("too few finite values in "), "recording_id")).cast("double")).when(finite(F.col("v")), F.col("v")).otherwise(0.0)
     return checked.withColumn("v", value).drop("share_")
 

@@ -187,7 +187,7 @@ both_ AS (SELECT recording_id, pixel_id, """ + ", ".join(KIN) + " FROM averaged
     "agg08_cluster_score": G + "," + NCC + " SELECT recording_id, round(coalesce(avg(weight) FILTER (WHERE src % 3 = dst % 3), 0), 6) AS score FROM edges GROUP BY ALL",
     "joi05_label_map": G + "," + MASK + " SELECT recording_id, pixel_id, CASE WHEN active THEN pixel_id % 3 - 1 ELSE -2 END AS label, CASE WHEN NOT active THEN 0 WHEN pixel_id % 3 = 0 THEN 1 ELSE pixel_id % 3 + 1 END AS map_value FROM mask",
     "smp01_heaviest": GT + " SELECT recording_id, pixel_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY round((list_max(v) - list_min(v)) ^ 2, 6) DESC, pixel_id) AS k FROM p) WHERE k <= 10",
-    "snk04_metrics_sheet": G + "," + RUNS.format(src="s") + "," + PROMINENCES.format(src="s") + "," + SINGLE + " " + rounded(KIN, ["recording_id", "pixel_id"], "single"),
+    "snk04_metrics_sheet": G + "," + RUNS.format(src="s") + "," + PROMINENCES.format(src="s") + "," + SINGLE + " SELECT recording_id, pixel_id, " + ", ".join(f"round_even(round({c}, 6), 3) AS {c}" for c in KIN) + " FROM single",
     "snk05_traces_sheet": G + " SELECT t, round(time_s, 6) AS time_s, " + ", ".join(f"round(max(v) FILTER (WHERE pixel_id = {i}), 6) AS \"events_P{i + 1}_Y{i // W}X{i % W}\"" for i in range(3)) + " FROM s GROUP BY t, time_s",
     "orc02_batch": GT + "," + RUNS.format(src="s") + "," + PROMINENCES.format(src="s") + "," + SINGLE + """
 , am AS (SELECT recording_id, pixel_id, row_number() OVER (PARTITION BY recording_id ORDER BY round((list_max(v) - list_min(v)) ^ 2, 6) DESC, pixel_id) AS k FROM p)
@@ -197,6 +197,41 @@ q AS (SELECT a.vec_id, ln(sum(exp(list_inner_product(a.z, b.z) / 0.5))) - max(CA
 SELECT vec_id // 64 AS block, round(avg(loss), 6) AS loss FROM q GROUP BY ALL""",
 }
 
+
+
+def drawn(k: int) -> str:
+    """The weighted draw: the largest ln(u) / w of the pixels in ``candidates``, u from a digest."""
+    u = "(CAST(concat('0x', substr(md5(concat_ws('|', recording_id, pixel_id, 42)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0"
+    return f"""
+weights AS (SELECT recording_id, pixel_id, (list_max(v) - list_min(v)) ^ 2 AS weight FROM candidates JOIN p USING (recording_id, pixel_id)),
+known AS (SELECT *, CASE WHEN sum(weight) OVER (PARTITION BY recording_id) > 0 THEN weight ELSE 1 END AS w FROM weights),
+drawn AS (SELECT * FROM (SELECT recording_id, pixel_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN w > 0 THEN ln({u}) / w ELSE -CAST('inf' AS DOUBLE) END DESC, pixel_id) AS INTEGER) AS rank FROM known) WHERE rank <= {k})"""
+
+
+POINTS = "," + MASK + ", candidates AS (SELECT recording_id, pixel_id FROM mask WHERE active)," + drawn(6)
+META = """WITH m AS (SELECT doc_id, concat('in/', doc_id, CASE WHEN doc_id % 8 = 7 THEN '.vsi' WHEN doc_id % 16 < 8 THEN '.tiff' ELSE '.TIF' END) AS path, CASE WHEN doc_id % 8 IN (1, 7) THEN 0.04 + doc_id % 5 / 100.0 WHEN doc_id % 8 = 2 THEN 1.0 END AS finterval, n_chars FROM documents),
+f AS (SELECT *, CASE doc_id % 8 WHEN 0 THEN n_chars / 10 + 1 WHEN 1 THEN round_even(1 / finterval, 4) WHEN 2 THEN round_even(doc_id % 50 + 0.5, 4) WHEN 3 THEN round_even(1 / ((50 + doc_id % 7) * 0.001), 4)
+  WHEN 4 THEN round_even(1000.0 / (20 + doc_id % 11), 4) WHEN 5 THEN round_even(1000.0 / (40 + doc_id % 9), 4) END AS fps FROM m)"""
+SQL |= {
+    "smp02_weighted_sample": GT + ", candidates AS (SELECT recording_id, pixel_id FROM px)," + drawn(10) + " SELECT * FROM drawn",
+    "smp02_labelled_sample": G + POINTS + " SELECT *, concat('P', rank) AS point FROM drawn",
+    "ui05_selected_traces": G + POINTS + " SELECT recording_id, concat('P', rank) AS point, t, round(time_s, 6) AS time_s, round(v, 6) AS v FROM s JOIN drawn USING (recording_id, pixel_id)",
+    "ui06_selected_metrics": SQL["agg10_beat_averaged"].rsplit("SELECT", 1)[0].rstrip() + ", candidates AS (SELECT recording_id, pixel_id FROM mask WHERE active)," + drawn(6) + " SELECT recording_id, concat('P', rank) AS point, " + ", ".join(f"round({c}, 6) AS {c}" for c in KIN) + " FROM both_ JOIN drawn USING (recording_id, pixel_id)",
+    "src06_timing": META + " SELECT doc_id, path, round(fps, 6) AS fps, CASE doc_id % 8 WHEN 0 THEN 'sidecar' WHEN 1 THEN 'finterval' WHEN 2 THEN 'fps' WHEN 3 THEN 'ome' WHEN 4 THEN 'summary' WHEN 5 THEN 'info' END AS fps_source, CAST(CASE WHEN doc_id % 8 = 7 THEN doc_id % 100 ELSE doc_id % 90 END AS INTEGER) AS n_frames, CASE WHEN doc_id % 8 = 5 THEN 2 ELSE 0 END AS times FROM f",
+    "src07_batch_rate": META + " SELECT doc_id, finterval IS NOT NULL OR doc_id % 3 = 0 AS use_fps, round(CASE WHEN finterval IS NOT NULL THEN 1 / finterval ELSE 15.0 END, 6) AS value FROM m",
+    "snk01_sidecars": META + " SELECT regexp_replace(path, '[.][^./]*$', '.fps') AS path, concat('{\"fps\":', CAST(CAST(fps AS DOUBLE) AS VARCHAR), ',\"path\":\"', split_part(path, '/', 2), '\"}') AS content FROM f WHERE fps IS NOT NULL",
+    "prj02_duration": """WITH u AS (SELECT user_id, count(*) AS frames FROM events GROUP BY user_id), d AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN frames / (15.0 + user_id % 10) ELSE 15.0 + user_id % 10 END AS seconds FROM u)
+SELECT user_id, frames, round(CAST(seconds AS DOUBLE), 6) AS seconds, CASE WHEN greatest(frames * 20, (user_id % 7 + 1) * 400) < 2048 THEN 16 ELSE 32 END AS bin_size, seconds BETWEEN 1 AND 300 AS likely FROM d""",
+    "stn01_blur": G + f""",
+h AS (SELECT recording_id, t, max(pixel_id) // {W} + 1 AS h FROM s GROUP BY ALL),
+g AS (SELECT h.recording_id, h.t, h, n // {W} AS y, n % {W} AS x, coalesce(v, 0.0) AS v FROM (SELECT *, unnest(range(h * {W})) AS n FROM h) h LEFT JOIN s ON s.recording_id = h.recording_id AND s.t = h.t AND s.pixel_id = n),
+k AS (SELECT o, exp(-o * o / 1.28) / sum(exp(-o * o / 1.28)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS o)),
+ky AS (SELECT *, ((y + o) % (2 * h) + 2 * h) % (2 * h) AS m FROM g CROSS JOIN k),
+down AS (SELECT a.recording_id, a.t, a.h, a.y, a.x, sum(a.w * b.v) AS v FROM ky a JOIN g b ON a.recording_id = b.recording_id AND a.t = b.t AND a.x = b.x AND b.y = CASE WHEN m < a.h THEN m ELSE 2 * a.h - 1 - m END GROUP BY ALL),
+kx AS (SELECT *, ((x + o) % {2 * W} + {2 * W}) % {2 * W} AS m FROM down CROSS JOIN k)
+SELECT a.recording_id, a.t, a.y, a.x, round(sum(a.w * b.v), 6) AS v FROM kx a JOIN down b ON a.recording_id = b.recording_id AND a.t = b.t AND a.y = b.y AND b.x = CASE WHEN m < {W} THEN m ELSE {2 * W - 1} - m END GROUP BY ALL""",
+}
+
 # a zero has no sign in a result
 for _name, _columns in {"prj08_centre_l2": ["v"], "prj09_zscore": ["v"], "prj10_standardise": ["puls", "range"], "win03_boundary_baseline": ["v"]}.items():
     SQL[_name] = "SELECT * REPLACE (" + ", ".join(f"{c} + CAST(0 AS DOUBLE) AS {c}" for c in _columns) + f") FROM ({SQL[_name]})"

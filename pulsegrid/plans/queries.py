@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import keep_apart, local_maxima
 from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial
+from ..sources import timing
 from .analysis import analyse, batch
-from .recording import GRID, pack, packed, signals, unpack
+from .recording import GRID, auto_bin, likely_duration, pack, packed, signals, unpack
 
 FRAMES, WIDTH, DURATION, FPS = GRID.frames, GRID.width, GRID.duration, GRID.fps
 PIXEL = scalar.PIXEL
@@ -62,7 +63,9 @@ def prj10(spark, d):
 
 
 def stn01(spark, d):
-    return spatial.blur(spatial.to_frames(signals(spark, d), WIDTH), 0.8)
+    frames = spatial.blur(spatial.to_frames(signals(spark, d), WIDTH), 0.8)
+    long = frames.select("recording_id", "t", F.posexplode("pixels").alias("pixel_id", "v"))
+    return _rounded(scalar.coordinates(long, WIDTH).drop("pixel_id"), "v")
 
 
 def stn02(spark, d):
@@ -195,7 +198,70 @@ def smp02(spark, d):
 
 
 def snk04(spark, d):
-    return _rounded(kinetics.single_transient(packed(spark, d), DURATION).select(*PIXEL, *sampling.METRIC_ORDER), *sampling.METRIC_ORDER)
+    return sampling.metrics_sheet(_rounded(kinetics.single_transient(packed(spark, d), DURATION), *sampling.METRIC_ORDER))
+
+
+def _labels(spark, d):
+    """A label of each pixel: -2 for inactive ones."""
+    mask = activity.activity_mask(activity.pulsatility(signals(spark, d)))
+    return mask.select(*PIXEL, F.when(F.col("active"), F.col("pixel_id") % 3 - 1).otherwise(-2).alias("label"))
+
+
+def smp02_labelled(spark, d):
+    return sampling.labelled_sample(packed(spark, d), _labels(spark, d)).select(*PIXEL, "rank", "point")
+
+
+def ui05(spark, d):
+    """The traces of the sampled cells."""
+    chosen = sampling.labelled_sample(packed(spark, d), _labels(spark, d)).select(*PIXEL, "point")
+    return _rounded(signals(spark, d).join(F.broadcast(chosen), PIXEL).select("recording_id", "point", "t", "time_s", "v"), "time_s", "v")
+
+
+def ui06(spark, d):
+    """The beat-averaged metrics of the sampled cells."""
+    _, p, _, beats = _base(spark, d)
+    chosen = sampling.labelled_sample(p, _labels(spark, d)).select(*PIXEL, "point")
+    averaged = kinetics.beat_averaged(p.join(F.broadcast(chosen.select(*PIXEL)), PIXEL), beats, DURATION)
+    return _rounded(averaged.join(F.broadcast(chosen), PIXEL).select("recording_id", "point", *kinetics.KINETICS), *kinetics.KINETICS)
+
+
+def _metadata(spark, d):
+    """What files may say about their timing, for a file of each document: the eight cases of the chain by doc_id."""
+    i = F.col("doc_id")
+    only = lambda k, text: F.when(i % 8 == k, text)
+    number = lambda c: c.cast("string")
+    ending = F.when(i % 8 == 7, ".vsi").when(i % 16 < 8, ".tiff").otherwise(".TIF")
+    return spark.read.parquet(f"{d}/documents.parquet").select(
+        i, F.concat(F.lit("in/"), number(i), ending).alias("path"), only(0, F.concat(F.lit('{"fps": '), number(F.col("n_chars") / 10 + 1), F.lit("}"))).alias("sidecar"),
+        (i % 100).cast("int").alias("ets_frames"), (i % 90).cast("int").alias("series_frames"), F.when((i % 8).isin(1, 7), 0.04 + i % 5 / 100).when(i % 8 == 2, 1.0).alias("finterval"),
+        only(2, i % 50 + 0.5).alias("fps_tag"), only(2, F.lit("tifffile.py")).alias("software"),
+        only(3, F.concat(F.lit('<OME xmlns="o"><Image><Pixels TimeIncrement="'), number(50 + i % 7), F.lit('" TimeIncrementUnit="ms"/></Image></OME>'))).alias("ome"),
+        only(4, F.concat(F.lit('{"Interval_ms": '), number(20 + i % 11), F.lit("}"))).alias("summary"),
+        only(5, F.concat(F.lit("Value #1 = 0\nUnits #1 = 10^-3s^1\nValue #2 = "), number(40 + i % 9), F.lit("\nUnits #2 = 10^-3s^1\nValue #3 = 7\nUnits #3 = m"))).alias("info"),
+    )
+
+
+def src06(spark, d):
+    return timing.timing(_metadata(spark, d)).select("doc_id", "path", F.round("fps", 6).alias("fps"), "fps_source", "n_frames", F.coalesce(F.size("timestamps"), F.lit(0)).alias("times"))
+
+
+def src07(spark, d):
+    use_fps, value = timing.batch_rate(F.col("finterval"), F.col("doc_id") % 3 == 0, F.lit(15.0))
+    return _metadata(spark, d).select("doc_id", use_fps.alias("use_fps"), (F.round(value, 6) + 0.0).alias("value"))
+
+
+def snk01(spark, d):
+    known = timing.timing(_metadata(spark, d)).where("fps is not null")
+    return timing.sidecars(known.select("path", "fps"))
+
+
+def prj02(spark, d):
+    """A recording for each user, of as many frames as events: its length, the bin for its frame size, and whether to run it unasked."""
+    i = F.col("user_id")
+    found = spark.read.parquet(f"{d}/events.parquet").groupBy(i).agg(F.count("*").alias("frames"))
+    seconds = scalar.duration(F.col("frames"), i % 2 == 0, 15.0 + i % 10)
+    size = F.col("frames") * 20, (i % 7 + 1) * 400
+    return _rounded(found.select("user_id", "frames", seconds.alias("seconds"), auto_bin(*size).alias("bin_size"), likely_duration(seconds).alias("likely")), "seconds")
 
 
 def snk05(spark, d):
@@ -289,6 +355,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg01_pulsatility": agg01, "agg02_activity_mask": agg02, "agg03_reference_trace": agg03, "agg04_beats": agg04, "agg05_activation_map": agg05, "agg06_features": agg06, "agg06_phase": agg06_phase,
     "agg07_synchronicity": agg07, "agg08_cluster_score": agg08, "agg09_single_transient": agg09, "agg10_beat_averaged": agg10, "agg11_decay_tau": agg11,
     "gra01_correlation_graph": gra01, "gra02_cosine_graph": gra02, "joi05_label_map": joi05, "smp01_heaviest": smp01, "smp02_weighted_sample": smp02,
+    "smp02_labelled_sample": smp02_labelled, "ui05_selected_traces": ui05, "ui06_selected_metrics": ui06, "src06_timing": src06, "src07_batch_rate": src07, "snk01_sidecars": snk01, "prj02_duration": prj02,
     "snk04_metrics_sheet": snk04, "snk05_traces_sheet": snk05, "orc02_batch": orc02,
     "clu01_density_clusters": clu01, "clu02_k_means": clu02, "gra03_communities": gra03, "gra04_spectral": gra04, "gra05_density_graph": gra05,
     "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled,

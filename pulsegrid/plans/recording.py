@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,13 @@ def unpack(packed: DataFrame, grid: Grid = GRID, value: str = "v") -> DataFrame:
 
 def packed(spark: SparkSession, sf_dir: str, grid: Grid = GRID, by_type: bool = False) -> DataFrame:
     return pack(signals(spark, sf_dir, grid, by_type))
+
+
+def auto_bin(height: Column, width: Column) -> Column:
+    """The bin size that suits a frame: 16 below 2048 pixels on the longer side, else 32."""
+    return F.when(F.greatest(height, width) < 2048, 16).otherwise(32)
+
+
+def likely_duration(seconds: Column) -> Column:
+    """Whether a recording's length is one to run an analysis on unasked: between a second and five minutes."""
+    return F.coalesce(seconds.between(1, 300), F.lit(False))

@@ -155,7 +155,7 @@ def test_density_clusters_two_blobs_and_noise():
 def test_communities_split_a_chain_at_its_weak_link():
     labels = clustering.communities(6, np.array([0, 1, 2, 3, 4]), np.array([1, 2, 3, 4, 5]), np.array([1, 1, 0.01, 1, 1]))
     assert same_partition(labels, [0, 0, 0, 1, 1, 1])
-    assert clustering.graph_labels(1, np.array([], int), np.array([], int), np.array([])).tolist() == [0]
+    assert clustering.graph_labels(1, np.array([], int), np.array([], int), np.array([]))[0].tolist() == [0]
 
 
 def test_few_or_flat_features():

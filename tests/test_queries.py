@@ -16,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in ("events", "embeddings"):
+    for t in ("events", "embeddings", "documents"):
         c.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return c
 
