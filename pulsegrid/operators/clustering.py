@@ -1,33 +1,43 @@
 """Clusters of active pixels: by density of features, by communities of a similarity graph.
 
-A recording's active pixels fit one task (they are the pixels of one grid), so recordings are what is dealt out.
+k-means, communities and the spectral method are rounds of joins and aggregates over all recordings at once, each round cut off by
+a written table, so neither a recording's pixels nor its graph meet in one task. Density clusters need a recording's points in order
+of distance: those are found in one task for each recording, with memory in proportion to its pixels.
 Labels: -2 inactive, -1 noise, 0 and up a cluster. Every choice is fixed by a seed or an order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.lineage import cut
+from .scalar import standardise
 
 LABELS = "recording_id string, pixel_id int, label int, status string"
+RID = "recording_id"
+
 
+# ---- by density
 
-def reachability(distance: np.ndarray, samples: int) -> np.ndarray:
-    """Mutual reachability: no less than either point's distance to its ``samples``-th neighbour, the point itself counted."""
-    core = np.sort(distance, 1)[:, min(samples, len(distance) - 1)]
-    return np.maximum(distance, np.maximum(core[:, None], core[None]))
 
+def spanning_tree(n: int, row: Callable[[int], np.ndarray], samples: int) -> np.ndarray:
+    """(a, b, length) of the minimum spanning tree of mutual reachability, shortest edges first.
 
-def spanning_tree(distance: np.ndarray) -> np.ndarray:
-    """(a, b, length) of the minimum spanning tree, shortest edges first."""
-    n = len(distance)
+    ``row`` gives a point's distances to all; a pair is no nearer than either point's ``samples``-th neighbour, the point itself counted.
+    """
+    core = np.array([np.partition(row(i), min(samples, n - 1))[min(samples, n - 1)] for i in range(n)])
     near, source, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     at, edges = 0, []
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (distance[at] < near)
-        near[closer], source[closer] = distance[at][closer], at
+        length = np.maximum(row(at), np.maximum(core, core[at]))
+        closer = ~inside & (length < near)
+        near[closer], source[closer] = length[closer], at
         nxt = int(np.where(inside, np.inf, near).argmin())
         edges.append((source[nxt], nxt, near[nxt]))
         at = nxt
@@ -35,9 +45,8 @@ def spanning_tree(distance: np.ndarray) -> np.ndarray:
     return np.array(edges).reshape(-1, 3)
 
 
-def density_clusters(distance: np.ndarray, least: int, samples: int = 2) -> np.ndarray:
+def density_clusters(n: int, row: Callable[[int], np.ndarray], least: int, samples: int = 2) -> np.ndarray:
     """Labels of the clusters of most excess mass in the tree of points condensed to groups of ``least`` or more; -1 for noise."""
-    n = len(distance)
     if n < 2:
         return np.full(n, -1)
     parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
@@ -49,7 +58,7 @@ def density_clusters(distance: np.ndarray, least: int, samples: int = 2) -> np.n
             x = parent[x]
         return x
 
-    for k, (a, b, length) in enumerate(spanning_tree(reachability(distance, samples))):
+    for k, (a, b, length) in enumerate(spanning_tree(n, row, samples)):
         x, y, new = find(int(a)), find(int(b)), n + k
         parent[x] = parent[y] = new
         children[new] = (x, y, float(length))
@@ -103,82 +112,159 @@ def density_clusters(distance: np.ndarray, least: int, samples: int = 2) -> np.n
     return labels
 
 
-def k_means(x: np.ndarray, k: int, starts: int = 10, seed: int = 42, rounds: int = 100) -> np.ndarray:
-    """Labels of the best of several runs from distance-weighted starting points."""
-    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int))
-    for _ in range(starts):
-        centres = [x[rng.integers(len(x))]]
-        for _ in range(k - 1):
-            d = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
-            centres.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
-        centres = np.array(centres)
-        for _ in range(rounds):
-            of = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-            moved = np.array([x[of == j].mean(0) if (of == j).any() else centres[j] for j in range(k)])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        cost = float(((x - centres[of]) ** 2).sum())
-        if cost < best[0]:
-            best = (cost, of)
-    return best[1]
-
-
-def communities(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float = 1.0, seed: int = 42) -> np.ndarray:
-    """Labels by modularity: nodes move to the neighbouring community of most gain, communities become nodes, until nothing gains."""
-    rng = np.random.default_rng(seed)
-    labels, links = np.arange(n), [dict() for _ in range(n)]
-    for a, b, w in zip(src, dst, weight, strict=True):
-        if w > 0:
-            links[a][b] = links[a].get(b, 0.0) + w
-            links[b][a] = links[b].get(a, 0.0) + w
-    loops, total = [0.0] * n, sum(sum(x.values()) for x in links) or 1.0
-    while True:
-        size = len(links)
-        degree = [sum(links[i].values()) + 2 * loops[i] for i in range(size)]
-        of, mass, moved, order = list(range(size)), degree[:], False, rng.permutation(size)
-        changed = True
-        while changed:
-            changed = False
-            for i in order:
-                near: dict[int, float] = {}
-                for j, w in links[i].items():
-                    near[of[j]] = near.get(of[j], 0.0) + w
-                home = of[i]
-                mass[home] -= degree[i]
-                gain = lambda c: near.get(c, 0.0) - resolution * mass[c] * degree[i] / total  # noqa: B023, E731
-                best = max([home, *near], key=lambda c: (gain(c) + (1e-12 if c == home else 0.0), -c))
-                mass[best] += degree[i]
-                if best != home:
-                    of[i], changed, moved = best, True, True
-        if not moved:
-            break
-        names = {c: k for k, c in enumerate(sorted(set(of)))}
-        of = [names[c] for c in of]
-        labels = np.array([of[c] for c in labels])
-        merged, own = [dict() for _ in names], [0.0] * len(names)
-        for i in range(size):
-            own[of[i]] += loops[i]
-            for j, w in links[i].items():
-                if of[i] == of[j]:
-                    own[of[i]] += w / 2
-                else:
-                    merged[of[i]][of[j]] = merged[of[i]].get(of[j], 0.0) + w
-        links, loops = merged, own
-    return labels
+# ---- k-means
+
+
+def _square(x: Column, c: Column) -> Column:
+    return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+
+def k_means(points: DataFrame, dims: int, most: int, starts: int = 10, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """(recording_id, pixel_id, label) of ``points`` (recording_id, pixel_id, k, x of ``dims`` numbers), k up to ``most``.
+
+    The best of several runs from starting points drawn by their squared distance; all runs of all recordings go on together, until
+    no centre moves or for ``rounds`` rounds. Fewer different points than k give as many clusters.
+    """
+    key = [RID, "start"]
+    runs = points.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
 
+    def drawn(step: int, weight: Column) -> Column:
+        chance = (F.xxhash64("pixel_id", "start", F.lit(step), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
+        return F.when(weight > 0, -F.log(chance) / weight)
 
-def spectral(affinity: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """k-means of the leading eigenvectors of the normalised affinity."""
-    degree = np.maximum(affinity.sum(1), 1e-12)
-    scaled = affinity / np.sqrt(degree[:, None] * degree[None])
-    _, vectors = np.linalg.eigh(scaled)
-    x = vectors[:, -k:] / np.sqrt(degree)[:, None]
-    return k_means(x, k, seed=seed)
+    def told(centres: DataFrame) -> DataFrame:
+        far = F.transform("centres", lambda c: _square(F.col("x"), c))
+        return runs.drop("k").join(centres, key).withColumn("far", far).withColumn("least", F.array_min("far")).withColumn("of", F.array_position("far", F.col("least")).cast("int"))
+
+    centres = cut(runs.groupBy(key).agg(F.max("k").alias("k"), F.array(F.min_by("x", drawn(0, F.lit(1.0)))).alias("centres")))
+    for step in range(1, most):
+        more = told(centres).groupBy(key).agg(F.min_by("x", drawn(step, F.col("least"))).alias("more"))
+        grown = F.when((F.size("centres") < F.col("k")) & F.col("more").isNotNull(), F.concat("centres", F.array("more"))).otherwise(F.col("centres"))
+        centres = cut(centres.join(more, key).select(*key, "k", grown.alias("centres")), centres)
+    table = centres
+    for _ in range(rounds):
+        means = told(centres).groupBy(*key, "of").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("mean"))
+        means = means.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("of", "mean"))).alias("means"))  # k entries
+        moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("means", i + 1), c))
+        after = cut(centres.join(means, key).select(*key, "k", moved.alias("centres"), F.col("centres").alias("was")), table)
+        still = after.where(F.exists(F.zip_with("centres", "was", _square), lambda d: d > 1e-16)).isEmpty()
+        table, centres = after, after.drop("was")
+        if still:
+            break
+    best = told(centres).groupBy(key).agg(F.round(F.sum("least"), 9).alias("cost")).groupBy(RID).agg(F.min_by("start", F.struct("cost", "start")).alias("start"))
+    return told(centres.join(best, key, "left_semi")).select(RID, "pixel_id", (F.col("of") - 1).alias("label"))
+
+
+# ---- by a graph
+
+
+def _both_ways(pixels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(recording_id, u, v, w): the edges of a weight over 0 between ``pixels``, each from either end."""
+    good = edges.where("weight > 0 and src <> dst")
+    ends = [good.select(RID, F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"), "weight") for a, b in (("src", "dst"), ("dst", "src"))]
+    for end in "uv":
+        known = pixels.select(RID, F.col("pixel_id").cast("long")).distinct().toDF(RID, end)
+        ends = [e.join(known, [RID, end], "left_semi") for e in ends]
+    return ends[0].unionAll(ends[1]).groupBy(RID, "u", "v").agg(F.sum("weight").alias("w"))
+
+
+def _local_moves(links: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(recording_id, u, c): nodes of ``links`` in communities that no single move betters, or that ``rounds`` rounds reached.
+
+    In each round half of the nodes, by a hash, go to the neighbouring community of most gain, so neighbours don't swap places forever.
+    """
+    degree = links.groupBy(RID, "u").agg(F.sum("w").alias("degree"))
+    total = degree.groupBy(RID).agg(F.sum("degree").alias("total"))
+    state = table = cut(degree.join(total, RID).withColumn("c", F.col("u")))
+    for turn in range(rounds):
+        mass = state.groupBy(RID, "c").agg(F.sum("degree").alias("mass"))
+        near = links.where("u <> v").join(state.select(RID, F.col("u").alias("v"), "c"), [RID, "v"]).select(RID, "u", "c", "w")
+        near = near.unionAll(state.select(RID, "u", "c", F.lit(0.0))).groupBy(RID, "u", "c").agg(F.sum("w").alias("near"))
+        options = near.join(mass, [RID, "c"]).join(state.withColumnRenamed("c", "home"), [RID, "u"])
+        home = F.col("c") == F.col("home")
+        gain = F.col("near") - resolution * (F.col("mass") - F.when(home, F.col("degree")).otherwise(0.0)) * F.col("degree") / F.col("total")
+        best = options.withColumn("gain", F.round(gain, 9)).groupBy(RID, "u", "degree", "total", "home").agg(
+            F.max_by("c", F.struct("gain", home, -F.col("c"))).alias("c")
+        )
+        awake = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+        wish = F.col("c") != F.col("home")
+        after = cut(best.select(RID, "u", "degree", "total", F.when(awake, F.col("c")).otherwise(F.col("home")).alias("c"), wish.alias("wish")), table)
+        table, state = after, after.drop("wish")
+        if after.where("wish").isEmpty():
+            break
+    return state.select(RID, "u", "c")
 
 
-def feature_labels(features: np.ndarray, method: str = "density") -> np.ndarray:
-    """Labels of active pixels by their features: all -2 for under three, all 0 where no feature varies."""
+def communities(pixels: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 40) -> DataFrame:
+    """(recording_id, pixel_id, label) by modularity: nodes move, communities become nodes, until none join. A pixel without edges is alone."""
+    links = cut(_both_ways(pixels, edges))
+    labels = pixels.select(RID, "pixel_id").distinct().withColumn("c", F.col("pixel_id").cast("long"))
+    while True:
+        of = _local_moves(links, resolution, rounds)
+        sizes = of.agg(F.count("*").alias("nodes"), F.count_distinct(RID, "c").alias("communities")).first()
+        if sizes["nodes"] == sizes["communities"]:
+            break
+        ends = [of.toDF(RID, end, f"{end}_c") for end in "uv"]
+        links = cut(links.join(ends[0], [RID, "u"]).join(ends[1], [RID, "v"]).groupBy(RID, F.col("u_c").alias("u"), F.col("v_c").alias("v")).agg(F.sum("w").alias("w")), links)
+        labels = cut(labels.join(of.toDF(RID, "c", "up"), [RID, "c"], "left").select(RID, "pixel_id", F.coalesce("up", "c").alias("c")))
+    names = labels.groupBy(RID, "c").agg(F.min("pixel_id").alias("least")).withColumn("label", F.row_number().over(Window.partitionBy(RID).orderBy("least")) - 1)
+    return labels.join(names, [RID, "c"]).select(RID, "pixel_id", "label")
+
+
+def spectral(pixels: DataFrame, edges: DataFrame, most: int = 8, rounds: int = 40, seed: int = 42) -> DataFrame:
+    """(recording_id, pixel_id, label): k-means of the leading vectors of the normalised affinity, k a tenth of the pixels, 2 to ``most``.
+
+    The vectors come from ``rounds`` rounds of orthogonal iteration: a product along the edges by a join, then a change of basis from
+    the ``most`` x ``most`` products of the vectors, one small matrix for each recording.
+    """
+    links = _both_ways(pixels, edges).withColumn("w", F.least("w", F.lit(1.0)))
+    degree = links.groupBy(RID, "u").agg(F.sum("w").alias("degree"))
+    of = {end: degree.toDF(RID, end, f"d_{end}") for end in "uv"}
+    links = cut(links.join(of["u"], [RID, "u"]).join(of["v"], [RID, "v"]).select(RID, "u", "v", (F.col("w") / F.sqrt(F.col("d_u") * F.col("d_v"))).alias("w")))
+    start = F.array(*[F.xxhash64("u", F.lit(i), F.lit(seed)) / F.lit(float(1 << 63)) for i in range(most)])
+    nodes = pixels.select(RID, F.col("pixel_id").cast("long").alias("u")).distinct()
+    vectors = cut(nodes.select(RID, "u", start.alias("x")))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, some in pdf.groupby(RID):
+                x = np.stack(some["x"])
+                yield pd.DataFrame({RID: [name], "gram": [(x.T @ x).ravel()]})
+
+    def basis(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The change of basis that makes the vectors orthogonal and of length one; directions that have vanished become zero."""
+        values, q = np.linalg.eigh(np.sum(np.stack(pdf["gram"]), 0).reshape(most, most))
+        good = values > max(values.max(), 1e-300) * 1e-13
+        turn = (q * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0))[:, ::-1]
+        return pd.DataFrame({RID: [pdf[RID].iloc[0]], "turn": [turn.ravel()]})
+
+    @F.pandas_udf("array<double>")
+    def rotate(x: pd.Series, turn: pd.Series) -> pd.Series:
+        return pd.Series(list(np.einsum("ni,nij->nj", np.stack(x), np.stack(turn).reshape(-1, most, most))))
+
+    def rotated(v: DataFrame) -> DataFrame:
+        turns = v.select(RID, "x").mapInPandas(products, f"{RID} string, gram array<double>").groupBy(RID).applyInPandas(basis, f"{RID} string, turn array<double>")
+        return v.join(turns, RID).select(RID, "u", rotate("x", "turn").alias("x"))
+
+    for _ in range(rounds):
+        along = links.join(vectors.withColumnRenamed("u", "v"), [RID, "v"])
+        summed = along.groupBy(RID, "u").agg(F.array(*[F.sum(F.col("w") * F.col("x")[i]) for i in range(most)]).alias("y"))
+        # half of the vector itself stays, so that eigenvalues near -1 don't lead
+        step = F.array(*[F.col("x")[i] + F.coalesce(F.col("y")[i], F.lit(0.0)) for i in range(most)])
+        ahead = cut(vectors.join(summed, [RID, "u"], "left").select(RID, "u", step.alias("x")), vectors)
+        vectors = cut(rotated(ahead), ahead)
+    k = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.count("*") / 10).cast("int")))
+    ks = nodes.groupBy(RID).agg(k.alias("k"))
+    lead = F.array(*[F.when(F.col("k") > i, F.col("x")[i] / F.sqrt(F.coalesce("degree", F.lit(1.0)))).otherwise(0.0) for i in range(most)])
+    points = vectors.join(ks, RID).join(degree, [RID, "u"], "left").select(RID, F.col("u").cast("int").alias("pixel_id"), "k", lead.alias("x"))
+    return k_means(cut(points), most, most, seed=seed)
+
+
+# ---- all methods
+
+
+def density_labels(features: np.ndarray) -> np.ndarray:
+    """Labels of active pixels by the density of their features: all -2 for under three, all 0 where no feature varies."""
     n = len(features)
     if n < 3:
         return np.full(n, -2)
@@ -187,61 +273,62 @@ def feature_labels(features: np.ndarray, method: str = "density") -> np.ndarray:
     if not good.any():
         return np.zeros(n, int)
     x = np.nan_to_num((features[:, good] - features[:, good].mean(0)) / std[good], nan=0.0, posinf=0.0, neginf=0.0)
-    if method == "k-means":
-        return k_means(x, min(4, max(2, n // 5)))
-    square = (x**2).sum(1)
-    distance = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
-    np.fill_diagonal(distance, 0)
-    return density_clusters(distance, max(3, n // 15))
+    return density_clusters(n, lambda i: np.sqrt(((x - x[i]) ** 2).sum(1)), max(3, n // 15))
 
 
-def graph_labels(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, method: str = "communities") -> tuple[np.ndarray, str]:
-    """Labels by a graph, and the method that gave them; a method that fails is followed by the next, the last is one cluster."""
+def graph_density_labels(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Labels by distances 1 - weight, 1 without an edge; noise becomes a cluster of its own."""
     if n == 1:
-        return np.zeros(1, int), method
-    methods = ["communities", "spectral", "density"]
-    for m in methods[methods.index(method) :]:
-        try:
-            if m == "communities":
-                return communities(n, src, dst, weight), m
-            dense = np.zeros((n, n))
-            dense[src, dst] = dense[dst, src] = np.clip(weight, 0, 1)
-            if m == "spectral":
-                return spectral(dense, min(8, max(2, n // 10))), m
-            distance = 1 - dense
-            np.fill_diagonal(distance, 0)
-            labels = density_clusters(distance, max(3, n // 15))
-            labels[labels == -1] = labels.max() + 1
-            return labels, m
-        except (np.linalg.LinAlgError, ValueError):
-            continue
-    return np.zeros(n, int), "one cluster"
+        return np.zeros(1, int)
+    ends, others, length = np.concatenate([src, dst]), np.concatenate([dst, src]), 1 - np.clip(np.concatenate([weight, weight]), 0, 1)
+    order = np.argsort(ends, kind="stable")
+    others, length, at = others[order], length[order], np.searchsorted(ends[order], np.arange(n + 1))
+
+    def row(i: int) -> np.ndarray:
+        out = np.ones(n)
+        out[others[at[i] : at[i + 1]]] = length[at[i] : at[i + 1]]
+        out[i] = 0
+        return out
+
+    labels = density_clusters(n, row, max(3, n // 15))
+    labels[labels == -1] = labels.max() + 1
+    return labels
 
 
 def cluster_features(features: DataFrame, columns: list[str], method: str = "density") -> DataFrame:
     """(recording_id, pixel_id, label, status) of the rows of ``features``."""
+    if method == "k-means":
+        told = features.select(RID, "pixel_id", *columns)
+        n = told.groupBy(RID).agg(F.count("*").alias("n"))
+        k = F.least(F.lit(4), F.greatest(F.lit(2), F.floor(F.col("n") / 5).cast("int")))
+        points = cut(standardise(told, columns).join(n, RID).select(RID, "pixel_id", "n", k.alias("k"), F.array(*columns).alias("x")))
+        found = k_means(points.where("n >= 3").drop("n"), len(columns), 4).unionAll(points.where("n < 3").select(RID, "pixel_id", F.lit(-2)))
+        return found.withColumn("status", F.lit(method))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pixel_id")
-        labels = feature_labels(pdf[columns].to_numpy(float), method)
-        return pd.DataFrame({"recording_id": pdf["recording_id"], "pixel_id": pdf["pixel_id"], "label": labels.astype(np.int32), "status": method})
+        labels = density_labels(pdf[columns].to_numpy(float))
+        return pd.DataFrame({RID: pdf[RID], "pixel_id": pdf["pixel_id"], "label": labels.astype(np.int32), "status": method})
 
-    return features.select("recording_id", "pixel_id", *columns).groupBy("recording_id").applyInPandas(run, LABELS)
+    return features.select(RID, "pixel_id", *columns).groupBy(RID).applyInPandas(run, LABELS)
 
 
 def cluster_graph(active: DataFrame, edges: DataFrame, method: str = "communities") -> DataFrame:
     """(recording_id, pixel_id, label, status) of ``active`` pixels by ``edges`` (src, dst, weight) between them."""
+    if method != "density":
+        found = {"communities": communities, "spectral": spectral}[method](active.select(RID, "pixel_id"), edges)
+        return found.withColumn("status", F.lit(method))
 
     def run(pixels: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pixels["pixel_id"].unique())
         if not len(ids):
-            return pd.DataFrame({"recording_id": [], "pixel_id": [], "label": [], "status": []})
+            return pd.DataFrame({RID: [], "pixel_id": [], "label": [], "status": []})
         links = links[links["src"].isin(ids) & links["dst"].isin(ids)].sort_values(["src", "dst"])
         src, dst = (np.searchsorted(ids, links[c]) for c in ("src", "dst"))
-        labels, used = graph_labels(len(ids), src, dst, links["weight"].to_numpy(float), method)
-        return pd.DataFrame({"recording_id": pixels["recording_id"].iloc[0], "pixel_id": ids.astype(np.int32), "label": labels.astype(np.int32), "status": used})
+        labels = graph_density_labels(len(ids), src, dst, links["weight"].to_numpy(float))
+        return pd.DataFrame({RID: pixels[RID].iloc[0], "pixel_id": ids.astype(np.int32), "label": labels.astype(np.int32), "status": method})
 
     # new names for columns that both sides may have from one table
-    left = active.select("recording_id", "pixel_id").toDF("recording_id", "pixel_id").groupBy("recording_id")
-    right = edges.select("recording_id", "src", "dst", "weight").toDF("recording_id", "src", "dst", "weight").groupBy("recording_id")
+    left = active.select(RID, "pixel_id").toDF(RID, "pixel_id").groupBy(RID)
+    right = edges.select(RID, "src", "dst", "weight").toDF(RID, "src", "dst", "weight").groupBy(RID)
     return left.cogroup(right).applyInPandas(run, LABELS)

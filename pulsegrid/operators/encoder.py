@@ -140,8 +140,9 @@ def train(x: np.ndarray, epochs: int = 100, batch: int = 256, rate: float = 3e-4
         return w, []
     names, losses = trained(w), []
     one, two = ({k: np.zeros_like(w[k]) for k in names} for _ in range(2))
+    deal = rng.permutation(len(x)) if len(x) >= epochs * batch else None  # enough for every batch to be new
     for epoch in range(epochs):
-        some = x[rng.choice(len(x), min(batch, len(x)), replace=False)]
+        some = x[rng.choice(len(x), min(batch, len(x)), replace=False) if deal is None else deal[epoch * batch : (epoch + 1) * batch]]
         _, za, ka = forward(w, augment(some, rng), True)
         _, zb, kb = forward(w, augment(some, rng), True)
         loss, da, db = contrastive_loss(za, zb)
@@ -156,17 +157,18 @@ def train(x: np.ndarray, epochs: int = 100, batch: int = 256, rate: float = 3e-4
     return w, losses
 
 
-def train_encoders(packed: DataFrame, epochs: int = 100, seed: int = 42, max_signals: int = 4096) -> DataFrame:
+def train_encoders(packed: DataFrame, epochs: int = 100, seed: int = 42, batch: int = 256) -> DataFrame:
     """(recording_id, weights, first_loss, last_loss): an encoder for each recording's active signals.
 
-    A recording of more than ``max_signals`` is trained on those of the smallest hashes; batches hold 256 at most anyway.
+    An epoch is one batch, so training draws epochs x batch signals whatever the recording's size: all signals, or of more than
+    that those of the smallest hashes, each once. These reach the recording's task, the others don't.
     """
     order = Window.partitionBy("recording_id").orderBy(F.xxhash64("pixel_id"), "pixel_id")
-    some = zscore(packed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_signals)
+    some = zscore(packed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= epochs * batch))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pixel_id")
-        w, losses = train(np.stack([np.asarray(v, float) for v in pdf["v"]]), epochs, seed=seed)
+        w, losses = train(np.stack([np.asarray(v, float) for v in pdf["v"]]), epochs, batch, seed=seed)
         out = io.BytesIO()
         np.savez(out, **w)
         return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "weights": [out.getvalue()], "first_loss": [losses[0] if losses else None], "last_loss": [losses[-1] if losses else None]})
@@ -174,8 +176,8 @@ def train_encoders(packed: DataFrame, epochs: int = 100, seed: int = 42, max_sig
     return some.select("recording_id", "pixel_id", "v").groupBy("recording_id").applyInPandas(run, "recording_id string, weights binary, first_loss double, last_loss double")
 
 
-def embed(packed: DataFrame, encoders: DataFrame) -> DataFrame:
-    """(recording_id, pixel_id, embedding): vectors of length one. A recording's weights are 0.25 MB and meet its signals by an equi-join."""
+def embed(packed: DataFrame, encoders: DataFrame, block: int = 4096) -> DataFrame:
+    """(recording_id, pixel_id, embedding): vectors of length one. Blocks of a recording's signals meet its weights (0.25 MB) by an equi-join."""
 
     def run(signals: pd.DataFrame, encoder: pd.DataFrame) -> pd.DataFrame:
         if not len(signals) or not len(encoder):
@@ -187,6 +189,8 @@ def embed(packed: DataFrame, encoders: DataFrame) -> DataFrame:
         h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)
         return pd.DataFrame({"recording_id": signals["recording_id"], "pixel_id": signals["pixel_id"], "embedding": list(h.astype(np.float32))})
 
-    left = zscore(packed).select("recording_id", "pixel_id", "v").toDF("recording_id", "pixel_id", "v").groupBy("recording_id")
-    right = encoders.select("recording_id", "weights").toDF("recording_id", "weights").groupBy("recording_id")
-    return left.cogroup(right).applyInPandas(run, "recording_id string, pixel_id int, embedding array<float>")
+    key = ["recording_id", "block"]
+    dealt = packed.withColumn("block", F.floor(F.col("pixel_id") / block))
+    signals = zscore(dealt).select(*key, "pixel_id", "v").toDF(*key, "pixel_id", "v")
+    weights = dealt.select(*key).distinct().toDF(*key).join(encoders.select("recording_id", "weights").toDF("recording_id", "weights"), "recording_id")
+    return signals.groupBy(key).cogroup(weights.select(*key, "weights").groupBy(key)).applyInPandas(run, "recording_id string, pixel_id int, embedding array<float>")

@@ -330,18 +330,18 @@ def nn03(spark, d):
 
 def nn04(spark, d):
     _, _, active = _active(spark, d)
-    return encoder.train_encoders(active, epochs=20).select("recording_id", "first_loss", "last_loss")
+    return encoder.train_encoders(active).select("recording_id", "first_loss", "last_loss")
 
 
 def nn05(spark, d):
     _, mask, active = _active(spark, d)
-    edges = graphs.cosine_graph(encoder.embed(active, encoder.train_encoders(active, epochs=20)), WIDTH)
+    edges = graphs.cosine_graph(encoder.embed(active, encoder.train_encoders(active)), WIDTH)
     return scalar.label_map(mask, clustering.cluster_graph(active, edges))
 
 
 def orc01(spark, d):
     """The whole analysis: labels of every pixel by each method."""
-    return analyse(signals(spark, d), GRID, epochs=20).labels
+    return analyse(signals(spark, d), GRID).labels
 
 
 def orc02_sampled(spark, d):

@@ -147,20 +147,84 @@ def same_partition(a, b):
 def test_density_clusters_two_blobs_and_noise():
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[20, 20]]])
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    labels = clustering.density_clusters(d, 5)
+    labels = clustering.density_clusters(len(x), lambda i: np.sqrt(((x - x[i]) ** 2).sum(1)), 5)
     assert labels[-1] == -1 and same_partition(labels[:60], [0] * 30 + [1] * 30)
 
 
-def test_communities_split_a_chain_at_its_weak_link():
-    labels = clustering.communities(6, np.array([0, 1, 2, 3, 4]), np.array([1, 2, 3, 4, 5]), np.array([1, 1, 0.01, 1, 1]))
-    assert same_partition(labels, [0, 0, 0, 1, 1, 1])
-    assert clustering.graph_labels(1, np.array([], int), np.array([], int), np.array([]))[0].tolist() == [0]
+def of_pixels(found, recording="r"):
+    return found.where(F.col("recording_id") == recording).orderBy("pixel_id").toPandas()["label"].tolist()
 
 
-def test_few_or_flat_features():
-    assert clustering.feature_labels(np.zeros((2, 5))).tolist() == [-2, -2]
-    assert clustering.feature_labels(np.ones((5, 5))).tolist() == [0] * 5
+def graph(spark, edges):
+    """Pixels and edges of a recording; a pixel for each end and one without edges."""
+    links = spark.createDataFrame([("r", a, b, float(w)) for a, b, w in edges], "recording_id string, src int, dst int, weight double")
+    n = max(max(a, b) for a, b, _ in edges) + 2
+    return spark.createDataFrame([("r", i) for i in range(n)] + [("one", 0)], "recording_id string, pixel_id int"), links
+
+
+def modularity(edges, labels):
+    total, out, mass = 2 * sum(w for *_, w in edges), 0.0, {}
+    for a, b, w in edges:
+        out += 2 * w * (labels[a] == labels[b]) / total
+        for x in (a, b):
+            mass[labels[x]] = mass.get(labels[x], 0.0) + w
+    return out - sum((m / total) ** 2 for m in mass.values())
+
+
+def test_communities_split_a_chain_at_its_weak_link(spark):
+    found = clustering.communities(*graph(spark, [(0, 1, 1), (1, 2, 1), (2, 3, 0.01), (3, 4, 1), (4, 5, 1)])).cache()
+    assert same_partition(of_pixels(found), [0, 0, 0, 1, 1, 1, 2])
+    assert of_pixels(found, "one") == [0]
+
+
+def test_no_partition_of_a_small_graph_is_much_better_than_its_communities(spark):
+    rng = np.random.default_rng(6)
+    edges = [(a, b, round(float(rng.uniform(0.1, 1)), 3)) for a in range(8) for b in range(a + 1, 8) if rng.uniform() < 0.4]
+    labels = of_pixels(clustering.communities(*graph(spark, edges)))
+
+    def partitions(n, used=0):
+        if not n:
+            yield ()
+            return
+        for c in range(used + 1):
+            for rest in partitions(n - 1, max(used, c + 1)):
+                yield c, *rest
+
+    best = max(modularity(edges, p) for p in partitions(8))
+    assert modularity(edges, labels) >= 0.95 * best > 0
+
+
+def test_spectral_labels_part_two_cliques(spark):
+    pairs = [(a, b, 1.0) for k in (0, 8) for a in range(k, k + 8) for b in range(a + 1, k + 8)]
+    pixels, links = graph(spark, [*pairs, (7, 8, 0.05)])
+    found = clustering.spectral(pixels.where("recording_id = 'r' and pixel_id < 16"), links, rounds=15)
+    assert same_partition(of_pixels(found), [0] * 8 + [1] * 8)
+
+
+def test_k_means_finds_blobs_of_each_recording(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r, i, 2, (rng.normal(0, 0.1, 2) + (i % 2) * far).tolist()) for r, far in (("r", 5.0), ("s", 50.0)) for i in range(20)]
+    rows += [("same", i, 2, [1.0, 1.0]) for i in range(4)]
+    found = clustering.k_means(spark.createDataFrame(rows, "recording_id string, pixel_id int, k int, x array<double>"), 2, 4).cache()
+    for r in "rs":
+        assert same_partition(of_pixels(found, r), [0, 1] * 10)
+    assert of_pixels(found, "same") == [0] * 4
+
+
+def test_few_or_flat_features(spark):
+    assert clustering.density_labels(np.zeros((2, 5))).tolist() == [-2, -2]
+    assert clustering.density_labels(np.ones((5, 5))).tolist() == [0] * 5
+    rows = [("few", i, float(i), 1.0) for i in range(2)] + [("flat", i, 3.0, 1.0) for i in range(5)]
+    found = clustering.cluster_features(spark.createDataFrame(rows, "recording_id string, pixel_id int, a double, b double"), ["a", "b"], "k-means").cache()
+    assert of_pixels(found, "few") == [-2, -2] and of_pixels(found, "flat") == [0] * 5
+    assert clustering.graph_density_labels(1, np.array([], int), np.array([], int), np.array([])).tolist() == [0]
+
+
+def test_embedding_in_blocks_changes_nothing(spark):
+    p = packed(spark, np.sin(np.arange(40) * np.linspace(0.2, 1.5, 9)[:, None]))
+    weights = encoder.train_encoders(p, epochs=2).cache()
+    one, two = (encoder.embed(p, weights, n).orderBy("pixel_id").toPandas()["embedding"].tolist() for n in (4096, 2))
+    np.testing.assert_allclose(np.array(one), np.array(two), atol=1e-6)
 
 
 def test_encoder_gradients_and_size():
