@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licenses
+from .bpe import op11_bpe
 from .decontaminate import op10_decontamination
 from .html_text import op3_html_text
 from .language_id import op6_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLE_SQL = {"op2_license_scan": licenses.ORACLE}
