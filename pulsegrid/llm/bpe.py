@@ -36,6 +36,7 @@ VOCABULARY = "word_bpe_49k.json"
 NONE = np.iinfo(np.int64).max  # the key of no pair
 PLACE = (1 << 32) - 1  # a key is the rank, then the place in 32 bits
 FEW = 12  # words of one tree size that go one by one
+ENDS = tuple(".,;:!?")
 KEEP = 200_000  # units, and words, that a worker remembers
 
 _loaded: dict[str, Merges] = {}
@@ -207,8 +208,14 @@ class Merges:
 
     def pieces(self, unit: str) -> list:
         """A unit's words as bytes; special tokens as their ids' bytes in a tuple."""
-        if max(unit, default="") < "\u0180" and "<|" not in unit:
-            return [w.encode() for w in self.plain(unit.lower())]
+        if unit.isascii() or max(unit) < "\u0180":
+            low = unit.lower()
+            if low.isalpha():
+                return [low.encode()]
+            if low[-1:] in ENDS and low[:-1].isalpha():
+                return [low[:-1].encode(), low[-1:].encode()]
+            if "<|" not in low:
+                return [w.encode() for w in self.plain(low)]
         out: list = []
         for piece in self.specials(unit):
             if piece in self.special:
@@ -286,7 +293,10 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
         token = merges(vocabulary).tokens.__getitem__
         for whole in batches:
             for batch in _in_parts(whole, ids, 1 << 20):
-                texts = pa.array([" ".join(map(token, i or ())) for i in batch.column(ids).to_pylist()], pa.string())
+                lists = batch.column(ids)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+                texts = pa.array([" ".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends, strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), texts], [*stay, text])
 
     return df.mapInArrow(settled(run), schema)
