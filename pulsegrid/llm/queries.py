@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, turn_repair
 from .bpe import op11_bpe
 from .decontaminate import op10_decontamination
 from .html_text import op3_html_text
@@ -14,6 +14,7 @@ from .packing import op9_packing
 from .quality import op7_quality
 from .token_store import op5_token_store
 from .toxicity import op1_toxicity
+from .turn_repair import op12_turn_repair
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "op11_bpe": op11_bpe,
+    "op12_turn_repair": op12_turn_repair,
 }
 
-ORACLE_SQL = {"op2_license_scan": licenses.ORACLE}
+ORACLE_SQL = {"op2_license_scan": licenses.ORACLE, "op12_turn_repair": turn_repair.ORACLE}
