@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, turn_repair
+from . import licenses, prefix_trie, turn_repair
 from .bpe import op11_bpe
 from .decontaminate import op10_decontamination
 from .html_text import op3_html_text
@@ -11,6 +11,7 @@ from .licenses import op2_license_scan
 from .lm_scoring import op8_lm_scoring
 from .ngram_join import op4_ngram_join
 from .packing import op9_packing
+from .prefix_trie import op13_prefix_trie
 from .quality import op7_quality
 from .token_store import op5_token_store
 from .toxicity import op1_toxicity
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_bpe": op11_bpe,
     "op12_turn_repair": op12_turn_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL = {"op2_license_scan": licenses.ORACLE, "op12_turn_repair": turn_repair.ORACLE}
+ORACLE_SQL = {"op2_license_scan": licenses.ORACLE, "op12_turn_repair": turn_repair.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
