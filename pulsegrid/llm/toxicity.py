@@ -90,13 +90,27 @@ class Restorer:
         alike = re.escape("".join(LOOK_ALIKES))
         sign = rf"(?:[^\W\d_]|[{alike}])"
         self.mixed = re.compile(rf"(?<![^\W\d_])[^\W\d_]+[{alike}]{sign}*|[{alike}]+(?:[^\W\d_]{sign}*|(?<=[{alike}]{{3}}))")
-        self.repeated = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+        self.tripled, self.letters = re.compile(r"([^\W\d_])\1\1+"), re.compile(r"[^\W\d_]*")
         self.spaced = re.compile(rf"(?<![^\W_]){sign}(?:[ .\-_*]{{1,2}}{sign}){{2,}}(?![^\W_])")
 
     def text(self, text: str) -> str:
-        for pattern in (self.spaced, self.mixed, self.repeated):
+        for pattern in (self.spaced, self.mixed):
             text = pattern.sub(lambda m: self.span(m[0]), text)
-        return text
+        return self.repeated(text)
+
+    def repeated(self, text: str) -> str:
+        """``text`` with its words restored that have a letter three times in a row: from each such run out to the word's ends, so every sign is seen a few times."""
+        out, done, one = [], 0, self.letters.match
+        at = self.tripled.search(text)
+        while at:
+            first = at.start()
+            while first > done and one(text, first - 1, first)[0]:
+                first -= 1
+            end = one(text, at.end()).end()
+            out += [text[done:first], self.span(text[first:end])]
+            done = end
+            at = self.tripled.search(text, end)
+        return "".join([*out, text[done:]]) if out else text
 
     def span(self, span: str) -> str:
         out = self.known.get(span)
