@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, read_table, release, settled
+from .common import chunks, discard, free_name, materialize, read_table, release, settled
 from .components import components
 from .wordhash import Words, shingles
 
@@ -322,8 +322,9 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts of one id all stay, rows without an id come last in their component, and of equal ids the first row stays. Texts without words stay.
     """
     # written, so that a row has the same number in every scan
-    rows = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    found = join(rows.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
-    first = found.join(rows.select("row_", "doc_id"), "row_").groupBy("component_id").agg(F.min(place).alias("first"))
-    return rows.join(first.select(F.col("first.row_").alias("row_")), "row_", "left_semi").select(*docs.columns)
+    row = free_name(docs, "row_")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = join(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
+    first = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(place).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
