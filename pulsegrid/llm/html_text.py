@@ -7,7 +7,8 @@ half of its own; an ``<article>`` or ``<main>`` weighs four times in that, and n
 threshold: outside, every node that reaches it (articles four times again) marks the subtree of the greatest density sum in it as content too.
 
 Menus, footers, sidebars, adverts, forms, comments of readers and everything that isn't text (scripts, styles, ...) are left out
-by element and role, and by class words of two kinds. Words that name such a part cut it; words that may also stand in the
+by element and role, and by class words of two kinds. Words that name such a part cut it, as do forms, unless no article stands outside and
+under a tenth of the text would be left (a form or a class ``informed-consent-study`` around a page); words that may also stand in the
 class of running text (``header``, ``search``, ``notice``, ...) cut a node only where its density sum stays under that of the best node without it,
 or under half of the densest such node, and never where the class also names content. A node that holds an article isn't cut by its class, and an article's own header stays.
 
@@ -35,8 +36,10 @@ from .common import read_table, settled, spread
 # Names of elements and words of classes.
 VOID = set("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CUT = set("nav footer aside form button input label fieldset dialog menu canvas audio video map head noscript template svg math object select".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msub msup msqrt semantics".split())
+CUT = set("nav footer aside button input dialog menu canvas audio video map head noscript template svg select".split())
+# Elements that some pages wrap around their whole text.
+WRAPPERS = set("form fieldset label object".split())
 CUT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form tablist".split())
 CUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored nav navbar navigation breadcrumb breadcrumbs "
@@ -67,7 +70,9 @@ RAW_END = {name: re.compile(rf"</{name}(?![\w-])", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden|itemprop)(?![\w-])(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
 WORD = re.compile(r"[a-z]+", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-NEVER, ALWAYS, MAYBE = 0, 1, 2
+NEVER, ALWAYS, MAYBE, UNLESS_ALL = 0, 1, 2, 3  # the last: cut, unless next to nothing is left without it
+STRENGTH = [NEVER, MAYBE, UNLESS_ALL, ALWAYS]
+REST = 0.1
 
 
 class Page:
@@ -175,7 +180,7 @@ class Page:
         node = len(self.name)
         self.name.append(name)
         self.up.append(self.stack[-1])
-        self.cut.append(ALWAYS if name in CUT or name in RAW or name == "header" else self._unwanted(name, attributes) if attributes else NEVER)
+        self.cut.append(ALWAYS if name in CUT or name in RAW or name == "header" else max(self._unwanted(name, attributes), UNLESS_ALL if name in WRAPPERS else NEVER, key=STRENGTH.index))
         if name not in VOID and name not in RAW and not attributes.rstrip().endswith("/"):
             self._push(node)
 
@@ -196,8 +201,8 @@ class Page:
                     if not words or words[0] in NOT_WORDS:
                         continue
                     if not CUT_WORDS.isdisjoint(words):
-                        return ALWAYS
-                    if not MAYBE_WORDS.isdisjoint(words) and CONTENT_WORDS.isdisjoint(words):
+                        out = UNLESS_ALL
+                    if out == NEVER and not MAYBE_WORDS.isdisjoint(words) and CONTENT_WORDS.isdisjoint(words):
                         out = MAYBE
         return out
 
@@ -215,6 +220,7 @@ class Page:
             self.link[i] = self.link[up[i]] or name[i] == "a"
             if self.kind[i] and name[i] not in CUT and (holds[i] or name[i] == "header" and self.inside[up[i]]):
                 self.kind[i] = NEVER
+        self._keep_whole()
         if MAYBE in self.kind:
             self._densities([k == ALWAYS for k in self.kind])
             with_all = self.total
@@ -226,6 +232,26 @@ class Page:
         else:
             self._densities([k == ALWAYS for k in self.kind])
 
+    def _keep_whole(self) -> None:
+        """Decide on nodes of the kind ``UNLESS_ALL``: one is kept if no article stands outside such nodes and they hold all but ``REST`` of the text."""
+        n, up, kind = len(self.name), self.up, self.kind
+        while UNLESS_ALL in kind:
+            inside = [-1] * n  # the outermost such node that a node stands in; -2 in one that is cut in any case
+            for i in range(1, n):
+                inside[i] = inside[up[i]] if inside[up[i]] != -1 else -2 if kind[i] == ALWAYS else i if kind[i] == UNLESS_ALL else -1
+            chars: dict[int, int] = {}
+            for i, text in self.told:
+                if i >= 0 and not self.link[i]:
+                    chars[inside[i]] = chars.get(inside[i], 0) + len("".join(text.split()))
+            held = {i: c for i, c in chars.items() if i >= 0}
+            most = max(held.values(), default=0)
+            if not most or chars.get(-1, 0) > REST * most or any(inside[i] == -1 and self.name[i] in ("article", "main") for i in range(n)):
+                break
+            for i, c in held.items():
+                if c > REST * most:
+                    kind[i] = NEVER
+        self.kind = [ALWAYS if k == UNLESS_ALL else k for k in kind]
+
     def _alone(self) -> list[float]:
         """The density of each node that may be left out, as if it were kept: its text may stand in it without an element of its own."""
         chars, tags = [0] * len(self.name), [0] * len(self.name)
