@@ -2,11 +2,11 @@
 
 Documents are encoded and cut into pieces of at most ``capacity`` tokens (only longer documents are cut). Pieces are dealt
 into groups of about ``group_size`` by a hash, so that no task holds more than a bounded share of the corpus. A group's pieces
-fill bins one after the other in the order they come; then underfull bins are improved: pieces move, one-for-one and two-for-one exchanges
+fill bins one after the other in the order they come (or by best fit, where the search doesn't come below that); then underfull bins are improved: pieces move, one-for-one and two-for-one exchanges
 are made between bins, always to the bin where they fit best, whenever that increases the sum of squared fills. This drains the
 emptiest bins until they vanish. A search ends when its group has ceil(tokens / capacity) bins, which is the fewest possible,
 or when no bin has an exchange left that gains. Bins still underfull then meet those of other groups in new groups and are
-searched again, round after round, until one group holds all of them or a round no longer frees one bin in fifty.
+searched again, round after round, until one group holds all of them or a round frees none. A group never needs more bins than best fit.
 
 Null and empty texts are sequences of the end id alone. Repeated rows and ids are packed as separate pieces; of exchanges that
 gain alike the first is taken. A text of any length is cut into pieces that are packed apart. An empty table gives an empty
@@ -59,16 +59,21 @@ def in_order(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> int:
-    """The number of bins that best fit, longest piece first, needs: a yardstick for the search."""
-    rooms, bins = [], 0
-    for n in sorted(lengths.tolist(), reverse=True):
-        at = bisect_left(rooms, n)
-        left = rooms.pop(at) if at < len(rooms) else capacity
-        bins += left == capacity
-        if left > n:
-            insort(rooms, left - n)
-    return bins
+def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each piece by best fit, longest piece first."""
+    rooms: list[tuple[int, int]] = []  # (room, bin) of underfull bins
+    out, bins = np.zeros(len(lengths), np.int64), 0
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        at = bisect_left(rooms, (n, -1))
+        if at < len(rooms):
+            room, b = rooms.pop(at)
+        else:
+            room, b, bins = capacity, bins, bins + 1
+        out[i] = b
+        if room > n:
+            insort(rooms, (room - n, b))
+    return out
 
 
 class Bins:
@@ -144,7 +149,22 @@ class Bins:
                     self._open()
 
 
-def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 8192) -> DataFrame:
+def fewest(lengths: np.ndarray, of: np.ndarray, capacity: int) -> Bins:
+    """The bins that the search reaches from ``of``; or from best fit, where that alone needs no more than it reached."""
+    bins = Bins(lengths, of, capacity)
+    bins.search()
+    used = int((bins.fill > 0).sum())
+    if used > -(-int(lengths.sum()) // capacity):
+        plain = best_fit(lengths, capacity)
+        if int(plain.max()) + 1 <= used:
+            other = Bins(lengths, plain, capacity)
+            other.search()
+            if (other.fill > 0).sum() < used:
+                return other
+    return bins
+
+
+def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 16384) -> DataFrame:
     """``parts``, a written table, with ``sequence_id`` and ``offset``; needs doc_id, piece, start, length of which no length exceeds ``capacity``."""
     kept = parts.drop("sequence_id", "offset")
     names = kept.columns
@@ -157,8 +177,7 @@ def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 8192) -> Data
             pdf = pdf.sort_values([c for c in ("doc_id", "piece") if c in pdf], kind="stable")
             pdf = pdf.iloc[np.random.default_rng(len(pdf)).permutation(len(pdf))]
             old = in_order(pdf["length"].to_numpy(), capacity)
-        bins = Bins(pdf["length"].to_numpy(), old, capacity)
-        bins.search()
+        bins = fewest(pdf["length"].to_numpy(), old, capacity)
         offset = np.zeros(len(pdf), np.int64)
         for items in bins.items:
             offset[items] = np.cumsum([0, *bins.lengths[items][:-1]])
@@ -178,7 +197,7 @@ def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 8192) -> Data
         done.append(found.where("not underfull_").withColumn("round_", F.lit(number)))
         left = found.where("underfull_")
         told = left.agg(F.count("*").alias("rows"), F.count_distinct("group_", "bin_").alias("bins")).first()
-        if groups == 1 or number and told["bins"] > 0.98 * before:
+        if groups == 1 or number and told["bins"] >= before:
             done.append(left.withColumn("round_", F.lit(number)))
             break
         before, number = told["bins"], number + 1
@@ -187,7 +206,8 @@ def pack(parts: DataFrame, capacity: int = 4096, group_size: int = 8192) -> Data
     out = done[0]
     for df in done[1:]:
         out = out.unionAll(df)
-    name = (F.col("round_").cast("long") * (1 << 58)) + F.shiftleft(F.col("group_"), 24) + F.col("bin_")
+    # 24 bits for a bin of a group, 23 for a group, 16 for a round
+    name = (F.col("round_").cast("long") * (1 << 47)) + F.shiftleft(F.col("group_"), 24) + F.col("bin_")
     return out.select(*names, name.alias("sequence_id"), "offset")
 
 
