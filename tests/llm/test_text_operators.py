@@ -140,6 +140,23 @@ def readings(restorer, span):
         yield score + restorer.model[a][b][0], "".join(read for read, _, _ in path)
 
 
+@pytest.mark.parametrize("text", ["x1 " + "ab" * 50_000, "ab" * 50_000, "a1" * 50_000, "a " * 50_000, "a" * 100_000, " abcaaab" * 12_000, "1" * 100_000])
+def test_long_runs_take_linear_time(text):
+    model = toxicity.log_model(np.random.default_rng(0).integers(0, 50, (toxicity.SYMBOLS,) * 3).astype(float))
+    began = time.perf_counter()
+    assert len(toxicity.restored([text], toxicity.Restorer(model))) == 1
+    assert time.perf_counter() - began < 10
+
+
+def test_words_with_a_letter_three_times_are_restored_whole():
+    own = toxicity.Restorer(np.zeros((toxicity.SYMBOLS,) * 3))
+    own.span = lambda s: f"<{s}>"
+    rng, pattern = np.random.default_rng(3), re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+    for _ in range(3000):
+        text = "".join(rng.choice(list("aab1_ é²"), rng.integers(0, 25)))
+        assert own.repeated(text) == pattern.sub(lambda m: f"<{m[0]}>", text)
+
+
 def test_decoding_is_the_best_of_all_readings(spark, docs):
     restorer = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts(docs)))
     rng, signs = np.random.default_rng(12), [*"thein0134$!| .aab"]
@@ -375,14 +392,28 @@ def test_search_reaches_the_fewest_bins_and_never_gives_in_to_best_fit():
     assert over <= 2
     for lengths in (rng.integers(1, 60, 300), rng.integers(300, 3000, 400), np.full(90, 40), rng.geometric(0.02, 500) + 1):
         capacity = 100 if lengths.max() <= 100 else 4096
-        bins = packing.Bins(lengths, packing.in_order(lengths, capacity), capacity)
-        bins.search()
-        assert (bins.fill > 0).sum() <= packing.best_fit(lengths, capacity)
+        bins = packing.fewest(lengths, packing.in_order(lengths, capacity), capacity)
+        assert (bins.fill > 0).sum() <= packing.best_fit(lengths, capacity).max() + 1
     # best fit leaves 5+4, 4+3+2 and 2; two bins are enough
     hard = np.array([5, 4, 4, 3, 2, 2])
     bins = packing.Bins(hard, packing.in_order(hard, 10), 10)
     bins.search()
-    assert packing.best_fit(hard, 10) == 3 and bins.fill.tolist().count(10) == 2
+    assert packing.best_fit(hard, 10).max() == 2 and bins.fill.tolist().count(10) == 2
+
+
+@pytest.mark.parametrize("kind", ["uniform", "third to half", "geometric", "half to two thirds"])
+def test_packing_needs_no_more_bins_than_best_fit(spark, kind):
+    rng, c = np.random.default_rng(1), 4096
+    draw = {"uniform": lambda n: rng.integers(1, c + 1, n), "third to half": lambda n: rng.integers(c // 3, c // 2, n), "geometric": lambda n: np.minimum(rng.geometric(1 / 900, n), c), "half to two thirds": lambda n: rng.integers(c // 2, 2 * c // 3, n)}[kind]
+    lengths = draw(8192)
+    bins = packing.fewest(lengths, packing.in_order(lengths, c), c)
+    assert sorted(i for b in bins.items for i in b) == list(range(8192)) and bins.fill.max() <= c
+    assert (bins.fill > 0).sum() <= packing.best_fit(lengths, c).max() + 1
+    if kind in ("uniform", "geometric"):
+        lengths = draw(16_000)
+        parts = spark.createDataFrame([(i, 0, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")
+        got = packing.pack(materialize(parts, "test"), c).toPandas()
+        assert got.groupby("sequence_id")["length"].sum().max() <= c and got["sequence_id"].nunique() <= packing.best_fit(lengths, c).max() + 1
 
 
 def test_later_rounds_fill_what_groups_leave(spark):
@@ -609,6 +640,18 @@ def test_running_text_is_kept_whatever_its_class():
     assert html_text.main_text(lead).count("long running text") == 18 and "find" not in html_text.main_text(lead)
 
 
+def test_wrappers_of_whole_pages_are_kept():
+    long = "".join(f"<p>Paragraph number {i} tells a long story about many things, and it goes on for a while.</p>" for i in range(6))
+    want = "\n".join(f"Paragraph number {i} tells a long story about many things, and it goes on for a while." for i in range(6))
+    assert html_text.main_text(f"<body><form id=f>{long}</form></body>") == want
+    assert html_text.main_text(f"<body><form><article>{long}</article><input><nav>menu</nav></form></body>") == want
+    for named in ('class="informed-consent-study"', 'class="comment-on-policy"', 'id="reply-to-critics"', 'class="copyright-law-essay"'):
+        assert html_text.main_text(f"<body><p>Home</p><div {named}>{long}</div><footer>foot</footer></body>").endswith(want)
+    # beside an article they go, however much they hold
+    assert html_text.main_text(f"<body><article>{long}</article><form>sign up</form><div class=comments>{long * 9}</div></body>") == want
+    assert html_text.main_text(f"<body><article><p>where <math><mi>x</mi></math> holds.</p>{long}</article></body>") == "where x holds.\n" + want
+
+
 @pytest.mark.parametrize("part", ["<script ", '<a x="', "<div>", "<a><div><b></a>", '<a ">" ', "<body>", "<p>", "<li></p>", "<!--", "<script>", "<", "</", "<table><tr><td>", '<div class="', "<div class=header>", "&amp;", "<svg>", "<x></y>"])
 def test_broken_pages_take_time_that_grows_with_their_length(part):
     html = part * (1_000_000 // len(part) if len(part) > 5 else 100_000)
@@ -683,3 +726,25 @@ def test_pipeline_stages_chain(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out["doc_id"]) == {i for i in range(120) if i % 6}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "ngram_join", "decontamination", "packing"]
+
+
+def test_pipeline_keeps_clashing_columns_null_ids_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    names = "doc_id long, text string, lang string, row_ long, toxicity string, lang_pred string, component_id long, class string"
+    rows = [(i if i % 10 else None, prose(rng, list(SYLLABLES)[i % 4], 40) + (" idiot moron clown" if i % 6 == 5 else ""), list(SYLLABLES)[i % 4], 777 + i, "mine", "mine", -i, "c") for i in range(100)]
+    rows += [(1000 + k, t, None, 0, None, None, None, None) for k, t in enumerate(ODD)]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 6 == 5)) for i in range(100)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "no such words anywhere"), (1, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, known = spark.read.parquet(str(tmp_path / "documents.parquet")), {tuple(r) for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == [c.split()[0] for c in names.split(", ")]
+        assert {tuple(r) for r in docs.collect()} <= known and docs.count() >= 70
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {1, 2, 3, None}
+    for name in ("documents", "labels", "benchmark"):
+        empty = spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0)
+        empty.write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
