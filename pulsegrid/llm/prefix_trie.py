@@ -145,7 +145,11 @@ def trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     found = materialize(nodes(known), "nodes")
     children = found.where("depth > 0").groupBy(F.col("px").alias("kx"), F.col("py").alias("ky"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
     parents = found.select(F.col("kx").alias("px"), F.col("ky").alias("py"), (F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("parent_conv_id"))
-    digests = joined_sha256(last.withColumnRenamed("size", "depth").withColumn("member", F.col("conv_id")), [*_KEYS, "depth"], ["conv_id"], "member", ",", "ends_sha256")
+    # ids of a thousand come together first, so a group of copies has few rows
+    spans = last.groupBy(*_KEYS, F.col("size").alias("depth"), F.floor(F.col("conv_id") / 1024).alias("span")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("members")
+    )
+    digests = joined_sha256(spans, [*_KEYS, "depth"], ["span"], "members", ",", "ends_sha256")
     told = found.join(children, [*_KEYS, "depth"], "left").join(digests, [*_KEYS, "depth"], "left").join(parents, ["px", "py", "depth"], "left")
     out = materialize(
         told.select("conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", nothing).alias("n_children"), "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256")),
