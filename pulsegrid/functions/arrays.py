@@ -54,33 +54,6 @@ def time_at_level(values: Column, first: Column, end: Column, level: Column, n:
     return F.when(hit == first, time_of(hit, n, duration)).otherwise(between)
 
 
-def local_maxima(values: Column) -> Column:
-    """Indexes of local maxima in order; of a plateau its middle, rounded down. Ends of the signal don't count."""
-    n = F.size(values)
-    rises = F.filter(indexes(F.lit(1), n - 1), lambda i: F.get(values, i) > F.get(values, i - 1))
-    ends = F.transform(rises, lambda i: F.struct(i.alias("a"), first_where(values, i + 1, n, lambda v: v != F.get(values, i)).alias("b")))
-    peaks = F.filter(ends, lambda e: e["b"].isNotNull() & (F.get(values, e["b"]) < F.get(values, e["a"])))
-    return F.transform(peaks, lambda e: F.floor((e["a"] + e["b"] - 1) / 2).cast("int"))
-
-
-def prominence(values: Column, peak: Column) -> Column:
-    """Height of a peak above the higher of its two bases, which end at the nearest strictly higher samples."""
-    height = F.get(values, peak)
-    left = F.coalesce(last_where(values, F.lit(0), peak, lambda v: v > height), F.lit(-1)) + 1
-    right = F.coalesce(first_where(values, peak + 1, F.size(values), lambda v: v > height), F.size(values))
-    return height - F.greatest(F.array_min(part(values, left, peak + 1)), F.array_min(part(values, peak, right)))
-
-
-def keep_apart(values: Column, peaks: Column, distance: Column | int) -> Column:
-    """Peaks at least ``distance`` apart: from the highest down (of equals the later first), a kept one removes its neighbours."""
-    order = F.array_sort(F.transform(peaks, lambda p: F.struct((-F.get(values, p)).alias("h"), (-p).alias("p"))))
-    kept = F.aggregate(
-        order, F.array().cast("array<int>"),
-        lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(k + x["p"]) < distance), acc).otherwise(F.concat(acc, F.array(-x["p"]))),
-    )
-    return F.array_sort(kept)
-
-
 def median(values: Column) -> Column:
     """Median of an array of numbers, or null."""
     ordered, n = F.array_sort(values), F.size(values)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import first_where, keep_apart, local_maxima, part, prominence, time_at_level, time_of
+from ..functions.arrays import first_where, part, time_at_level, time_of
+from ..functions.peaks import keep_apart, local_maxima, prominences, prominent
+from ..functions.quantiles import exact_quantiles
 from .scalar import PIXEL, centred
 
 
@@ -16,7 +18,7 @@ def pulsatility(signals: DataFrame) -> DataFrame:
 
 def otsu_thresholds(maps: DataFrame, bins: int = 256) -> DataFrame:
     """(recording_id, low, high, p65, otsu): the histogram threshold that separates two classes best, at the middle of a bin."""
-    bounds = maps.groupBy("recording_id").agg(F.min("pulsatility").alias("low"), F.max("pulsatility").alias("high"), F.percentile("pulsatility", F.lit(0.65)).alias("p65"))
+    bounds = exact_quantiles(maps, "recording_id", "pulsatility", [0.65]).select("recording_id", "low", "high", F.col("q")[0].alias("p65"))
     step = F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) / bins
     bin_of = F.least(F.floor((F.col("pulsatility") - F.col("low")) / step), F.lit(bins - 1)).cast("int")
     counts = maps.join(bounds, "recording_id").groupBy("recording_id", bin_of.alias("bin"), (F.col("low") + (bin_of + 0.5) * step).alias("centre")).agg(F.count("*").alias("n"))
@@ -49,23 +51,20 @@ def span(v: Column) -> Column:
     return F.array_max(v) - F.array_min(v)
 
 
-def prominent(v: Column, peaks: Column, share: float = 0.15) -> Column:
-    return F.filter(peaks, lambda p: prominence(v, p) >= share * span(v))
-
-
 def beats(trace: DataFrame, fps: float) -> DataFrame:
     """(recording_id, beats): frames of the peaks of the reference trace, 0.8 s apart or more, of a prominence of 15 % of its range; none in a flat trace."""
     ordered = F.array_sort(F.collect_list(F.struct("t", "v")))
     packed = trace.groupBy("recording_id").agg(F.transform(ordered, lambda s: s["v"]).alias("v"))
-    packed = packed.withColumn("all", local_maxima(F.col("v"))).withColumn("apart", keep_apart(F.col("v"), F.col("all"), max(int(fps * 0.8), 2)))
-    found = F.when(span(F.col("v")) < 1e-6, F.array().cast("array<int>")).otherwise(prominent(F.col("v"), F.col("apart")))
+    packed = packed.withColumn("apart", keep_apart(F.col("v"), local_maxima(F.col("v")), max(int(fps * 0.8), 2)))
+    found = F.when(span(F.col("v")) < 1e-6, F.array().cast("array<int>")).otherwise(F.transform(prominent(F.col("v"), F.col("apart")), lambda e: e["p"]))
     return packed.select("recording_id", found.alias("beats"))
 
 
 def peak_prominences(packed: DataFrame) -> DataFrame:
     """(pixel, t, prominence) of all local maxima."""
     peaks = packed.withColumn("p", local_maxima(F.col("v")))
-    return peaks.select(*PIXEL, "v", F.explode("p").alias("t")).select(*PIXEL, "t", prominence(F.col("v"), F.col("t")).alias("prominence"))
+    both = F.arrays_zip(F.col("p").alias("t"), prominences(F.col("v"), F.col("p")).alias("prominence"))
+    return peaks.select(*PIXEL, F.explode(both).alias("e")).select(*PIXEL, "e.t", "e.prominence")
 
 
 def level_crossing(packed: DataFrame, duration: float, share: float = 0.5) -> DataFrame:

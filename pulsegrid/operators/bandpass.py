@@ -1,4 +1,9 @@
-"""Band-pass by a fourth-order Butterworth filter run forwards and backwards, as second-order sections."""
+"""Band-pass by a fourth-order Butterworth filter run forwards and backwards, as second-order sections.
+
+A section is a linear recurrence, run as a scan: blocks of frames are filtered side by side as if each began at rest, the state that each
+block begins in follows from the one before by a power of the transition matrix, and what that state adds is laid on top. A signal of n
+frames takes about 2 sqrt(n) steps of numpy instead of n, for all signals of a batch together.
+"""
 
 from __future__ import annotations
 
@@ -44,16 +49,39 @@ def _settled(sections: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def recurrence(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One section over the rows of ``x``; ``state`` has a row's two states before its first frame."""
+    b0, b1, b2, _, a1, a2 = section
+    rows, n = x.shape
+    size = max(int(np.ceil(np.sqrt(n))), 1)
+    count = -(-n // size)
+    blocks = np.zeros((rows, count * size))
+    blocks[:, :n] = x
+    blocks = blocks.reshape(rows, count, size)
+    z1 = z2 = np.zeros((rows, count))
+    y = np.empty_like(blocks)
+    for i in range(size):
+        v = blocks[:, :, i]
+        y[:, :, i] = o = b0 * v + z1
+        z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])
+    whole = np.linalg.matrix_power(step, size)
+    begin = np.empty((rows, count, 2))
+    for k in range(count):
+        begin[:, k] = state
+        state = state @ whole.T + np.stack([z1[:, k], z2[:, k]], 1)
+    # what a state adds to the frames of its block: the first row of each power of the step
+    adds, row = np.empty((size, 2)), np.array([1.0, 0.0])
+    for i in range(size):
+        adds[i] = row
+        row = row @ step
+    return (y + begin @ adds.T).reshape(rows, -1)[:, :n]
+
+
 def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    first = x[:, 0]
-    for (b0, b1, b2, _, a1, a2), z in zip(sections, _settled(sections), strict=True):
-        z1, z2, y = z[0] * first, z[1] * first, np.empty_like(x)
-        for i in range(x.shape[1]):
-            v = x[:, i]
-            o = b0 * v + z1
-            z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-            y[:, i] = o
-        x = y
+    first = x[:, :1]
+    for section, z in zip(sections, _settled(sections), strict=True):
+        x = recurrence(section, x, first * z)
     return x
 
 

@@ -1,15 +1,19 @@
-"""Slow baselines: rolling envelope, exponential decay, lines through minima."""
+"""Slow baselines: rolling envelope, exponential decay, lines through minima; arrays of a packed signal throughout."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from ..functions.arrays import keep_apart, local_maxima
+from ..functions.peaks import each, keep_apart, local_maxima
 from .scalar import PIXEL
 
 
@@ -17,11 +21,66 @@ def envelope_width(frames: int) -> int:
     return max(frames // 8, 3) // 2
 
 
+def sliding_quantile(v: np.ndarray, k: int, share: float = 0.1) -> np.ndarray:
+    """Quantiles of the ``k`` frames to either side of each frame, fewer at the ends: one sorted window that a value enters and one leaves at a step."""
+    values, n = v.tolist(), len(v)
+    window, out = sorted(values[:k]), []
+    for i in range(n):
+        if i + k < n:
+            insort(window, values[i + k])
+        if i > k:
+            del window[bisect_left(window, values[i - k - 1])]
+        place = (len(window) - 1) * share
+        at = int(place)
+        low = window[at]
+        out.append(low + (window[min(at + 1, len(window) - 1)] - low) * (place - at))
+    return np.array(out)
+
+
+def lines_of(v: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """Lines through two minima or more, carried on at the ends."""
+    t = np.arange(len(v))
+    i = np.clip(np.searchsorted(minima, t, "right") - 1, 0, len(minima) - 2)
+    a, b = minima[i], minima[i + 1]
+    return v[a] + (v[b] - v[a]) * (t - a) / (b - a)
+
+
+def rolling(v: Column, frames: int) -> Column:
+    """The envelope of packed signals."""
+    k = envelope_width(frames)
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(v: pa.Array) -> pa.Array:
+        return each(pa.float64(), lambda x: sliding_quantile(x, k), v)
+
+    return run(v)
+
+
+def through_minima(v: Column, minima: Column, frames: int) -> Column:
+    """Lines through the minima of packed signals, the envelope where there is one at most."""
+    k = envelope_width(frames)
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(v: pa.Array, minima: pa.Array) -> pa.Array:
+        return each(pa.float64(), lambda x, m: lines_of(x, m) if len(m) > 1 else sliding_quantile(x, k), v, minima)
+
+    return run(v, minima)
+
+
+def on_axis(signals: DataFrame) -> DataFrame:
+    """(pixel, t, time_s, v): a row for each pixel with arrays in frame order."""
+    rows = F.array_sort(F.collect_list(F.struct("t", "time_s", "v")))
+    return signals.groupBy(*PIXEL).agg(rows.alias("rows")).select(*PIXEL, "rows.t", "rows.time_s", "rows.v")
+
+
+def off_axis(packed: DataFrame, *columns: str) -> DataFrame:
+    """Back to one row for each frame."""
+    return packed.select(*PIXEL, F.explode(F.arrays_zip("t", "time_s", *columns)).alias("e")).select(*PIXEL, "e.t", "e.time_s", *[f"e.{c}" for c in columns])
+
+
 def envelope(signals: DataFrame, frames: int) -> DataFrame:
     """Rolling tenth percentile, ``env``, over max(frames // 8, 3) // 2 frames to either side; shorter at the ends."""
-    k = envelope_width(frames)
-    over = f"PARTITION BY recording_id, pixel_id ORDER BY t ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING"
-    return signals.withColumn("env", F.expr(f"percentile(v, 0.1) OVER ({over})"))
+    return off_axis(on_axis(signals).withColumn("env", rolling(F.col("v"), frames)), "v", "env")
 
 
 def _decay(t: np.ndarray, tau: np.ndarray) -> np.ndarray:
@@ -84,42 +143,22 @@ def decay_baseline(envelopes: DataFrame) -> DataFrame:
 
 
 def exponential_baseline(signals: DataFrame, frames: int) -> DataFrame:
-    """Rows (pixel, t, baseline) of the decay fitted to each pixel's envelope."""
-    ordered = F.array_sort(F.collect_list(F.struct("t", "time_s", "env")))
-    packed = envelope(signals, frames).groupBy(*PIXEL).agg(F.transform(ordered, lambda s: s["env"]).alias("env"), F.transform(ordered, lambda s: s["time_s"]).alias("times"))
-    return decay_baseline(packed).select(*PIXEL, F.posexplode("baseline").alias("t", "baseline"))
+    """(pixel, baseline): the decay fitted to each pixel's envelope."""
+    known = on_axis(signals).select(*PIXEL, rolling(F.col("v"), frames).alias("env"), F.col("time_s").alias("times"))
+    return decay_baseline(known).select(*PIXEL, "baseline")
 
 
 def boundary_baseline(packed: DataFrame, frames: int) -> DataFrame:
-    """Rows (pixel, t, baseline): lines through local minima max(5, frames // 10) apart, carried on at the ends; the envelope where there is one minimum at most."""
-    minima = packed.select(*PIXEL, "v", F.transform("v", lambda x: -x).alias("negative"))
-    minima = minima.withColumn("all", local_maxima(F.col("negative"))).withColumn("m", keep_apart(F.col("negative"), F.col("all"), max(5, frames // 10)))
-    last = F.size("m") - 2
-
-    def line(i):
-        j = F.least(F.greatest(F.size(F.filter("m", lambda k: k <= i)) - 1, F.lit(0)), last)
-        a, b = F.get("m", j), F.get("m", j + 1)
-        return F.get("v", a) + (F.get("v", b) - F.get("v", a)) * (i - a) / (b - a)
-
-    k = envelope_width(frames)
-
-    def lowest(i):
-        # the tenth percentile of the frames around i, between the two nearest ranks
-        near = F.array_sort(F.slice("v", F.greatest(i - k, F.lit(0)) + 1, F.least(i + k, F.size("v") - 1) - F.greatest(i - k, F.lit(0)) + 1))
-        rank = (F.size(near) - 1) * 0.1
-        low = F.floor(rank).cast("int")
-        return F.get(near, low) + (F.get(near, F.least(low + 1, F.size(near) - 1)) - F.get(near, low)) * (rank - low)
-
-    every = F.sequence(F.lit(0), F.size("v") - 1)
-    baseline = F.when(F.size("m") > 1, F.transform(every, line)).otherwise(F.transform(every, lowest))
-    return minima.select(*PIXEL, F.posexplode(baseline).alias("t", "baseline"))
-
-
-def corrected(signals: DataFrame, packed: DataFrame, frames: int, model: str) -> DataFrame:
-    """``signals`` without their baseline; a pixel whose baseline isn't finite is taken above its minimum."""
-    base = exponential_baseline(signals, frames) if model == "Single Exp" else boundary_baseline(packed, frames)
-    joined = signals.join(base, [*PIXEL, "t"])
-    pixel = Window.partitionBy(*PIXEL)
-    bad = F.max((F.col("baseline").isNull() | F.isnan("baseline")).cast("int")).over(pixel)
-    low = F.min("v").over(pixel)
-    return joined.withColumn("v", F.when(bad == 1, F.col("v") - low).otherwise(F.col("v") - F.col("baseline"))).drop("baseline")
+    """``packed`` with ``baseline``: lines through local minima max(5, frames // 10) apart; the envelope where there is one minimum at most."""
+    negative = F.transform("v", lambda x: -x)
+    known = packed.withColumn("minima_", keep_apart(negative, local_maxima(negative), max(5, frames // 10)))
+    return known.withColumn("baseline", through_minima(F.col("v"), F.col("minima_"), frames)).drop("minima_")
+
+
+def corrected(signals: DataFrame, frames: int, model: str) -> DataFrame:
+    """``signals`` without their baseline; a pixel whose baseline isn't finite is taken above its minimum. ``model`` is "Single Exp", else lines through minima."""
+    known = on_axis(signals)
+    known = known.join(exponential_baseline(signals, frames), PIXEL) if model == "Single Exp" else boundary_baseline(known, frames)
+    bad = F.exists("baseline", lambda b: b.isNull() | F.isnan(b))
+    above = F.transform("v", lambda x: x - F.array_min("v"))
+    return off_axis(known.withColumn("v", F.when(bad, above).otherwise(F.zip_with("v", "baseline", lambda x, b: x - b))), "v")

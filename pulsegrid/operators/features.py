@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.arrays import let, part
 from .activity import span
@@ -17,47 +16,42 @@ from .scalar import PIXEL, mean_of
 FEATURES = ["puls", "dom_freq", "mean_amp", "phase_offset", "duty"]
 
 
-def dominant_frequency(v: Column, frames: int, duration: float, low: float = 0.3, high: float = 5.0) -> Column:
-    """The frequency in the band of the largest Fourier coefficient, of equals the lowest; 0 where the band is empty.
-
-    The step of the time axis is duration / (frames - 1).
-    """
-    hertz = (frames - 1) / (frames * duration)
-    inside = [k for k in range(frames // 2 + 1) if low <= k * hertz <= high]
-    if not inside:
-        return F.lit(0.0)
-
-    def power(k: int) -> Column:
-        turn = 2 * math.pi * k / frames
-        cosines, sines = (F.array(*[F.lit(round(f(turn * i), 15)) for i in range(frames)]) for f in (math.cos, math.sin))
-        dot = lambda w: F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.hypot(dot(cosines), dot(sines))
-
-    best = F.array_min(F.array(*[F.struct((-F.round(power(k), 9)).alias("p"), F.lit(k * hertz).alias("f")) for k in inside]))
-    return F.when(best["p"] < 0, best["f"]).otherwise(0.0)
-
-
-def mean_phase(values: np.ndarray) -> float:
-    """Mean angle of the analytic signal."""
-    n = len(values)
-    spectrum = np.fft.fft(values)
+def mean_phase(values: np.ndarray) -> np.ndarray:
+    """Mean angle of the analytic signal of each row."""
+    n = values.shape[1]
     double = np.zeros(n)
     double[0] = 1
     double[1 : (n + 1) // 2] = 2
-    if n % 2 == 0 and n:
+    if n % 2 == 0:
         double[n // 2] = 1
-    return float(np.angle(np.fft.ifft(spectrum * double)).mean())
+    return np.angle(np.fft.ifft(np.fft.fft(values, axis=1) * double, axis=1)).mean(1)
 
 
-def phases(packed: DataFrame) -> DataFrame:
-    """(pixel, phase_offset); 0 where a signal has no phase."""
+def spectrum(v: Column, duration: float, low: float = 0.3, high: float = 5.0) -> Column:
+    """(dom_freq, phase_offset) of packed signals, by Fourier transforms of all signals of a batch that are equally long.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [mean_phase(np.asarray(v, float)) if len(v) and np.isfinite(v).all() else 0.0 for v in pdf["v"]]
-            yield pd.DataFrame({"recording_id": pdf["recording_id"], "pixel_id": pdf["pixel_id"], "phase_offset": found})
+    ``dom_freq`` is the frequency in the band of the largest coefficient, of equals the lowest; 0 where the band is empty. The step of the time axis is
+    duration / (frames - 1). Both are 0 for signals that are empty or not finite.
+    """
 
-    return packed.select(*PIXEL, "v").mapInPandas(run, "recording_id string, pixel_id int, phase_offset double")
+    @arrow_udf(T.StructType([T.StructField("dom_freq", T.DoubleType()), T.StructField("phase_offset", T.DoubleType())]))
+    def run(signals: pa.Array) -> pa.Array:
+        values = [np.asarray(x if x is not None else [], float) for x in signals.to_numpy(zero_copy_only=False)]
+        best, phase = np.zeros(len(values)), np.zeros(len(values))
+        for n in {len(x) for x in values} - {0}:
+            rows = np.array([i for i, x in enumerate(values) if len(x) == n and np.isfinite(x).all()], int)
+            if not len(rows):
+                continue
+            stack = np.stack([values[i] for i in rows])
+            phase[rows] = mean_phase(stack)
+            hertz = np.arange(n // 2 + 1) * (n - 1) / (n * duration)
+            inside = (hertz >= low) & (hertz <= high)
+            if inside.any():
+                power = np.round(np.abs(np.fft.rfft(stack, axis=1)[:, inside]), 9)
+                best[rows] = np.where(power.max(1) > 0, hertz[inside][power.argmax(1)], 0.0)
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(phase)], ["dom_freq", "phase_offset"])
+
+    return run(v)
 
 
 def beat_amplitude(v: Column, beats: Column, fps: float) -> Column:
@@ -73,12 +67,10 @@ def duty(v: Column) -> Column:
     return let(F.array_min(v) + 0.5 * span(v), lambda middle: F.when(span(v) > 1e-6, F.size(F.filter(v, lambda x: x > middle)) / F.size(v)).otherwise(0.0))
 
 
-def features(packed: DataFrame, filtered: DataFrame, mask: DataFrame, beats: DataFrame, frames: int, duration: float, with_phase: bool = True) -> DataFrame:
+def features(packed: DataFrame, filtered: DataFrame, mask: DataFrame, beats: DataFrame, fps: float, duration: float) -> DataFrame:
     """(pixel, puls, dom_freq, mean_amp, phase_offset, duty) of active pixels; variance, spectrum and phase are those of ``filtered``."""
     active = mask.where("active").select(*PIXEL)
     both = packed.join(filtered.select(*PIXEL, F.col("v").alias("f")), PIXEL).join(active, PIXEL).join(beats, "recording_id")
     variance = let(mean_of(F.col("f")), lambda mean: F.aggregate("f", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("f"))
-    out = both.select(*PIXEL, variance.alias("puls"), dominant_frequency(F.col("f"), frames, duration).alias("dom_freq"), beat_amplitude(F.col("v"), F.col("beats"), frames / duration).alias("mean_amp"), duty(F.col("v")).alias("duty"))
-    if not with_phase:
-        return out
-    return out.join(phases(filtered.join(active, PIXEL)), PIXEL).select(*PIXEL, *FEATURES)
+    told = both.withColumn("s", spectrum(F.col("f"), duration))
+    return told.select(*PIXEL, variance.alias("puls"), "s.dom_freq", beat_amplitude(F.col("v"), F.col("beats"), fps).alias("mean_amp"), "s.phase_offset", duty(F.col("v")).alias("duty"))

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import argmin, first_where, gaps, indexes, last_where, let, local_maxima, median, part, prominence, time_at_level, time_of
-from .activity import prominent, span
+from ..functions.arrays import argmin, gaps, indexes, last_where, let, median, part, time_at_level, time_of
+from ..functions.peaks import local_maxima, prominent
+from .activity import span
 from .scalar import PIXEL
 
 KINETICS = ["bpm", "amp", "f0", "t_on_ms", "t10_on", "t50_on", "t90_on", "t_off_ms", "t10_off", "t50_off", "t90_off", "cd"]
@@ -27,10 +28,10 @@ def single_transient(packed: DataFrame, duration: float) -> DataFrame:
     """Kinetics of the most prominent peak of each signal; pixels of a flat signal or without a prominent peak have no row."""
     v = F.col("v")
     found = packed.select(*PIXEL, "v", F.size(v).alias("n")).where(span(v) >= 1e-6)
-    found = found.withColumn("peaks", prominent(v, local_maxima(v))).where(F.size("peaks") > 0)
-    found = found.withColumn("minima", local_maxima(F.transform(v, lambda x: -x)))
-    best = F.array_min(F.transform("peaks", lambda p: F.struct((-prominence(v, p)).alias("h"), p.alias("p"))))["p"]
-    found = found.withColumn("peak", best)
+    found = found.withColumns({"every": local_maxima(v), "minima": local_maxima(F.transform(v, lambda x: -x))})
+    found = found.withColumn("high", prominent(v, F.col("every"))).where(F.size("high") > 0)
+    best = F.array_min(F.transform("high", lambda e: F.struct((-e["prominence"]).alias("h"), e["p"].alias("p"))))["p"]
+    found = found.withColumns({"peak": best, "peaks": F.transform("high", lambda e: e["p"])}).drop("every", "high")
     peak, n = F.col("peak"), F.col("n")
     low = F.array_min(part(v, F.lit(0), peak + 1))
     rough = low + 0.05 * (F.get(v, peak) - low)

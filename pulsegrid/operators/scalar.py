@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
+from ..functions.quantiles import exact_quantiles
 
 PIXEL = ["recording_id", "pixel_id"]
 
 
 def normalise(signals: DataFrame, frames: int = 16, low: float = 0.004, high: float = 0.996, guard: bool = True) -> DataFrame:
     """Clip to the percentiles of the first frames and scale to 0..255; a flat image gets a range of one if ``guard``."""
-    bounds = signals.where(F.col("t") < frames).groupBy("recording_id").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
+    bounds = exact_quantiles(signals.where(F.col("t") < frames), "recording_id", "v", [low, high]).select("recording_id", F.col("q").alias("p"))
     least, most = F.col("p")[0], F.col("p")[1]
     most = F.when(most <= least, least + 1).otherwise(most) if guard else most
     clipped = F.least(F.greatest("v", least), most)

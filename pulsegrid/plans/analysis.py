@@ -32,7 +32,7 @@ class Analysis:
 
 def analyse(signals: DataFrame, grid: Grid, model: str = "Single Exp", epochs: int = 100, contrastive: bool = True) -> Analysis:
     """The chain from signals to labels by three methods: density of features, communities of correlation, communities of embeddings."""
-    corrected = scalar.sanitise(baseline.corrected(signals, pack(signals), grid.frames, model))
+    corrected = scalar.sanitise(baseline.corrected(signals, grid.frames, model))
     packed = pack(corrected).persist()
     filtered = bandpass.bandpass(packed, grid.fps)
     power = filtered.select(*PIXEL, F.explode("v").alias("v"))
@@ -41,7 +41,7 @@ def analyse(signals: DataFrame, grid: Grid, model: str = "Single Exp", epochs: i
     trace = activity.reference_trace(corrected, mask)
     beats = activity.beats(trace, grid.fps)
     active = mask.where("active").select(*PIXEL)
-    told = features.features(packed, filtered, mask, beats, grid.frames, grid.duration)
+    told = features.features(packed, filtered, mask, beats, grid.fps, grid.duration)
     by_method = {"features": clustering.cluster_features(told, features.FEATURES)}
     signals_of = packed.join(active, PIXEL)
     edges = {"correlation": graphs.correlation_graph(signals_of, grid.width)}
@@ -63,7 +63,7 @@ def analyse(signals: DataFrame, grid: Grid, model: str = "Single Exp", epochs: i
 
 def batch(signals: DataFrame, grid: Grid, samples: int = 10, seed: int = 42) -> DataFrame:
     """Kinetics of a weighted sample of each recording's active pixels, over boundary baselines; recordings without one have no row."""
-    packed = pack(baseline.corrected(signals, pack(signals), grid.frames, "Boundary"))
+    packed = pack(baseline.corrected(signals, grid.frames, "Boundary"))
     filtered = bandpass.bandpass(packed, grid.fps)
     mask = activity.activity_mask(activity.pulsatility(filtered.select(*PIXEL, F.explode("v").alias("v"))))
     active = packed.join(mask.where("active").select(*PIXEL), PIXEL)

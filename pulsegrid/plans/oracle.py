@@ -137,6 +137,45 @@ ks AS (SELECT k, k * {(T - 1) / (T * DUR)!r} AS f FROM (SELECT unnest(range({T /
 dft AS (SELECT recording_id, pixel_id, k, f, round(sqrt(sum(v * cos(2 * pi() * k * t / {T})) ^ 2 + sum(v * sin(2 * pi() * k * t / {T})) ^ 2), 9) AS m FROM s CROSS JOIN ks GROUP BY ALL),
 dom AS (SELECT recording_id, pixel_id, CASE WHEN max(m) > 0 THEN arg_max(f, (m, -k)) ELSE 0 END AS dom_freq FROM dft GROUP BY ALL)"""
 
+
+
+def _sections() -> list[list[float]]:
+    """The filter's coefficients and settled states at this frame rate: fixed numbers to the SQL, which has its own recurrence."""
+    from ..operators.bandpass import _settled, band, design
+
+    sections = design(*band(FPS))
+    return [[*map(float, (b0, b1, b2, a1, a2)), *map(float, z)] for (b0, b1, b2, _, a1, a2), z in zip(sections, _settled(sections), strict=True)]
+
+
+def _pass(name: str, src: str) -> str:
+    """One run of the filter over lists ``x`` of ``src``, a frame at a step: lists ``x`` of what comes out."""
+    sections = _sections()
+    states = [f"z{i}{j}" for i in range(len(sections)) for j in (1, 2)]
+    begin = ", ".join(f"{z!r} * x[1]" for s in sections for z in s[5:])
+    step, new, u = [], [], "x[k + 1]"
+    for i, (b0, b1, b2, a1, a2, _, _) in enumerate(sections):
+        step.append(f"{b0!r} * {u} + z{i}1 AS o{i}")
+        new += [f"{b1!r} * {u} - ({a1!r}) * o{i} + z{i}2 AS n{i}1", f"{b2!r} * {u} - ({a2!r}) * o{i} AS n{i}2"]
+        u = f"o{i}"
+    outs = [f"o{i}" for i in range(len(sections))]
+    return f"""
+{name}_walk({PIX}, k, x, {", ".join(states)}, y) AS (
+  SELECT {PIX}, 0, x, {begin}, CAST(0 AS DOUBLE) FROM {src}
+  UNION ALL SELECT {PIX}, k + 1, x, {", ".join(n.split(" AS ")[1] for n in new)}, {outs[-1]} FROM (SELECT *, {", ".join(step)}, {", ".join(new)} FROM {name}_walk WHERE k < len(x))),
+{name} AS (SELECT {PIX}, list(y ORDER BY k) AS x FROM {name}_walk WHERE k > 0 GROUP BY ALL)"""
+
+
+PAD = 27
+FILTERED = f"""
+ext AS (SELECT {PIX}, list_concat(list_transform(range({PAD}), lambda i: 2 * v[1] - v[{PAD + 1} - i]), v, list_transform(range({PAD}), lambda i: 2 * v[{T}] - v[{T - 1} - i])) AS x FROM p),
+{_pass("ahead", "ext")},
+turned AS (SELECT {PIX}, list_reverse(x) AS x FROM ahead),
+{_pass("back", "turned")},
+fp AS (SELECT {PIX}, list_reverse(x)[{PAD + 1}:{PAD + T}] AS v FROM back),
+fs AS (SELECT {PIX}, CAST(t AS INTEGER) AS t, v[t + 1] AS v FROM fp, (SELECT unnest(range({T})) AS t))"""
+FILTERED_MASK = MASK.replace("FROM s GROUP BY ALL", "FROM fs GROUP BY ALL", 1)
+GR = "WITH RECURSIVE" + grid()
+
 SQL: dict[str, str] = {
     "prj01_normalise": G + """, b AS (SELECT recording_id, quantile_cont(v, 0.004) AS lo, quantile_cont(v, 0.996) AS hi0 FROM s WHERE t < 16 GROUP BY ALL), c AS (SELECT recording_id, lo, CASE WHEN hi0 <= lo THEN lo + 1 ELSE hi0 END AS hi FROM b)
 SELECT recording_id, pixel_id, t, round((least(greatest(v, lo), hi) - lo) / (hi - lo) * 255, 6) AS v FROM s JOIN c USING (recording_id)""",
@@ -154,6 +193,18 @@ e AS (SELECT recording_id, pixel_id, t, v, {ENV} AS env FROM s),
 j AS (SELECT e.recording_id, e.pixel_id, t, e.v AS sv, env, m, p.v AS v, least(greatest(len(list_filter(m, lambda k: k <= e.t)), 1), len(m) - 1) AS i FROM e JOIN p USING (recording_id, pixel_id) LEFT JOIN m0 USING (recording_id, pixel_id))
 SELECT recording_id, pixel_id, t, round(sv - CASE WHEN len(m) > 1 THEN v[m[i] + 1] + (v[m[i + 1] + 1] - v[m[i] + 1]) * (t - m[i]) / (m[i + 1] - m[i]) ELSE env END, 6) AS v FROM j""",
     "win04_above_minimum": G + " SELECT recording_id, pixel_id, t, round(v - min(v) OVER (PARTITION BY recording_id, pixel_id), 6) AS v FROM s",
+    "win05_bandpass": GR + "," + FILTERED + f" SELECT {PIX}, t, round(v, 6) + CAST(0 AS DOUBLE) AS v FROM fs",
+    "agg06_phase": GR + "," + FILTERED + "," + FILTERED_MASK + "," + TRACE + "," + BEATS + "," + DOM.replace("FROM s CROSS", "FROM fs CROSS") + f""",
+-- the imaginary part of the analytic signal is a sum over the frames an odd way off
+hl AS (SELECT a.recording_id, a.pixel_id, a.t, any_value(a.v) AS v, sum(CASE WHEN (a.t - b.t) % 2 <> 0 THEN b.v * 2.0 / {T} / tan(pi() * (a.t - b.t) / {T}) ELSE 0 END) AS h FROM fs a JOIN fs b USING (recording_id, pixel_id) GROUP BY ALL),
+ph AS (SELECT recording_id, pixel_id, avg(atan2(h, v)) AS phase FROM hl GROUP BY ALL)
+SELECT p.recording_id, p.pixel_id, round(pulsatility, 6) AS puls, round(dom_freq, 6) AS dom_freq,
+  round(CASE WHEN len(beats) > 0 THEN list_avg(list_transform(beats, lambda b: v[b + 1] - list_min(v[greatest(b - {max(int(1.5 * FPS), 3)}, 0) + 1:b + 1]))) ELSE list_max(v) - list_min(v) END, 6) AS mean_amp,
+  round(phase, 6) + CAST(0 AS DOUBLE) AS phase_offset, round(len(list_filter(v, lambda x: x > list_min(v) + 0.5 * (list_max(v) - list_min(v)))) / {T}, 6) AS duty
+FROM p JOIN mask USING (recording_id, pixel_id) JOIN bl USING (recording_id) JOIN dom USING (recording_id, pixel_id) JOIN ph USING (recording_id, pixel_id) WHERE active""",
+    "agg07_filtered": GR + "," + FILTERED + "," + FILTERED_MASK + """ SELECT recording_id, round(coalesce(greatest(0, least(1, avg(c))), 0), 6) AS sync_index FROM (
+  SELECT a.recording_id, a.pixel_id, b.pixel_id AS other, corr(a.v, b.v) AS c FROM fs a JOIN fs b ON a.recording_id = b.recording_id AND a.t = b.t AND a.pixel_id < b.pixel_id
+  WHERE (a.recording_id, a.pixel_id) IN (SELECT (recording_id, pixel_id) FROM mask WHERE active) AND (b.recording_id, b.pixel_id) IN (SELECT (recording_id, pixel_id) FROM mask WHERE active) GROUP BY ALL) WHERE NOT isnan(c) GROUP BY ALL""",
     "win06_local_maxima": G + "," + RUNS.format(src="s") + " SELECT recording_id, pixel_id, CAST(t AS INTEGER) AS t FROM maxima",
     "win07_prominence": G + "," + RUNS.format(src="s") + "," + PROMINENCES.format(src="s") + " SELECT recording_id, pixel_id, CAST(t AS INTEGER) AS t, round(prominence, 6) AS prominence FROM prominences",
     "win08_peak_distance": G + "," + RUNS.format(src="s") + """,

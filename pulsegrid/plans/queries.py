@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import keep_apart, local_maxima
+from ..functions.peaks import keep_apart, local_maxima
 from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial
 from ..sources import timing
 from .analysis import analyse, batch
@@ -78,12 +78,12 @@ def win01(spark, d):
 
 def win02(spark, d):
     s = signals(spark, d)
-    return baseline.corrected(s, pack(s), FRAMES, "Single Exp").select(*PIXEL, "t", "v")
+    return baseline.corrected(s, FRAMES, "Single Exp").select(*PIXEL, "t", "v")
 
 
 def win03(spark, d):
     s = signals(spark, d)
-    return _values(baseline.corrected(s, pack(s), FRAMES, "Boundary"))
+    return _values(baseline.corrected(s, FRAMES, "Boundary"))
 
 
 def win04(spark, d):
@@ -91,7 +91,7 @@ def win04(spark, d):
 
 
 def win05(spark, d):
-    return unpack(bandpass.bandpass(packed(spark, d), FPS)).select(*PIXEL, "t", "v")
+    return _values(unpack(bandpass.bandpass(packed(spark, d), FPS)))
 
 
 def win06(spark, d):
@@ -140,18 +140,33 @@ def agg05(spark, d):
 
 def agg06(spark, d):
     _, p, mask, beats = _base(spark, d)
-    return _rounded(features.features(p, p, mask, beats, FRAMES, DURATION, with_phase=False), "puls", "dom_freq", "mean_amp", "duty")
+    return _rounded(features.features(p, p, mask, beats, FPS, DURATION).drop("phase_offset"), "puls", "dom_freq", "mean_amp", "duty")
+
+
+def _filtered(spark, d):
+    """Packed signals, the same filtered, and the mask of the filtered ones' variance."""
+    p = packed(spark, d)
+    f = bandpass.bandpass(p, FPS)
+    return p, f, activity.activity_mask(activity.pulsatility(f.select(*PIXEL, F.explode("v").alias("v"))))
 
 
 def agg06_phase(spark, d):
-    _, p, mask, beats = _base(spark, d)
-    return features.features(p, bandpass.bandpass(p, FPS), mask, beats, FRAMES, DURATION)
+    """All five features as the analysis takes them: of band-passed signals, whose variance makes the mask."""
+    p, f, mask = _filtered(spark, d)
+    beats = activity.beats(activity.reference_trace(signals(spark, d), mask), FPS)
+    return _rounded(features.features(p, f, mask, beats, FPS, DURATION), *features.FEATURES)
 
 
 def agg07(spark, d):
     return _rounded(activity.synchronicity(packed(spark, d)), "sync_index")
 
 
+def agg07_filtered(spark, d):
+    """Synchronicity as the analysis takes it: of the active pixels' band-passed signals."""
+    _, f, mask = _filtered(spark, d)
+    return _rounded(activity.synchronicity(f.join(mask.where("active").select(*PIXEL), PIXEL)), "sync_index")
+
+
 def agg09(spark, d):
     return _rounded(kinetics.single_transient(packed(spark, d), DURATION), *kinetics.KINETICS)
 
@@ -290,13 +305,13 @@ def _active(spark, d):
 
 def clu01(spark, d):
     _, p, mask, beats = _base(spark, d)
-    told = features.features(p, bandpass.bandpass(p, FPS), mask, beats, FRAMES, DURATION)
+    told = features.features(p, bandpass.bandpass(p, FPS), mask, beats, FPS, DURATION)
     return scalar.label_map(mask, clustering.cluster_features(told, features.FEATURES))
 
 
 def clu02(spark, d):
     _, p, mask, beats = _base(spark, d)
-    told = features.features(p, bandpass.bandpass(p, FPS), mask, beats, FRAMES, DURATION)
+    told = features.features(p, bandpass.bandpass(p, FPS), mask, beats, FPS, DURATION)
     return scalar.label_map(mask, clustering.cluster_features(told, features.FEATURES, "k-means"))
 
 
@@ -353,7 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stn01_blur": stn01, "stn02_block_mean": stn02, "win01_envelope": win01, "win02_exponential_baseline": win02, "win03_boundary_baseline": win03, "win04_above_minimum": win04,
     "win05_bandpass": win05, "win06_local_maxima": win06, "win07_prominence": win07, "win08_peak_distance": win08, "win09_level_crossing": win09, "win10_beat_period": win10,
     "agg01_pulsatility": agg01, "agg02_activity_mask": agg02, "agg03_reference_trace": agg03, "agg04_beats": agg04, "agg05_activation_map": agg05, "agg06_features": agg06, "agg06_phase": agg06_phase,
-    "agg07_synchronicity": agg07, "agg08_cluster_score": agg08, "agg09_single_transient": agg09, "agg10_beat_averaged": agg10, "agg11_decay_tau": agg11,
+    "agg07_synchronicity": agg07, "agg07_filtered": agg07_filtered, "agg08_cluster_score": agg08, "agg09_single_transient": agg09, "agg10_beat_averaged": agg10, "agg11_decay_tau": agg11,
     "gra01_correlation_graph": gra01, "gra02_cosine_graph": gra02, "joi05_label_map": joi05, "smp01_heaviest": smp01, "smp02_weighted_sample": smp02,
     "smp02_labelled_sample": smp02_labelled, "ui05_selected_traces": ui05, "ui06_selected_metrics": ui06, "src06_timing": src06, "src07_batch_rate": src07, "snk01_sidecars": snk01, "prj02_duration": prj02,
     "snk04_metrics_sheet": snk04, "snk05_traces_sheet": snk05, "orc02_batch": orc02,

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import arrays
+from pulsegrid.functions import peaks
 from pulsegrid.operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial
 
 
@@ -37,8 +37,8 @@ def plain_prominence(v, p):
 def test_peaks_with_plateaus_and_prominences(spark):
     rng = np.random.default_rng(1)
     rows = [rng.integers(0, 4, 40).tolist() for _ in range(20)] + [[1, 3, 3, 3, 1], [3, 3, 1, 3, 3], [0], [], [1, 2], [2, 2, 2]]
-    df = packed(spark, rows).withColumn("p", arrays.local_maxima(F.col("v")))
-    df = df.withColumn("h", F.transform("p", lambda p: arrays.prominence(F.col("v"), p)))
+    df = packed(spark, rows).withColumn("p", peaks.local_maxima(F.col("v")))
+    df = df.withColumn("h", peaks.prominences(F.col("v"), F.col("p")))
     for r in df.collect():
         want = plain_peaks(r["v"])
         assert r["p"] == want
@@ -46,8 +46,8 @@ def test_peaks_with_plateaus_and_prominences(spark):
 
 
 def test_peaks_apart_keep_the_higher_and_of_equals_the_later(spark):
-    df = packed(spark, [[0, 5, 0, 5, 0, 0, 0, 4, 0]]).withColumn("p", arrays.local_maxima(F.col("v")))
-    assert df.select(arrays.keep_apart(F.col("v"), F.col("p"), 3)).first()[0] == [3, 7]
+    df = packed(spark, [[0, 5, 0, 5, 0, 0, 0, 4, 0]]).withColumn("p", peaks.local_maxima(F.col("v")))
+    assert df.select(peaks.keep_apart(F.col("v"), F.col("p"), 3)).first()[0] == [3, 7]
 
 
 def test_band_edges_are_three_decibels_and_the_phase_is_zero():
@@ -89,9 +89,39 @@ def test_flat_signals_have_no_kinetics_and_no_beats(spark):
 def test_dominant_frequency_and_phase_of_a_sine(spark):
     t = np.arange(60) * 6 / 59
     hertz = 7 * 59 / (60 * 6)
-    row = packed(spark, [np.sin(2 * np.pi * hertz * t)]).select(features.dominant_frequency(F.col("v"), 60, 6.0)).first()[0]
-    assert abs(row - hertz) < 1e-9
-    assert abs(features.mean_phase(np.cos(2 * np.pi * np.arange(64) / 64))) < 0.06
+    rows = packed(spark, [np.sin(2 * np.pi * hertz * t), np.zeros(60), np.full(60, np.nan), np.sin(np.arange(9)), []]).select("pixel_id", features.spectrum(F.col("v"), 6.0).alias("s")).orderBy("pixel_id").collect()
+    assert abs(rows[0]["s"]["dom_freq"] - hertz) < 1e-9 and [r["s"]["dom_freq"] for r in rows[1:3]] == [0, 0] and rows[4]["s"] == (0, 0)
+    assert abs(features.mean_phase(np.cos(2 * np.pi * np.arange(64) / 64)[None])[0]) < 0.06
+
+
+def test_spectrum_does_not_grow_the_plan(spark):
+    df = packed(spark, [np.sin(np.arange(3000))])
+    plan = df.select(features.spectrum(F.col("v"), 300.0).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 2000
+
+
+def test_blocks_of_a_filter_equal_one_run():
+    rng = np.random.default_rng(4)
+    section = bandpass.design(0.06, 0.9)[1]
+    x, state = rng.normal(size=(3, 1001)), rng.normal(size=(3, 2))
+    b0, b1, b2, _, a1, a2 = section
+    want = np.empty_like(x)
+    z1, z2 = state.T
+    for i in range(x.shape[1]):
+        want[:, i] = o = b0 * x[:, i] + z1
+        z1, z2 = b1 * x[:, i] - a1 * o + z2, b2 * x[:, i] - a2 * o
+    np.testing.assert_allclose(bandpass.recurrence(section, x, state), want, atol=1e-9)
+    assert bandpass.recurrence(section, x[:, :1], state).shape == (3, 1)
+
+
+def test_sliding_quantile_and_lines():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 1), (2, 5), (40, 3), (60, 3), (200, 12)):
+        v = rng.integers(0, 9, n).astype(float)
+        np.testing.assert_allclose(baseline.sliding_quantile(v, k), [np.quantile(v[max(i - k, 0) : i + k + 1], 0.1) for i in range(n)])
+    v, m = rng.random(50), np.array([4, 9, 30])
+    got = baseline.lines_of(v, m)
+    assert np.allclose(got[m], v[m]) and np.allclose(got[4:10], np.interp(np.arange(4, 10), m, v[m])) and np.isclose(got[0], v[4] - 4 * (v[9] - v[4]) / 5) and np.isclose(got[49], v[30] + 19 * (v[30] - v[9]) / 21)
 
 
 def test_synchronicity_equals_the_mean_correlation(spark):
