@@ -263,6 +263,20 @@ def spectral(pixels: DataFrame, edges: DataFrame, most: int = 8, rounds: int = 4
 # ---- all methods
 
 
+def guarded(run: Callable[..., pd.DataFrame], sides: int = 1) -> Callable[..., pd.DataFrame]:
+    """``run`` over the rows of a recording, of one table or of two; where it fails there is one row without a label, and the error as its status."""
+
+    def safe(*frames: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(*frames)
+        except Exception as e:
+            name = next(f[RID].iloc[0] for f in frames if len(f))
+            return pd.DataFrame({RID: [name], "pixel_id": pd.array([None], "Int32"), "label": pd.array([None], "Int32"), "status": [f"failed: {e}"]})
+
+    # Spark counts a function's arguments
+    return (lambda pdf: safe(pdf)) if sides == 1 else lambda left, right: safe(left, right)
+
+
 def density_labels(features: np.ndarray) -> np.ndarray:
     """Labels of active pixels by the density of their features: all -2 for under three, all 0 where no feature varies."""
     n = len(features)
@@ -310,7 +324,7 @@ def cluster_features(features: DataFrame, columns: list[str], method: str = "den
         labels = density_labels(pdf[columns].to_numpy(float))
         return pd.DataFrame({RID: pdf[RID], "pixel_id": pdf["pixel_id"], "label": labels.astype(np.int32), "status": method})
 
-    return features.select(RID, "pixel_id", *columns).groupBy(RID).applyInPandas(run, LABELS)
+    return features.select(RID, "pixel_id", *columns).groupBy(RID).applyInPandas(guarded(run), LABELS)
 
 
 def cluster_graph(active: DataFrame, edges: DataFrame, method: str = "communities") -> DataFrame:
@@ -331,4 +345,4 @@ def cluster_graph(active: DataFrame, edges: DataFrame, method: str = "communitie
     # new names for columns that both sides may have from one table
     left = active.select(RID, "pixel_id").toDF(RID, "pixel_id").groupBy(RID)
     right = edges.select(RID, "src", "dst", "weight").toDF(RID, "src", "dst", "weight").groupBy(RID)
-    return left.cogroup(right).applyInPandas(run, LABELS)
+    return left.cogroup(right).applyInPandas(guarded(run, 2), LABELS)

@@ -283,6 +283,43 @@ kx AS (SELECT *, ((x + o) % {2 * W} + {2 * W}) % {2 * W} AS m FROM down CROSS JO
 SELECT a.recording_id, a.t, a.y, a.x, round(sum(a.w * b.v), 6) AS v FROM kx a JOIN down b ON a.recording_id = b.recording_id AND a.t = b.t AND a.y = b.y AND b.x = CASE WHEN m < {W} THEN m ELSE {2 * W - 1} - m END GROUP BY ALL""",
 }
 
+# frames with every pixel, normalised by the first frames' percentiles, blurred with mirrored edges, in blocks of 2 x 2
+FRONT_W = -(-W // 2)
+FRONT = "WITH" + grid(True) + f""",
+h AS (SELECT recording_id, max(pixel_id) // {W} + 1 AS h FROM px GROUP BY ALL),
+raw AS (SELECT h.recording_id, f.t, h, n // {W} AS y, n % {W} AS x, coalesce(v, 0.0) AS v FROM (SELECT *, unnest(range(h * {W})) AS n FROM h) h CROSS JOIN (SELECT unnest(range({T})) AS t) f
+  LEFT JOIN s ON s.recording_id = h.recording_id AND s.t = f.t AND s.pixel_id = n),
+b AS (SELECT recording_id, quantile_cont(v, 0.004) AS lo, quantile_cont(v, 0.996) AS hi FROM raw WHERE t < 16 GROUP BY ALL),
+g AS (SELECT recording_id, t, h, y, x, (least(greatest(v, lo), hi) - lo) / (hi - lo) * 255 AS v FROM raw JOIN b USING (recording_id)),
+k AS (SELECT o, exp(-o * o / 1.28) / sum(exp(-o * o / 1.28)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS o)),
+ky AS (SELECT *, ((y + o) % (2 * h) + 2 * h) % (2 * h) AS m FROM g CROSS JOIN k),
+down AS (SELECT a.recording_id, a.t, a.h, a.y, a.x, sum(a.w * b.v) AS v FROM ky a JOIN g b ON a.recording_id = b.recording_id AND a.t = b.t AND a.x = b.x AND b.y = CASE WHEN m < a.h THEN m ELSE 2 * a.h - 1 - m END GROUP BY ALL),
+kx AS (SELECT *, ((x + o) % {2 * W} + {2 * W}) % {2 * W} AS m FROM down CROSS JOIN k),
+smooth AS (SELECT a.recording_id, a.t, a.y, a.x, sum(a.w * b.v) AS v FROM kx a JOIN down b ON a.recording_id = b.recording_id AND a.t = b.t AND a.y = b.y AND b.x = CASE WHEN m < {W} THEN m ELSE {2 * W - 1} - m END GROUP BY ALL),
+binned AS (SELECT recording_id, CAST(y // 2 * {FRONT_W} + x // 2 AS INTEGER) AS pixel_id, t, sum(v) / 4 AS v FROM smooth GROUP BY ALL)"""
+
+# signals without their boundary baseline, band-passed for the mask
+CHAIN = GR.replace(grid(), grid(True).replace("s AS (SELECT px", "s0 AS (SELECT px").replace("FROM s GROUP BY ALL)", "FROM s0 GROUP BY ALL)").replace("\np AS", "\np0 AS")).replace("SELECT event_type", "SELECT event_type") + """,
+s AS (WITH neg AS (SELECT recording_id, pixel_id, t, -v AS v FROM s0),""" + RUNS.format(src="neg") + f""",
+  m0 AS (SELECT recording_id, pixel_id, list_sort(list_reduce(list_transform(list({{'v': v, 't': t}} ORDER BY v DESC, t DESC), lambda x: [x.t]),
+    lambda a, b: CASE WHEN len(list_filter(a, lambda k: abs(k - b[1]) < {max(5, T // 10)})) > 0 THEN a ELSE list_concat(a, b) END)) AS m FROM maxima GROUP BY ALL),
+  e AS (SELECT recording_id, pixel_id, t, time_s, v, {ENV} AS env FROM s0),
+  j AS (SELECT e.recording_id, e.pixel_id, t, time_s, e.v AS sv, env, m, p0.v AS v, least(greatest(len(list_filter(m, lambda k: k <= e.t)), 1), len(m) - 1) AS i FROM e JOIN p0 USING (recording_id, pixel_id) LEFT JOIN m0 USING (recording_id, pixel_id))
+  SELECT recording_id, pixel_id, t, time_s, sv - CASE WHEN len(m) > 1 THEN v[m[i] + 1] + (v[m[i + 1] + 1] - v[m[i] + 1]) * (t - m[i]) / (m[i + 1] - m[i]) ELSE env END AS v FROM j WHERE recording_id <> 'error'),
+p AS (SELECT recording_id, pixel_id, list(v ORDER BY t) AS v FROM s GROUP BY ALL)"""
+SQL |= {
+    "orc01_front": FRONT + "," + MASK.replace("FROM s GROUP BY ALL", "FROM binned GROUP BY ALL", 1) + " SELECT recording_id, pixel_id, round(pulsatility, 6) AS pulsatility, active FROM mask",
+    "orc02_isolated": CHAIN + "," + FILTERED + "," + FILTERED_MASK + "," + RUNS.format(src="s") + "," + PROMINENCES.format(src="s") + "," + SINGLE + f""",
+am AS (SELECT recording_id, pixel_id, row_number() OVER (PARTITION BY recording_id ORDER BY round((list_max(v) - list_min(v)) ^ 2, 6) DESC, pixel_id) AS k FROM p JOIN mask USING (recording_id, pixel_id) WHERE active)
+SELECT recording_id AS "Filename", pixel_id AS "ID", pixel_id % {W} AS "X (Binned)", pixel_id // {W} AS "Y (Binned)", {", ".join(f"round({c}, 6) AS {c}" for c in KIN)}, 'ok' AS status FROM single JOIN am USING (recording_id, pixel_id) WHERE k <= 10
+UNION ALL SELECT DISTINCT recording_id, CAST(NULL AS INTEGER), NULL, NULL, {", ".join("NULL" for _ in KIN)}, 'too few finite values' FROM px WHERE recording_id = 'error'""",
+    "clu03_inherited": GT + """, l AS (SELECT recording_id, pixel_id, CASE WHEN pixel_id % 11 > 0 THEN pixel_id * 7 % 2 - 1 ELSE -2 END AS l1, pixel_id * 7 % 3 - 1 AS l2, pixel_id * 7 % 4 - 1 AS l3 FROM px),
+m AS (SELECT recording_id, pixel_id, 'features' AS method, l1 AS label, 'features' AS status FROM l
+  UNION ALL SELECT recording_id, pixel_id, 'correlation', CASE WHEN recording_id = 'error' THEN l1 ELSE l2 END, CASE WHEN recording_id = 'error' THEN 'features' ELSE 'correlation' END FROM l
+  UNION ALL SELECT recording_id, pixel_id, 'contrastive', CASE recording_id WHEN 'error' THEN l1 WHEN 'click' THEN l2 ELSE l3 END, CASE recording_id WHEN 'error' THEN 'features' WHEN 'click' THEN 'correlation' ELSE 'contrastive' END FROM l)
+SELECT *, CASE label WHEN -2 THEN 0 WHEN -1 THEN 1 ELSE label + 2 END AS map_value FROM m""",
+}
+
 # a zero has no sign in a result
 for _name, _columns in {"prj08_centre_l2": ["v"], "prj09_zscore": ["v"], "prj10_standardise": ["puls", "range"], "win03_boundary_baseline": ["v"]}.items():
     SQL[_name] = "SELECT * REPLACE (" + ", ".join(f"{c} + CAST(0 AS DOUBLE) AS {c}" for c in _columns) + f") FROM ({SQL[_name]})"

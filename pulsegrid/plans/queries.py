@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.peaks import keep_apart, local_maxima
-from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial
+from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial, tiles
 from ..sources import timing
-from .analysis import analyse, batch
-from .recording import GRID, auto_bin, likely_duration, pack, packed, signals, unpack
+from .analysis import analyse, batch, cascade, prepare
+from .recording import GRID, Params, auto_bin, likely_duration, pack, packed, signals, unpack
 
 FRAMES, WIDTH, DURATION, FPS = GRID.frames, GRID.width, GRID.duration, GRID.fps
 PIXEL = scalar.PIXEL
@@ -360,7 +360,32 @@ def orc01(spark, d):
 
 
 def orc02_sampled(spark, d):
-    return batch(signals(spark, d, by_type=True), GRID)
+    return batch(signals(spark, d, by_type=True), GRID)[0]
+
+
+def orc01_front(spark, d):
+    """Raw frames, a recording for each event type, to signals and the mask: tiles, normalised, blurred, binned."""
+    params = Params(bin_size=2, use_fps=True, value=FPS, sigma=0.8, tile=4)
+    pixels = scalar.coordinates(signals(spark, d, by_type=True), WIDTH).select("recording_id", "t", "y", "x", "v")
+    s = prepare(tiles.to_tiles(pixels, params.tile), FRAMES, 1, params)
+    return _rounded(activity.activity_mask(activity.pulsatility(s)).select(*PIXEL, "pulsatility", "active"), "pulsatility")
+
+
+def orc02_isolated(spark, d):
+    """The batch of a recording for each event type, one of them broken: kinetics of the heaviest active pixels, and a row that tells what failed."""
+    s = signals(spark, d, by_type=True).withColumn("v", F.when(F.col("recording_id") == "error", F.lit(float("inf"))).otherwise(F.col("v")))
+    rows, failures = batch(s, GRID, seed=None)
+    told = _rounded(rows.drop("cd_estimated"), *kinetics.KINETICS).withColumn("status", F.lit("ok"))
+    return told.unionByName(failures.select(F.col("recording_id").alias("Filename"), F.col("error").alias("status")), allowMissingColumns=True)
+
+
+def clu03(spark, d):
+    """Labels by three methods in turn, where the second and the third fail for a recording each; the methods here are remainders of the pixel's number."""
+    p = packed(spark, d, by_type=True).select(*PIXEL)
+    label = lambda k: (F.col("pixel_id") * 7 % k - 1).cast("int").alias("label")
+    second = p.select(*PIXEL, label(3)).where("recording_id <> 'error'")
+    third = p.select(*PIXEL, F.when(~F.col("recording_id").isin("click", "error") | (F.col("pixel_id") % 5 > 0), label(4)).alias("label"))
+    return cascade(p, [("features", p.where("pixel_id % 11 > 0").select(*PIXEL, label(2))), ("correlation", second), ("contrastive", third)])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -373,5 +398,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "smp02_labelled_sample": smp02_labelled, "ui05_selected_traces": ui05, "ui06_selected_metrics": ui06, "src06_timing": src06, "src07_batch_rate": src07, "snk01_sidecars": snk01, "prj02_duration": prj02,
     "snk04_metrics_sheet": snk04, "snk05_traces_sheet": snk05, "orc02_batch": orc02,
     "clu01_density_clusters": clu01, "clu02_k_means": clu02, "gra03_communities": gra03, "gra04_spectral": gra04, "gra05_density_graph": gra05,
-    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled,
+    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled, "orc01_front": orc01_front, "orc02_isolated": orc02_isolated, "clu03_inherited": clu03,
 }

@@ -26,7 +26,7 @@ class Grid:
 
 @dataclass(frozen=True)
 class Params:
-    """An analysis' parameters with their defaults."""
+    """An analysis' parameters with their defaults; ``sigma`` of the blur is the frame's height over 204.8 unless stated, ``tile`` a multiple of ``bin_size``."""
 
     bin_size: int = 16
     model: str = "Single Exp"
@@ -34,6 +34,12 @@ class Params:
     value: float = 15.0
     epochs: int = 100
     batch_samples: int = 10
+    sigma: float | None = None
+    tile: int = 256
+
+    def duration(self, frames: int) -> float:
+        """Seconds of a recording: frames over the rate, or the stated duration."""
+        return frames / self.value if self.use_fps else self.value
 
 
 GRID = Grid()
