@@ -33,8 +33,7 @@ def last_where(values: Column, first: Column, end: Column, holds: Callable[[Colu
 
 def argmin(values: Column, first: Column, end: Column) -> Column:
     """The first index of the least value of a range, or null for an empty range."""
-    inside = part(values, first, end)
-    return (first + F.array_position(inside, F.array_min(inside)) - 1).cast("int")
+    return let(part(values, first, end), lambda inside: (first + F.array_position(inside, F.array_min(inside)) - 1).cast("int"))
 
 
 def time_of(index: Column, n: Column, duration: Column | float) -> Column:
@@ -47,17 +46,20 @@ def time_at_level(values: Column, first: Column, end: Column, level: Column, n:
 
     A range that begins beyond the level gives its first time, a flat step the time of its first frame.
     """
-    hit = first_where(values, first, end, lambda v: v >= level if rising else v <= level)
-    y1, y2 = F.get(values, hit - 1), F.get(values, hit)
-    share = F.when(y1 == y2, F.lit(0.0)).otherwise((level - y1) / (y2 - y1))
-    between = time_of(hit - 1, n, duration) + share * (time_of(hit, n, duration) - time_of(hit - 1, n, duration))
-    return F.when(hit == first, time_of(hit, n, duration)).otherwise(between)
+
+    def crossed(hit: Column) -> Column:
+        y1, y2 = F.get(values, hit - 1), F.get(values, hit)
+        share = F.when(y1 == y2, F.lit(0.0)).otherwise((level - y1) / (y2 - y1))
+        between = time_of(hit - 1, n, duration) + share * (time_of(hit, n, duration) - time_of(hit - 1, n, duration))
+        return F.when(hit == first, time_of(hit, n, duration)).otherwise(between)
+
+    return let(first_where(values, first, end, lambda v: v >= level if rising else v <= level), crossed)
 
 
 def median(values: Column) -> Column:
     """Median of an array of numbers, or null."""
-    ordered, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+    n = F.size(values)
+    return F.when(n > 0, let(F.sort_array(values), lambda ordered: (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2))
 
 
 def gaps(values: Column) -> Column:

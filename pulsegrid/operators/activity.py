@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import first_where, part, time_at_level, time_of
+from ..functions.arrays import first_where, let, part, time_at_level, time_of
 from ..functions.peaks import keep_apart, local_maxima, prominences, prominent
 from ..functions.quantiles import exact_quantiles
 from .scalar import PIXEL, centred
@@ -83,16 +83,19 @@ def activation_map(packed: DataFrame, mask: DataFrame, beats: DataFrame, fps: fl
     # beats are one row for each recording
     each = active.join(beats, "recording_id").select(*PIXEL, "v", F.explode("beats").alias("beat")).where(F.col("beat") < F.size("v"))
     start, end, v, n = F.greatest(F.col("beat") - lookback, F.lit(0)), F.col("beat") + 1, F.col("v"), F.size("v")
-    low = F.array_min(part(v, start, end))
-    rise = F.get(v, F.col("beat")) - low
-    hit = first_where(v, start, end, lambda x: x >= low + 0.5 * rise)
-    y1, y2 = F.get(v, hit - 1), F.get(v, hit)
-    share = F.when(y2 > y1, (low + 0.5 * rise - y1) / (y2 - y1)).otherwise(0.0)
+    each = each.withColumn("low", F.array_min(part(v, start, end)))
+    rise = F.get(v, F.col("beat")) - F.col("low")
     step = duration / F.greatest(n - 1, F.lit(1))
-    when = F.when(hit == start, time_of(start, n, duration)).otherwise((hit - 1 + share) * step)
+
+    def crossed(hit: Column) -> Column:
+        y1, y2 = F.get(v, hit - 1), F.get(v, hit)
+        share = F.when(y2 > y1, (F.col("low") + 0.5 * rise - y1) / (y2 - y1)).otherwise(0.0)
+        return F.when(hit == start, time_of(start, n, duration)).otherwise((hit - 1 + share) * step)
+
+    when = let(first_where(v, start, end, lambda x: x >= F.col("low") + 0.5 * rise), crossed)
     timed = each.withColumn("at", F.when((end - start >= 2) & (rise >= 1e-6), when))
-    first = timed.withColumn("late", F.col("at") - F.min("at").over(Window.partitionBy("recording_id", "beat")))
-    return first.groupBy(*PIXEL).agg((F.avg("late") * 1000).alias("activation_ms"))
+    earliest = timed.groupBy("recording_id", "beat").agg(F.min("at").alias("earliest"))
+    return timed.join(earliest, ["recording_id", "beat"]).withColumn("late", F.col("at") - F.col("earliest")).groupBy(*PIXEL).agg((F.avg("late") * 1000).alias("activation_ms"))
 
 
 def synchronicity(packed: DataFrame) -> DataFrame:

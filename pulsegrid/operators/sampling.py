@@ -34,8 +34,9 @@ def weighted_sample(candidates: DataFrame, k: int = 10, seed: int = 42) -> DataF
     """
     digest = F.md5(F.concat_ws("|", "recording_id", F.col("pixel_id").cast("string"), F.lit(str(seed))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / (1 << 52)
-    weight = F.when(F.sum("weight").over(Window.partitionBy("recording_id")) > 0, F.col("weight")).otherwise(1.0)
-    keyed = candidates.withColumn("w_", weight).withColumn("key_", F.when(F.col("w_") > 0, F.ln(u) / F.col("w_")).otherwise(F.lit(float("-inf"))))
+    whole = candidates.groupBy("recording_id").agg((F.max("weight") > 0).alias("some_"))
+    keyed = candidates.join(whole, "recording_id").withColumn("w_", F.when(F.col("some_"), F.col("weight")).otherwise(1.0)).drop("some_")
+    keyed = keyed.withColumn("key_", F.when(F.col("w_") > 0, F.ln(u) / F.col("w_")).otherwise(F.lit(float("-inf"))))
     return first_ranked(keyed, F.col("key_"), k).drop("w_", "key_")
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.peaks import keep_apart, local_maxima
 from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial, tiles
 from ..sources import timing
@@ -24,10 +25,10 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signals, packed signals, mask and beats of the recording."""
-    s = signals(spark, sf_dir)
-    p = pack(s)
-    mask = activity.activity_mask(activity.pulsatility(s))
+    """Signals, packed signals, mask and beats of the recording; what several branches read is written once."""
+    p = cut(packed(spark, sf_dir))
+    s = unpack(p)
+    mask = cut(activity.activity_mask(activity.pulsatility(s)))
     return s, p, mask, activity.beats(activity.reference_trace(s, mask), FPS)
 
 
@@ -145,15 +146,15 @@ def agg06(spark, d):
 
 def _filtered(spark, d):
     """Packed signals, the same filtered, and the mask of the filtered ones' variance."""
-    p = packed(spark, d)
-    f = bandpass.bandpass(p, FPS)
+    p = cut(packed(spark, d))
+    f = cut(bandpass.bandpass(p, FPS))
     return p, f, activity.activity_mask(activity.pulsatility(f.select(*PIXEL, F.explode("v").alias("v"))))
 
 
 def agg06_phase(spark, d):
     """All five features as the analysis takes them: of band-passed signals, whose variance makes the mask."""
     p, f, mask = _filtered(spark, d)
-    beats = activity.beats(activity.reference_trace(signals(spark, d), mask), FPS)
+    beats = activity.beats(activity.reference_trace(unpack(p), mask), FPS)
     return _rounded(features.features(p, f, mask, beats, FPS, DURATION), *features.FEATURES)
 
 
@@ -216,26 +217,27 @@ def snk04(spark, d):
     return sampling.metrics_sheet(_rounded(kinetics.single_transient(packed(spark, d), DURATION), *sampling.METRIC_ORDER))
 
 
-def _labels(spark, d):
+def _labels(mask):
     """A label of each pixel: -2 for inactive ones."""
-    mask = activity.activity_mask(activity.pulsatility(signals(spark, d)))
     return mask.select(*PIXEL, F.when(F.col("active"), F.col("pixel_id") % 3 - 1).otherwise(-2).alias("label"))
 
 
 def smp02_labelled(spark, d):
-    return sampling.labelled_sample(packed(spark, d), _labels(spark, d)).select(*PIXEL, "rank", "point")
+    _, p, mask, _ = _base(spark, d)
+    return sampling.labelled_sample(p, _labels(mask)).select(*PIXEL, "rank", "point")
 
 
 def ui05(spark, d):
     """The traces of the sampled cells."""
-    chosen = sampling.labelled_sample(packed(spark, d), _labels(spark, d)).select(*PIXEL, "point")
-    return _rounded(signals(spark, d).join(F.broadcast(chosen), PIXEL).select("recording_id", "point", "t", "time_s", "v"), "time_s", "v")
+    s, p, mask, _ = _base(spark, d)
+    chosen = sampling.labelled_sample(p, _labels(mask)).select(*PIXEL, "point")
+    return _rounded(s.join(F.broadcast(chosen), PIXEL).select("recording_id", "point", "t", "time_s", "v"), "time_s", "v")
 
 
 def ui06(spark, d):
     """The beat-averaged metrics of the sampled cells."""
-    _, p, _, beats = _base(spark, d)
-    chosen = sampling.labelled_sample(p, _labels(spark, d)).select(*PIXEL, "point")
+    _, p, mask, beats = _base(spark, d)
+    chosen = cut(sampling.labelled_sample(p, _labels(mask)).select(*PIXEL, "point"))
     averaged = kinetics.beat_averaged(p.join(F.broadcast(chosen.select(*PIXEL)), PIXEL), beats, DURATION)
     return _rounded(averaged.join(F.broadcast(chosen), PIXEL).select("recording_id", "point", *kinetics.KINETICS), *kinetics.KINETICS)
 
@@ -297,9 +299,8 @@ def orc02(spark, d):
 
 
 def _active(spark, d):
-    s = signals(spark, d)
-    p = pack(s)
-    mask = activity.activity_mask(activity.pulsatility(s))
+    p = cut(packed(spark, d))
+    mask = cut(activity.activity_mask(activity.pulsatility(unpack(p))))
     return p, mask, p.join(mask.where("active").select(*PIXEL), PIXEL)
 
 
