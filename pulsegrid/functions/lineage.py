@@ -22,6 +22,11 @@ def _shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back; then the tables of earlier rounds that nothing reads any more are deleted.
 
@@ -29,7 +34,7 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     its own table.
     """
     spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    path = shared_path(spark, "rounds")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rounds_path = path

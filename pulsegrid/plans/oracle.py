@@ -318,6 +318,17 @@ m AS (SELECT recording_id, pixel_id, 'features' AS method, l1 AS label, 'feature
   UNION ALL SELECT recording_id, pixel_id, 'correlation', CASE WHEN recording_id = 'error' THEN l1 ELSE l2 END, CASE WHEN recording_id = 'error' THEN 'features' ELSE 'correlation' END FROM l
   UNION ALL SELECT recording_id, pixel_id, 'contrastive', CASE recording_id WHEN 'error' THEN l1 WHEN 'click' THEN l2 ELSE l3 END, CASE recording_id WHEN 'error' THEN 'features' WHEN 'click' THEN 'correlation' ELSE 'contrastive' END FROM l)
 SELECT *, CASE label WHEN -2 THEN 0 WHEN -1 THEN 1 ELSE label + 2 END AS map_value FROM m""",
+    "src04_companions": """WITH f AS (SELECT concat('in/_rec', doc_id % 50, '_/stack', doc_id % 3, '/frame_', doc_id, CASE doc_id % 4 WHEN 0 THEN '.tif' WHEN 1 THEN '.ETS' ELSE '.ets' END) AS path, CAST(n_chars AS BIGINT) AS length, concat('rec', doc_id % 50) AS recording_id FROM documents)
+SELECT recording_id, path, length FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY length DESC, path) AS k FROM f WHERE lower(path) LIKE '%.ets') WHERE k = 1""",
+    "snk01_written": SQL["snk01_sidecars"],
+    "snk06_batch_written": SQL["orc02_batch"],
+    # frames that end by a day before the last event; a beat needs three frames on either side
+    "str01_beats": """WITH ev AS (SELECT CAST(user_id AS INTEGER) AS pixel_id, CAST(epoch_us(ts) // 43200000000 - 39446 AS INTEGER) AS t, value, epoch_us(ts) AS us FROM events),
+c AS (SELECT pixel_id, t, avg(value) AS v FROM ev WHERE (t + 39447) * 43200000000 <= (SELECT max(us) // 1000 * 1000 FROM ev) - 86400000000 GROUP BY ALL),
+e AS (SELECT n.pixel_id, n.t, coalesce(v, 0.0) AS v FROM (SELECT pixel_id, unnest(range(max(t) + 1)) AS t FROM c GROUP BY pixel_id) n LEFT JOIN c USING (pixel_id, t)),
+w AS (SELECT *, max(v) OVER b AS vb, min(v) OVER b AS low, count(*) OVER b AS nb, max(v) OVER a AS va, count(*) OVER a AS na FROM e
+  WINDOW b AS (PARTITION BY pixel_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY pixel_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
+SELECT pixel_id, CAST(t AS INTEGER) AS t, round(v, 6) AS v FROM w WHERE nb = 3 AND na = 3 AND v >= vb AND v > va AND v >= low""",
 }
 
 # a zero has no sign in a result

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_path
 from ..functions.peaks import keep_apart, local_maxima
 from ..operators import activity, bandpass, baseline, clustering, encoder, features, graphs, kinetics, sampling, scalar, spatial, tiles
-from ..sources import timing
+from ..sources import sinks, stacks, timing
+from ..streaming import arrivals, beats
 from .analysis import analyse, batch, cascade, prepare
 from .recording import GRID, Params, auto_bin, likely_duration, pack, packed, signals, unpack
 
@@ -267,6 +268,31 @@ def src07(spark, d):
     return _metadata(spark, d).select("doc_id", use_fps.alias("use_fps"), (F.round(value, 6) + 0.0).alias("value"))
 
 
+def src04(spark, d):
+    """Frame files, one for each document and as long as its text, in the folders of 50 recordings: the largest of each."""
+    i = F.col("doc_id")
+    number = lambda k: (i % k).cast("string")
+    ending = F.when(i % 4 == 0, ".tif").when(i % 4 == 1, ".ETS").otherwise(".ets")
+    path = F.concat(F.lit("in/_rec"), number(50), F.lit("_/stack"), number(3), F.lit("/frame_"), i.cast("string"), ending)
+    return stacks.largest(spark.read.parquet(f"{d}/documents.parquet").select(path.alias("path"), F.col("n_chars").cast("long").alias("length")))
+
+
+def snk01_written(spark, d):
+    """The sidecars written, written again, and read."""
+    path = shared_path(spark, "sidecars")
+    for _ in range(2):
+        sinks.save_sidecars(snk01(spark, d), path)
+    return sinks.load_sidecars(spark, path)
+
+
+def snk06(spark, d):
+    """The batch's rows by recording: written, one recording written again, and read."""
+    rows, path = cut(orc02(spark, d)), shared_path(spark, "batch")
+    sinks.overwrite(rows, path, "Filename")
+    sinks.overwrite(rows.where("Filename = 'click'"), path, "Filename")
+    return sinks.read(spark, path, rows.schema)
+
+
 def snk01(spark, d):
     known = timing.timing(_metadata(spark, d)).where("fps is not null")
     return timing.sidecars(known.select("path", "fps"))
@@ -389,6 +415,16 @@ def clu03(spark, d):
     return cascade(p, [("features", p.where("pixel_id % 11 > 0").select(*PIXEL, label(2))), ("correlation", second), ("contrastive", third)])
 
 
+ORIGIN, HALF_DAY, LATE = "2024-01-01 00:00:00", 43_200, "1 day"
+
+
+def str01(spark, d):
+    """The events as a stream, told once all that is there is read: beats of each pixel, in frames that the watermark has passed."""
+    # a pattern, as a stream takes no path of a single file
+    events = arrivals.event_stream(spark, f"{d}/event[s].parquet", spark.read.parquet(f"{d}/events.parquet").schema)
+    return _rounded(arrivals.settled(beats.beats(events, ORIGIN, HALF_DAY, LATE)), "v")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prj01_normalise": prj01, "prj04_coordinates": prj04, "prj06_sanitise": prj06, "prj08_centre_l2": prj08, "prj09_zscore": prj09, "prj10_standardise": prj10,
     "stn01_blur": stn01, "stn02_block_mean": stn02, "win01_envelope": win01, "win02_exponential_baseline": win02, "win03_boundary_baseline": win03, "win04_above_minimum": win04,
@@ -399,5 +435,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "smp02_labelled_sample": smp02_labelled, "ui05_selected_traces": ui05, "ui06_selected_metrics": ui06, "src06_timing": src06, "src07_batch_rate": src07, "snk01_sidecars": snk01, "prj02_duration": prj02,
     "snk04_metrics_sheet": snk04, "snk05_traces_sheet": snk05, "orc02_batch": orc02,
     "clu01_density_clusters": clu01, "clu02_k_means": clu02, "gra03_communities": gra03, "gra04_spectral": gra04, "gra05_density_graph": gra05,
-    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled, "orc01_front": orc01_front, "orc02_isolated": orc02_isolated, "clu03_inherited": clu03,
+    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled, "orc01_front": orc01_front, "orc02_isolated": orc02_isolated, "clu03_inherited": clu03, "str01_beats": str01, "src04_companions": src04, "snk01_written": snk01_written, "snk06_batch_written": snk06,
 }

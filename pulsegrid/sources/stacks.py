@@ -138,23 +138,25 @@ def stem(path: Column) -> Column:
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of all files below a folder; Spark's readers pass over folders whose names begin with an underscore."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found, rows = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
-    while found.hasNext():
-        status = found.next()
-        rows.append((status.getPath().toString(), status.getLen()))
-    return spark.createDataFrame(rows, "path string, length long")
+    """(path, length) of all files in the ``_<stem>_`` folders of ``folder``, from the store's listing: contents aren't read.
 
+    The pattern is part of the path, as Spark's readers pass over folders whose names begin with an underscore unless they are named.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/_*_").select("path", "length")
 
-def companions(spark: SparkSession, folder: str) -> DataFrame:
-    """(recording_id, path, length): for each ``_<stem>_`` folder below ``folder`` its largest frame file, of equals the first path."""
-    files = listing(spark, folder)
+
+def largest(files: DataFrame) -> DataFrame:
+    """(recording_id, path, length): of the frame files (path, length) in each ``_<stem>_`` folder the largest, of equals the first path."""
     found = files.where(F.lower("path").endswith(".ets")).withColumn("recording_id", F.regexp_extract("path", r"/_([^/]*)_/", 1)).where("recording_id <> ''")
     best = F.min(F.struct((-F.col("length")).alias("minus"), "path")).alias("best")
     return found.groupBy("recording_id").agg(best).select("recording_id", F.col("best.path").alias("path"), (-F.col("best.minus")).alias("length"))
 
 
+def companions(spark: SparkSession, folder: str) -> DataFrame:
+    """(recording_id, path, length): the frame file of each recording in ``folder``."""
+    return largest(listing(spark, folder))
+
+
 def read_stacks(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
     """Frames (recording_id, t, height, width, pixels, error) of TIFF and ETS files.
 

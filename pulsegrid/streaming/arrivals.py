@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.lineage import shared_path
+
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Events of the Parquet files that appear in a folder."""
@@ -24,3 +26,12 @@ def cells(events: DataFrame, width: str = "12 hours", late: str = "1 day") -> Da
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand every batch of new rows to ``handle``; the checkpoint makes a restart go on where it was."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def settled(stream: DataFrame) -> DataFrame:
+    """The rows that a stream tells of all input there is now, as a table in the shared folder."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -51,9 +51,9 @@ class Beats(StatefulProcessor):
         if self.open.containsKey((t,)):
             total, n = self.open.getValue((t,))
             self.open.removeKey((t,))
-            yield self.close(key[0], t, total / n)
+            yield self.frame_known(key[0], t, total / n)
 
-    def close(self, pixel: int, t: int, value: float) -> pd.DataFrame:
+    def frame_known(self, pixel: int, t: int, value: float) -> pd.DataFrame:
         """The beats that are known once frame ``t`` is; the frames since the last one were empty."""
         apart, found = self.apart, []
         last, held = self.closed.get() if self.closed.exists() else (-1, [])

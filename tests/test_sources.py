@@ -124,3 +124,56 @@ def test_stream_tells_closed_windows_once(spark, tmp_path):
     keys = [(r["pixel_id"], r["start"]) for r in seen]
     assert 0 < first < len(seen) and len(keys) == len(set(keys))
     assert all(r["n"] == 1 for r in seen)
+
+
+def test_stream_beats_equal_batch_beats_and_late_rows_are_dropped(spark, tmp_path):
+    from pulsegrid.streaming import beats
+
+    origin, hour = "2024-01-01 00:00:00", 3600
+    made = spark.sql(f"SELECT timestamp'{origin}' + make_dt_interval(0, CAST(id AS INT)) AS ts, u AS user_id, CAST(xxhash64(id, u) % 100 AS DOUBLE) AS value, id AS h FROM range(80) LATERAL VIEW explode(array(1L, 2L)) AS u WHERE id % 9 <> 4")
+    source, state, out = (str(tmp_path / n) for n in ("in", "state", "out"))
+    late = spark.sql(f"SELECT timestamp'{origin}' + make_dt_interval(0, 10) AS ts, 1L AS user_id, 1e9 AS value")
+
+    def go():
+        stream = beats.beats(arrivals.event_stream(spark, source, late.schema), origin, hour, "2 hours")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(map(tuple, spark.read.parquet(out).collect()))
+
+    made.where("h < 40").drop("h").write.parquet(source)
+    first = go()
+    assert first == sorted(map(tuple, beats.batch_beats(made.where("h < 40"), origin, hour, 36).collect())) and first
+    made.where("h >= 40").drop("h").unionByName(late).coalesce(1).write.mode("append").parquet(source)
+    assert go() == sorted(map(tuple, beats.batch_beats(made, origin, hour, 76).collect()))
+
+
+def test_listing_reads_no_contents(spark, tmp_path):
+    for name, size in (("_a_/stack1/frame.ets", 10), ("_a_/stack2/frame.ETS", 20), ("_b_/x.ets", 5), ("_b_/y.tif", 50), ("plain/z.ets", 99)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    found = stacks.companions(spark, str(tmp_path))
+    assert sorted((r["recording_id"], r["path"].rpartition("/")[2], r["length"]) for r in found.collect()) == [("a", "frame.ETS", 20), ("b", "x.ets", 5)]
+    assert "content:binary" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_second_write_changes_nothing_and_other_partitions_stay(spark, tmp_path):
+    from pulsegrid.sources import sinks
+
+    path, schema = str(tmp_path / "t"), "v int, name string"
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(["007", "a b", "x/y", "007", "z"])], schema)
+    read = lambda: sorted(map(tuple, sinks.read(spark, path, schema).select("v", "name").collect()))
+    sinks.overwrite(rows, path, "name")
+    want = sorted(map(tuple, rows.collect()))
+    assert read() == want
+    sinks.overwrite(rows.where("name = '007'"), path, "name")
+    assert read() == want
+    sinks.overwrite(rows.where("name = 'z'").withColumn("v", rows["v"] + 100), path, "name")
+    assert read() == sorted([(104, "z"), *(r for r in want if r[1] != "z")])
+
+
+def test_sidecars_come_back(spark, tmp_path):
+    from pulsegrid.sources import sinks
+
+    made = timing.sidecars(spark.createDataFrame([("/x/a.tif", 7.5), ("/y/b.tif", 2.0)], "path string, fps double"))
+    for _ in range(2):
+        sinks.save_sidecars(made, str(tmp_path / "s"))
+    assert sorted(map(tuple, sinks.load_sidecars(spark, str(tmp_path / "s")).collect())) == sorted(map(tuple, made.collect()))
