@@ -307,7 +307,34 @@ s AS (WITH neg AS (SELECT recording_id, pixel_id, t, -v AS v FROM s0),""" + RUNS
   j AS (SELECT e.recording_id, e.pixel_id, t, time_s, e.v AS sv, env, m, p0.v AS v, least(greatest(len(list_filter(m, lambda k: k <= e.t)), 1), len(m) - 1) AS i FROM e JOIN p0 USING (recording_id, pixel_id) LEFT JOIN m0 USING (recording_id, pixel_id))
   SELECT recording_id, pixel_id, t, time_s, sv - CASE WHEN len(m) > 1 THEN v[m[i] + 1] + (v[m[i + 1] + 1] - v[m[i] + 1]) * (t - m[i]) / (m[i + 1] - m[i]) ELSE env END AS v FROM j WHERE recording_id <> 'error'),
 p AS (SELECT recording_id, pixel_id, list(v ORDER BY t) AS v FROM s GROUP BY ALL)"""
+
+
+def _fit(src: str, *suffixes: str) -> str:
+    """``src`` (y, g of each suffix) with a, c and the squared error r of the decay of log time constant g fitted to the list y."""
+    each = lambda f: ", ".join(f(k) for k in suffixes)
+    over = f"range(1, {T + 1})"
+    out = f"SELECT *, {each(lambda k: f'list_transform(range({T}), lambda i: exp(-least(i * {STEP} / greatest(exp(g{k}), 1e-5), 700))) AS e{k}')} FROM {src}"
+    out = f"SELECT *, {each(lambda k: f'list_avg(e{k}) AS m{k}')} FROM ({out})"
+    out = f"SELECT *, {each(lambda k: f'list_sum(list_transform(e{k}, lambda x: (x - m{k}) * (x - m{k}))) AS q{k}, list_sum(list_transform({over}, lambda i: (e{k}[i] - m{k}) * y[i])) AS u{k}')} FROM ({out})"
+    out = f"SELECT *, {each(lambda k: f'CASE WHEN q{k} > 1e-12 THEN greatest(u{k} / q{k}, 0.0) ELSE 0.0 END AS a{k}')} FROM ({out})"
+    out = f"SELECT *, {each(lambda k: f'list_avg(list_transform({over}, lambda i: y[i] - a{k} * e{k}[i])) AS c{k}')} FROM ({out})"
+    return f"SELECT *, {each(lambda k: f'list_sum(list_transform({over}, lambda i: (y[i] - a{k} * e{k}[i] - c{k}) ^ 2)) AS r{k}')} FROM ({out})"
+
+
+# a grid of time constants, then a golden section between the neighbours of the best
+GOLDEN = (5**0.5 - 1) / 2
+DECAY = f"""
+ys AS (SELECT {PIX}, list(env ORDER BY t) AS y FROM (SELECT {PIX}, t, {ENV} AS env FROM s) GROUP BY ALL),
+tried AS (SELECT *, ln({DUR}) + ln(1e-3) + k * (ln(1e3) - ln(1e-3)) / 60 AS g0 FROM ys, (SELECT unnest(range(61)) AS k)),
+best AS (SELECT {PIX}, any_value(y) AS y, arg_min(k, (r0, k)) AS k FROM ({_fit("tried", "0")}) GROUP BY ALL),
+section AS (
+  SELECT {PIX}, y, 0 AS n, ln({DUR}) + ln(1e-3) + greatest(k - 1, 0) * (ln(1e3) - ln(1e-3)) / 60 AS lo, ln({DUR}) + ln(1e-3) + least(k + 1, 60) * (ln(1e3) - ln(1e-3)) / 60 AS hi FROM best
+  UNION ALL SELECT {PIX}, y, n + 1, CASE WHEN r1 <= r2 THEN lo ELSE g1 END, CASE WHEN r1 <= r2 THEN g2 ELSE hi END
+  FROM ({_fit(f"(SELECT *, hi - {GOLDEN!r} * (hi - lo) AS g1, lo + {GOLDEN!r} * (hi - lo) AS g2 FROM section WHERE n < 60)", "1", "2")})),
+fitted AS ({_fit("(SELECT *, (lo + hi) / 2 AS g3 FROM section WHERE n = 60)", "3")})"""
+
 SQL |= {
+    "win02_fit": GR + "," + DECAY + f" SELECT recording_id, pixel_id, round(r3 / {T}, 6) AS error FROM fitted",
     "orc01_front": FRONT + "," + MASK.replace("FROM s GROUP BY ALL", "FROM binned GROUP BY ALL", 1) + " SELECT recording_id, pixel_id, round(pulsatility, 6) AS pulsatility, active FROM mask",
     "orc02_isolated": CHAIN + "," + FILTERED + "," + FILTERED_MASK + "," + RUNS.format(src="s") + "," + PROMINENCES.format(src="s") + "," + SINGLE + f""",
 am AS (SELECT recording_id, pixel_id, row_number() OVER (PARTITION BY recording_id ORDER BY round((list_max(v) - list_min(v)) ^ 2, 6) DESC, pixel_id) AS k FROM p JOIN mask USING (recording_id, pixel_id) WHERE active)

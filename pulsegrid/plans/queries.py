@@ -83,6 +83,14 @@ def win02(spark, d):
     return baseline.corrected(s, FRAMES, "Single Exp").select(*PIXEL, "t", "v")
 
 
+def win02_fit(spark, d):
+    """How well the decay fits each envelope: the mean squared error, which is settled to all digits where the time constant isn't."""
+    known = baseline.on_axis(signals(spark, d)).select(*PIXEL, baseline.rolling(F.col("v"), FRAMES).alias("env"), F.col("time_s").alias("times"))
+    both = baseline.decay_baseline(known).join(known, PIXEL)
+    error = scalar.mean_of(F.zip_with("env", "baseline", lambda y, b: (y - b) * (y - b)))
+    return _rounded(both.select(*PIXEL, error.alias("error")), "error")
+
+
 def win03(spark, d):
     s = signals(spark, d)
     return _values(baseline.corrected(s, FRAMES, "Boundary"))
@@ -427,7 +435,7 @@ def str01(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prj01_normalise": prj01, "prj04_coordinates": prj04, "prj06_sanitise": prj06, "prj08_centre_l2": prj08, "prj09_zscore": prj09, "prj10_standardise": prj10,
-    "stn01_blur": stn01, "stn02_block_mean": stn02, "win01_envelope": win01, "win02_exponential_baseline": win02, "win03_boundary_baseline": win03, "win04_above_minimum": win04,
+    "stn01_blur": stn01, "stn02_block_mean": stn02, "win01_envelope": win01, "win02_exponential_baseline": win02, "win02_fit": win02_fit, "win03_boundary_baseline": win03, "win04_above_minimum": win04,
     "win05_bandpass": win05, "win06_local_maxima": win06, "win07_prominence": win07, "win08_peak_distance": win08, "win09_level_crossing": win09, "win10_beat_period": win10,
     "agg01_pulsatility": agg01, "agg02_activity_mask": agg02, "agg03_reference_trace": agg03, "agg04_beats": agg04, "agg05_activation_map": agg05, "agg06_features": agg06, "agg06_phase": agg06_phase,
     "agg07_synchronicity": agg07, "agg07_filtered": agg07_filtered, "agg08_cluster_score": agg08, "agg09_single_transient": agg09, "agg10_beat_averaged": agg10, "agg11_decay_tau": agg11,
