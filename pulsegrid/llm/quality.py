@@ -6,7 +6,8 @@ repeated word runs or shouting can only lower the score. The ensemble is flatten
 scored by a fixed number of array steps. A document is kept when the base rules pass and the score is at least ``least``.
 
 Null and empty texts have no word, so they fail the base rules. Without labels of both classes the score is the share of good
-labels (1 without any). Rows are kept one for one, repeated ids included; extra columns are ignored.
+labels (1 without any). Rows are kept one for one, repeated and null ids included, as a score depends on the text alone; texts of any length are
+read whole; of splits that gain alike the first statistic and the lowest threshold is taken; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
