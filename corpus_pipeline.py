@@ -2,6 +2,10 @@
 
 Language ID and toxicity drop the documents they reject, the n-gram join keeps one document of each group of near duplicates,
 decontamination drops documents that hold a benchmark item, and packing lays the rest out in sequences.
+
+All stages but the last return the columns of documents, whatever these are called. Null ids and repeated rows are documents like any other;
+null and empty texts go at the first stage, which can't tell their language; texts of any length are read whole; an empty table gives
+no sequences. Each stage's docstring tells what it does with ties.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: The learned stages and the tokenizer have no SQL form; tests hold each stage against a brute-force version.
+#: The learned stages and the tokenizer have no SQL form; tests hold each stage against a plain version of its decision.
 ORACLE_SQL = None
 
 
