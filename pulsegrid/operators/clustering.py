@@ -346,3 +346,24 @@ def cluster_graph(active: DataFrame, edges: DataFrame, method: str = "communitie
     left = active.select(RID, "pixel_id").toDF(RID, "pixel_id").groupBy(RID)
     right = edges.select(RID, "src", "dst", "weight").toDF(RID, "src", "dst", "weight").groupBy(RID)
     return left.cogroup(right).applyInPandas(guarded(run, 2), LABELS)
+
+
+def first_that_holds(active: DataFrame, edges: DataFrame, methods: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(recording_id, pixel_id, label, status) by the first method that labels a recording; where all fail its pixels are one cluster, ``single``.
+
+    A method takes active pixels and edges, and has failed for a recording without a label for each of its pixels. A later method sees only the recordings
+    that are left, and isn't run if there are none. By default: communities, spectral, density.
+    """
+    if methods is None:
+        methods = {m: lambda a, e, m=m: cluster_graph(a, e, m) for m in ("communities", "spectral", "density")}
+    left, out = active.select(RID, "pixel_id").distinct(), None
+    for name, run in methods.items():
+        known = edges.join(left.select(RID).distinct(), RID, "left_semi")
+        found = run(left, known).where("label IS NOT NULL").select(RID, "pixel_id", "label", F.lit(name).alias("status"))
+        told = cut(left.join(found, [RID, "pixel_id"], "left"))
+        well = told.groupBy(RID).agg((F.count("*") == F.count("label")).alias("well")).where("well").select(RID)
+        done = told.join(well, RID, "left_semi")
+        out, left = done if out is None else out.unionByName(done), told.select(RID, "pixel_id").join(well, RID, "left_anti")
+        if left.isEmpty():
+            return out
+    return out.unionByName(left.select(RID, "pixel_id", F.lit(0).alias("label"), F.lit("single").alias("status")))

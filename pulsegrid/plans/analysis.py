@@ -97,7 +97,7 @@ def analyse(signals: DataFrame, grid: Grid, model: str = "Single Exp", epochs: i
     edges = {"correlation": cut(graphs.correlation_graph(signals_of, grid.width))}
     if contrastive:
         edges["contrastive"] = cut(graphs.cosine_graph(encoder.embed(signals_of, encoder.train_encoders(signals_of, epochs)), grid.width))
-    stages += [(name, cut(clustering.cluster_graph(active, e))) for name, e in edges.items()]
+    stages += [(name, clustering.first_that_holds(active, e)) for name, e in edges.items()]
     scores = None
     for name, found in stages[1:]:
         score = graphs.cluster_score(edges[name], found).withColumn("method", F.lit(name))

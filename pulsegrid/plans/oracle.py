@@ -345,6 +345,11 @@ m AS (SELECT recording_id, pixel_id, 'features' AS method, l1 AS label, 'feature
   UNION ALL SELECT recording_id, pixel_id, 'correlation', CASE WHEN recording_id = 'error' THEN l1 ELSE l2 END, CASE WHEN recording_id = 'error' THEN 'features' ELSE 'correlation' END FROM l
   UNION ALL SELECT recording_id, pixel_id, 'contrastive', CASE recording_id WHEN 'error' THEN l1 WHEN 'click' THEN l2 ELSE l3 END, CASE recording_id WHEN 'error' THEN 'features' WHEN 'click' THEN 'correlation' ELSE 'contrastive' END FROM l)
 SELECT *, CASE label WHEN -2 THEN 0 WHEN -1 THEN 1 ELSE label + 2 END AS map_value FROM m""",
+    "gra06_fallback": GT + f""",
+xy AS (SELECT *, pixel_id // {W} AS y, pixel_id % {W} AS x FROM px WHERE pixel_id < 60),
+ends AS (SELECT a.recording_id, a.pixel_id, CAST(count(*) AS INTEGER) AS n FROM xy a JOIN xy b ON a.recording_id = b.recording_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL)
+SELECT recording_id, pixel_id, CAST(CASE recording_id WHEN 'view' THEN 0 WHEN 'error' THEN pixel_id % 4 + 10 * coalesce(n, 0) WHEN 'click' THEN pixel_id % 3 + 10 * coalesce(n, 0) ELSE pixel_id % 2 + 10 * coalesce(n, 0) END AS INTEGER) AS label,
+  CASE recording_id WHEN 'view' THEN 'single' WHEN 'error' THEN 'density' WHEN 'click' THEN 'spectral' ELSE 'communities' END AS status FROM px LEFT JOIN ends USING (recording_id, pixel_id)""",
     "src04_companions": """WITH f AS (SELECT concat('in/_rec', doc_id % 50, '_/stack', doc_id % 3, '/frame_', doc_id, CASE doc_id % 4 WHEN 0 THEN '.tif' WHEN 1 THEN '.ETS' ELSE '.ets' END) AS path, CAST(n_chars AS BIGINT) AS length, concat('rec', doc_id % 50) AS recording_id FROM documents)
 SELECT recording_id, path, length FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY length DESC, path) AS k FROM f WHERE lower(path) LIKE '%.ets') WHERE k = 1""",
     "snk01_written": SQL["snk01_sidecars"],

@@ -414,6 +414,23 @@ def orc02_isolated(spark, d):
     return told.unionByName(failures.select(F.col("recording_id").alias("Filename"), F.col("error").alias("status")), allowMissingColumns=True)
 
 
+def gra06(spark, d):
+    """The first method that labels all pixels of a recording, else one cluster; here methods by the pixel's number that fail for some recordings, on the correlation graph."""
+    p = packed(spark, d, by_type=True)
+    edges = graphs.correlation_graph(p.where("pixel_id < 60"), WIDTH)
+
+    def by(k, *fails):
+        # a pixel's label is its remainder and how many neighbours it has
+        def run(active, edges):
+            ends = edges.select(*PIXEL[:1], F.explode(F.array("src", "dst")).alias("pixel_id")).groupBy(*PIXEL).agg(F.count("*").cast("int").alias("n"))
+            label = F.when(~F.col("recording_id").isin(*fails) | (F.col("pixel_id") % 9 > 0), F.col("pixel_id") % k + 10 * F.coalesce("n", F.lit(0)))
+            return active.join(ends, PIXEL, "left").select(*PIXEL, label.alias("label"))
+
+        return run
+
+    return clustering.first_that_holds(p, edges, {"communities": by(2, "click", "error", "view"), "spectral": by(3, "error", "view"), "density": by(4, "view")})
+
+
 def clu03(spark, d):
     """Labels by three methods in turn, where the second and the third fail for a recording each; the methods here are remainders of the pixel's number."""
     p = packed(spark, d, by_type=True).select(*PIXEL)
@@ -443,5 +460,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "smp02_labelled_sample": smp02_labelled, "ui05_selected_traces": ui05, "ui06_selected_metrics": ui06, "src06_timing": src06, "src07_batch_rate": src07, "snk01_sidecars": snk01, "prj02_duration": prj02,
     "snk04_metrics_sheet": snk04, "snk05_traces_sheet": snk05, "orc02_batch": orc02,
     "clu01_density_clusters": clu01, "clu02_k_means": clu02, "gra03_communities": gra03, "gra04_spectral": gra04, "gra05_density_graph": gra05,
-    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled, "orc01_front": orc01_front, "orc02_isolated": orc02_isolated, "clu03_inherited": clu03, "str01_beats": str01, "src04_companions": src04, "snk01_written": snk01_written, "snk06_batch_written": snk06,
+    "nn03_contrastive_loss": nn03, "nn04_train_encoders": nn04, "nn05_embedding_graph": nn05, "orc01_analysis": orc01, "orc02_sampled_batch": orc02_sampled, "orc01_front": orc01_front, "orc02_isolated": orc02_isolated, "clu03_inherited": clu03, "gra06_fallback": gra06, "str01_beats": str01, "src04_companions": src04, "snk01_written": snk01_written, "snk06_batch_written": snk06,
 }

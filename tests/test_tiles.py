@@ -105,3 +105,22 @@ def test_failed_methods_leave_the_labels_before(spark):
     second = pixels.where("recording_id <> 'b'").select("*", F.lit(1).alias("label"))
     out = {(r["recording_id"], r["method"]): (r["label"], r["map_value"], r["status"]) for r in analysis.cascade(pixels, [("one", first), ("two", second)]).collect()}
     assert out == {("a", "one"): (-2, 0, "none"), ("b", "one"): (7, 9, "one"), ("c", "one"): (7, 9, "one"), ("a", "two"): (1, 3, "two"), ("b", "two"): (7, 9, "one"), ("c", "two"): (1, 3, "two")}
+
+
+def test_a_later_method_labels_what_an_earlier_one_cannot(spark):
+    from pulsegrid.operators.clustering import first_that_holds
+
+    active = spark.createDataFrame([(r, p) for r in "abc" for p in range(4)], "recording_id string, pixel_id int")
+    edges = spark.createDataFrame([(r, 0, 1, 0.9) for r in "abc"], "recording_id string, src int, dst int, weight double")
+    seen = []
+
+    def fails_for(name, *bad):
+        def run(pixels, links):
+            seen.append((name, sorted(r[0] for r in links.select("recording_id").distinct().collect())))
+            return pixels.select("*", F.when(~F.col("recording_id").isin(*bad) | (F.col("pixel_id") > 0), F.lit(len(seen))).alias("label"))
+
+        return run
+
+    got = {(r["recording_id"], r["label"], r["status"]) for r in first_that_holds(active, edges, {"x": fails_for("x", "b", "c"), "y": fails_for("y", "c")}).collect()}
+    assert got == {("a", 1, "x"), ("b", 2, "y"), ("c", 0, "single")} and seen == [("x", ["a", "b", "c"]), ("y", ["b", "c"])]
+    assert {r["status"] for r in first_that_holds(active, edges).collect()} == {"communities"}
