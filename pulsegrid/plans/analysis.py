@@ -86,7 +86,7 @@ def analyse(signals: DataFrame, grid: Grid, model: str = "Single Exp", epochs: i
     packed = cut(pack(scalar.sanitise(baseline.corrected(good, grid.frames, model))))
     corrected = unpack(packed, grid)
     filtered = cut(bandpass.bandpass(packed, grid.fps))
-    maps = activity.pulsatility(filtered.select(*PIXEL, F.explode("v").alias("v")))
+    maps = cut(activity.pulsatility(filtered.select(*PIXEL, F.explode("v").alias("v"))))
     mask = cut(activity.activity_mask(maps))
     trace = activity.reference_trace(corrected, mask)
     beats = cut(activity.beats(trace, grid.fps))
@@ -114,9 +114,9 @@ def batch(signals: DataFrame, grid: Grid, samples: int = 10, seed: int | None =
     Without a seed the heaviest pixels are taken. Recordings without an active pixel have no row.
     """
     good, failures = sound(signals)
-    packed = pack(scalar.sanitise(baseline.corrected(good, grid.frames, "Boundary")))
-    filtered = bandpass.bandpass(packed, grid.fps)
-    mask = activity.activity_mask(activity.pulsatility(filtered.select(*PIXEL, F.explode("v").alias("v"))))
+    packed = cut(pack(scalar.sanitise(baseline.corrected(good, grid.frames, "Boundary"))))
+    maps = cut(activity.pulsatility(bandpass.bandpass(packed, grid.fps).select(*PIXEL, F.explode("v").alias("v"))))
+    mask = activity.activity_mask(maps)
     weights = sampling.amplitudes(packed.join(mask.where("active").select(*PIXEL), PIXEL))
     chosen = (sampling.heaviest(weights, samples) if seed is None else sampling.weighted_sample(weights, samples, seed)).select(*PIXEL)
     rows = scalar.coordinates(kinetics.single_transient(packed.join(chosen, PIXEL), grid.duration), grid.width)

@@ -29,7 +29,7 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     """Signals, packed signals, mask and beats of the recording; what several branches read is written once."""
     p = cut(packed(spark, sf_dir))
     s = unpack(p)
-    mask = cut(activity.activity_mask(activity.pulsatility(s)))
+    mask = cut(activity.activity_mask(cut(activity.pulsatility(s))))
     return s, p, mask, activity.beats(activity.reference_trace(s, mask), FPS)
 
 
@@ -157,7 +157,7 @@ def _filtered(spark, d):
     """Packed signals, the same filtered, and the mask of the filtered ones' variance."""
     p = cut(packed(spark, d))
     f = cut(bandpass.bandpass(p, FPS))
-    return p, f, activity.activity_mask(activity.pulsatility(f.select(*PIXEL, F.explode("v").alias("v"))))
+    return p, f, cut(activity.activity_mask(cut(activity.pulsatility(f.select(*PIXEL, F.explode("v").alias("v"))))))
 
 
 def agg06_phase(spark, d):
@@ -334,7 +334,7 @@ def orc02(spark, d):
 
 def _active(spark, d):
     p = cut(packed(spark, d))
-    mask = cut(activity.activity_mask(activity.pulsatility(unpack(p))))
+    mask = cut(activity.activity_mask(cut(activity.pulsatility(unpack(p)))))
     return p, mask, p.join(mask.where("active").select(*PIXEL), PIXEL)
 
 
@@ -400,10 +400,10 @@ def orc02_sampled(spark, d):
 
 def orc01_front(spark, d):
     """Raw frames, a recording for each event type, to signals and the mask: tiles, normalised, blurred, binned."""
-    params = Params(bin_size=2, use_fps=True, value=FPS, sigma=0.8, tile=4)
+    params = Params(bin_size=2, use_fps=True, value=FPS, sigma=0.8, tile=8)
     pixels = scalar.coordinates(signals(spark, d, by_type=True), WIDTH).select("recording_id", "t", "y", "x", "v")
-    s = prepare(tiles.to_tiles(pixels, params.tile), FRAMES, 1, params)
-    return _rounded(activity.activity_mask(activity.pulsatility(s)).select(*PIXEL, "pulsatility", "active"), "pulsatility")
+    s = prepare(cut(tiles.to_tiles(pixels, params.tile)), FRAMES, 1, params)
+    return _rounded(activity.activity_mask(cut(activity.pulsatility(s))).select(*PIXEL, "pulsatility", "active"), "pulsatility")
 
 
 def orc02_isolated(spark, d):
