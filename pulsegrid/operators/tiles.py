@@ -112,13 +112,17 @@ def binned(tiles: DataFrame, size: int, block: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, t, ty, tx, height, width, pixels in zip(*(pdf[c] for c in (*KEY, "height", "width", "pixels")), strict=True):
+            out = []
+            for ty, tx, height, width, pixels in zip(*(pdf[c] for c in ("ty", "tx", "height", "width", "pixels")), strict=True):
                 h, w = min(size, height - ty * size), min(size, width - tx * size)
                 rows, columns = -(-h // block), -(-w // block)
                 full = np.zeros((rows * block, columns * block))
                 full[:h, :w] = np.asarray(pixels, float).reshape(h, w)
-                means = full.reshape(rows, block, columns, block).sum((1, 3)) / (block * block)
-                y, x = np.divmod(np.arange(rows * columns), columns)
-                yield pd.DataFrame({"recording_id": name, "t": t, "y": y + ty * size // block, "x": x + tx * size // block, "width": -(-width // block), "v": means.ravel()})
-
-    return tiles.mapInPandas(run, "recording_id string, t int, y int, x int, width int, v double")
+                out.append((full.reshape(rows, block, columns, block).sum((1, 3)) / (block * block)).ravel())
+            yield pdf.assign(pixels=out)
+
+    means = tiles.mapInPandas(run, TILES)
+    columns = F.ceil(F.least(F.lit(size), F.col("width") - F.col("tx") * size) / block).cast("int")
+    each = means.select(*KEY, F.ceil(F.col("width") / block).cast("int").alias("width"), columns.alias("columns"), F.posexplode("pixels").alias("i", "v"))
+    y, x = (F.col(t) * (size // block) + f for t, f in (("ty", F.floor(F.col("i") / F.col("columns")).cast("int")), ("tx", F.col("i") % F.col("columns"))))
+    return each.select("recording_id", "t", y.alias("y"), x.alias("x"), "width", "v")
