@@ -211,7 +211,7 @@ def number(turns: DataFrame) -> DataFrame:
     """
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     rows = Window.partitionBy("conv").orderBy(*order)
-    same = Window.partitionBy("conv", "role", "text").orderBy(F.col("turn").asc_nulls_first())
+    same = Window.partitionBy("conv", "role", "text").orderBy("row")
     named = turns.select(_conv(F.col("conv_id")).alias("conv"), "conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")))
     initial, end = F.substring("role", 1, 1), F.rtrim("text", F.lit(WHITE))
     numbered = named.select("*", F.row_number().over(rows).alias("row"), F.lag(initial).over(rows).alias("before"), F.lag("turn").over(rows).alias("turn_before"))
@@ -297,10 +297,10 @@ WITH RECURSIVE damaged AS (
       lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384)), 4294967295) % 20 AS kind
     FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations)) WHERE kind <> 0),
 counted AS (
-  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, lag(role[1]) OVER w || role[1] AS pair,
+  SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair,
     rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
   FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-turns AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM counted),
+turns AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM counted),
 steps(st, lead, sign, nxt) AS (VALUES ('S', '', 's', 'T'), ('S', '', 'u', 'A'), ('T', '', 'u', 'A'), ('U', '', 'u', 'A'), ('A', '', 'a', 'U'), ('S', 'I', 'a', 'U'), ('T', 'I', 'a', 'U'), ('U', 'I', 'a', 'U'), ('A', 'I', 'u', 'A')),
 options AS (
   SELECT t.conv_id, i, st, nxt, 3 * length(lead) + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN role[1] = sign THEN 0 ELSE 3 END AS price, lead || CASE WHEN role[1] = sign THEN 'K' ELSE 'R' END AS edit
