@@ -1,4 +1,4 @@
-"""Beats of pixels as their events arrive: open frames and the last closed ones are state, event-time timers close frames.
+"""Beats of pixels as their events arrive: open frames and the last closed ones are state, the watermark closes frames.
 
 A frame is a span of event time; its value is the mean of its events. A frame closes when the watermark passes its end, so late events within
 the watermark's delay still count, and later ones are dropped. A closed frame is a beat once ``apart`` frames on either side are known: none
@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,57 +24,54 @@ def numbered(events: DataFrame, origin: str, seconds: int) -> DataFrame:
     return events.select(F.col("user_id").cast("int").alias("pixel_id"), at.alias("at"), t.alias("t"), F.col("value").cast("double").alias("value"))
 
 
+def known_beats(held: list, last: int, frames: list, apart: int, rise: float) -> tuple[list, list]:
+    """The beats (t, v) that are known once ``frames`` (t, v) in order are, ``held`` being the frames up to ``last``; and what is held then."""
+    found, whole = [], 2 * apart + 1
+    for t, value in frames:
+        k = last
+        while k < t:
+            # inside a long gap the frames held are all empty, and none is a beat
+            k = k + 1 if k < last + whole else t
+            held = [*held, value if k == t else 0.0][-whole:]
+            if len(held) == whole:
+                middle, before, after = held[apart], held[:apart], held[apart + 1 :]
+                if middle >= max(before) and middle > max(after) and middle - min(before) >= rise:
+                    found.append((k - apart, middle))
+        last = max(last, t)
+    return found, held
+
+
 class Beats(StatefulProcessor):
-    """The state of one pixel."""
+    """The state of one pixel: the last closed frames."""
 
-    def __init__(self, origin_ms: int, frame_ms: int, apart: int, rise: float):
-        self.origin, self.frame, self.apart, self.rise = origin_ms, frame_ms, apart, rise
+    def __init__(self, apart: int, rise: float):
+        self.apart, self.rise = apart, rise
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "t int", "total double, n long")
         self.closed = handle.getValueState("closed", "last int, v array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for t, values in pdf.groupby("t")["value"]:
-                t = int(t)
-                total, n = self.open.getValue((t,)) if self.open.containsKey((t,)) else (0.0, 0)
-                self.open.updateValue((t,), (float(total + values.sum()), int(n + len(values))))
-                # late rows of a frame that is still open find its timer set; setting it again changes nothing
-                self.handle.registerTimer(self.origin + (t + 1) * self.frame)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        t = (expiredTimerInfo.getExpiryTimeInMs() - self.origin) // self.frame - 1
-        if self.open.containsKey((t,)):
-            total, n = self.open.getValue((t,))
-            self.open.removeKey((t,))
-            yield self.frame_known(key[0], t, total / n)
-
-    def frame_known(self, pixel: int, t: int, value: float) -> pd.DataFrame:
-        """The beats that are known once frame ``t`` is; the frames since the last one were empty."""
-        apart, found = self.apart, []
-        last, held = self.closed.get() if self.closed.exists() else (-1, [])
-        held = list(held)
-        # of a long gap only the first and the last frames can matter
-        for k in range(last + 1, t + 1):
-            held = [*held, value if k == t else 0.0][-(2 * apart + 1) :]
-            if len(held) == 2 * apart + 1:
-                middle, before, after = held[apart], held[:apart], held[apart + 1 :]
-                if middle >= max(before) and middle > max(after) and middle - min(before) >= self.rise:
-                    found.append((pixel, k - apart, middle))
-        self.closed.update((t, held))
-        return pd.DataFrame(found, columns=["pixel_id", "t", "v"]).astype({"pixel_id": "int32", "t": "int32", "v": "float64"})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        frames = sorted((r["t"], r["v"]) for r in rows)
+        last, held = self.closed.get() or (-1, [])
+        found, held = known_beats(list(held), last, frames, self.apart, self.rise)
+        self.closed.update((frames[-1][0], held))
+        return iter([Row(pixel_id=key[0], t=t, v=v) for t, v in found])
 
 
 def beats(events: DataFrame, origin: str, seconds: int, late: str, apart: int = 3, rise: float = 0.0) -> DataFrame:
-    """(pixel_id, t, v) of a stream of events (ts, user_id, value); needs the RocksDB state store."""
+    """(pixel_id, t, v) of a stream of events (ts, user_id, value); needs the RocksDB state store.
+
+    Open frames are a windowed aggregate, which tells a frame when the watermark passes its end; a pixel's function then runs once a batch over
+    the frames that closed.
+    """
     session = events.sparkSession
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    start = session.sql(f"SELECT unix_millis(timestamp'{origin}') AS ms").first()["ms"]
-    timed = numbered(events, origin, seconds).withWatermark("at", late)
-    return timed.groupBy("pixel_id").transformWithStateInPandas(Beats(start, seconds * 1000, apart, rise), BEATS, "append", "eventTime")
+    start = session.sql(f"SELECT unix_micros(timestamp'{origin}') AS us").first()["us"]
+    timed = numbered(events, origin, seconds).where("t >= 0").withWatermark("at", late)
+    frame = F.window("at", f"{seconds} seconds", startTime=f"{start % (seconds * 1_000_000)} microseconds")
+    means = timed.groupBy(frame.alias("frame"), "pixel_id").agg(F.avg("value").alias("v"))
+    t = ((F.unix_micros("frame.start") - start) / (seconds * 1_000_000)).cast("int")
+    return means.select("pixel_id", t.alias("t"), "v").groupBy("pixel_id").transformWithState(Beats(apart, rise), BEATS, "append", "none")
 
 
 def batch_beats(events: DataFrame, origin: str, seconds: int, until: int, apart: int = 3, rise: float = 0.0) -> DataFrame:

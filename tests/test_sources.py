@@ -146,6 +146,19 @@ def test_stream_beats_equal_batch_beats_and_late_rows_are_dropped(spark, tmp_pat
     assert go() == sorted(map(tuple, beats.batch_beats(made, origin, hour, 76).collect()))
 
 
+def test_a_stream_works_once_a_pixel_and_not_once_a_frame(spark):
+    from pulsegrid.streaming import beats
+
+    # frames that close together go in one step, and a long gap is not walked through
+    assert beats.known_beats([], -1, [(3, 1.0), (10**9, 2.0), (10**9 + 4, 0.5)], 3, 0.0)[0] == [(3, 1.0), (10**9, 2.0)]
+    one = beats.known_beats([], -1, [(t, float(t * 7 % 11)) for t in range(40)], 3, 0.0)
+    held, last, found = [], -1, []
+    for t in range(40):
+        more, held = beats.known_beats(held, last, [(t, float(t * 7 % 11))], 3, 0.0)
+        last, found = t, found + more
+    assert (found, held) == one and found
+
+
 def test_listing_reads_no_contents(spark, tmp_path):
     for name, size in (("_a_/stack1/frame.ets", 10), ("_a_/stack2/frame.ETS", 20), ("_b_/x.ets", 5), ("_b_/y.tif", 50), ("plain/z.ets", 99)):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
