@@ -43,16 +43,6 @@ def blur(frames: DataFrame, sigma: float | None = None) -> DataFrame:
     return frames.select("recording_id", "t", "height", "width", "pixels").mapInPandas(run, "recording_id string, t int, height int, width int, pixels array<double>")
 
 
-def to_frames(signals: DataFrame, width: int) -> DataFrame:
-    """Frames as arrays of pixels in row order; the last row is filled up with zeros."""
-    known = F.map_from_entries(F.collect_list(F.struct("pixel_id", "v")))
-    frames = signals.groupBy("recording_id", "t").agg(known.alias("known"), F.max("pixel_id").alias("last"))
-    height = (F.floor(F.col("last") / width) + 1).cast("int")
-    frames = frames.select("recording_id", "t", height.alias("height"), F.lit(width).alias("width"), "known")
-    pixels = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda i: F.coalesce(F.element_at("known", i), F.lit(0.0)))
-    return frames.select("recording_id", "t", "height", "width", pixels.alias("pixels"))
-
-
 def block_mean(pixels: DataFrame, size: int) -> DataFrame:
     """Means of ``size`` x ``size`` blocks of (recording_id, t, y, x, v); blocks over the edge are filled up with zeros."""
     by, bx = (F.floor(F.col(c) / size).cast("int").alias(f"b{c}") for c in "yx")

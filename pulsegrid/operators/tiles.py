@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
 from .spatial import gaussian_weights
@@ -22,18 +23,39 @@ KEY = ["recording_id", "t", "ty", "tx"]
 TILES = "recording_id string, t int, ty int, tx int, height int, width int, pixels array<double>"
 
 
-def to_tiles(pixels: DataFrame, size: int) -> DataFrame:
-    """Tiles of (recording_id, t, y, x, v); a pixel without a row is 0."""
-    frames = pixels.groupBy("recording_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def scattered(places: pd.Series, values: pd.Series, rows: pd.Series, columns: pd.Series, size: pd.Series) -> pd.Series:
+    """Tiles in row order of ``values`` at ``places`` (row times ``size`` and column); 0 elsewhere."""
+    out = []
+    for at, v, h, w, n in zip(places, values, rows, columns, size, strict=True):
+        tile = np.zeros(h * w)
+        if at is not None:
+            at = np.asarray(at, np.int64)
+            tile[at // n * w + at % n] = v
+        out.append(tile)
+    return pd.Series(out)
+
+
+def to_tiles(pixels: DataFrame, size: int, width: int | None = None) -> DataFrame:
+    """Tiles of (recording_id, t, y, x, v); a pixel without a row is 0. ``width`` is the frames', by default up to a recording's last column with a row."""
+    wide = F.max("x") + 1 if width is None else F.lit(width)
+    frames = pixels.groupBy("recording_id").agg((F.max("y") + 1).cast("int").alias("height"), wide.cast("int").alias("width"))
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / size).cast("int")))
     grid = pixels.select("recording_id", "t").distinct().join(frames, "recording_id").withColumn("ty", axis("height")).withColumn("tx", axis("width"))
     local = lambda c: F.floor(F.col(c) / size).cast("int")
-    cells = pixels.select("recording_id", "t", local("y").alias("ty"), local("x").alias("tx"), F.struct(((F.col("y") % size) * size + F.col("x") % size).cast("int").alias("i"), "v").alias("cell"))
-    known = cells.groupBy(*KEY).agg(F.map_from_entries(F.collect_list("cell")).alias("known"))
+    place = ((F.col("y") % size) * size + F.col("x") % size).cast("int")
+    cells = pixels.select("recording_id", "t", local("y").alias("ty"), local("x").alias("tx"), F.struct(place.alias("i"), F.coalesce("v", F.lit(0.0)).alias("v")).alias("cell"))
+    known = cells.groupBy(*KEY).agg(F.collect_list("cell").alias("known"))
     rows, columns = (F.least(F.lit(size), F.col(n) - F.col(t) * size) for n, t in (("height", "ty"), ("width", "tx")))
-    places = F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda y: F.transform(F.sequence(F.lit(0), columns - 1), lambda x: y * size + x)))
-    value = F.when(F.col("known").isNull(), F.transform(places, lambda i: F.lit(0.0))).otherwise(F.transform(places, lambda i: F.coalesce(F.element_at("known", i), F.lit(0.0))))
-    return grid.join(known, KEY, "left").select(*KEY, "height", "width", value.alias("pixels"))
+    return grid.join(known, KEY, "left").select(*KEY, "height", "width", scattered("known.i", "known.v", rows, columns, F.lit(size)).alias("pixels"))
+
+
+def pixels_of(tiles: DataFrame, size: int) -> DataFrame:
+    """(recording_id, t, v, y, x) of tiles."""
+    wide = F.least(F.lit(size), F.col("width") - F.col("tx") * size)
+    each = tiles.select(*KEY, wide.alias("wide"), F.posexplode("pixels").alias("i", "v"))
+    y, x = F.col("ty") * size + F.floor(F.col("i") / F.col("wide")).cast("int"), F.col("tx") * size + F.col("i") % F.col("wide")
+    return each.select("recording_id", "t", "v", y.cast("int").alias("y"), x.cast("int").alias("x"))
 
 
 def frames_to_tiles(frames: DataFrame, size: int) -> DataFrame:

@@ -65,9 +65,9 @@ def prj10(spark, d):
 
 
 def stn01(spark, d):
-    frames = spatial.blur(spatial.to_frames(signals(spark, d), WIDTH), 0.8)
-    long = frames.select("recording_id", "t", F.posexplode("pixels").alias("pixel_id", "v"))
-    return _rounded(scalar.coordinates(long, WIDTH).drop("pixel_id"), "v")
+    # frames grow with the users, so they are blurred as tiles
+    cut_up = tiles.to_tiles(scalar.coordinates(signals(spark, d), WIDTH).select("recording_id", "t", "y", "x", "v"), 64, WIDTH)
+    return _rounded(tiles.pixels_of(tiles.blur(cut_up, 64, 0.8), 64), "v")
 
 
 def stn02(spark, d):

@@ -124,3 +124,15 @@ def test_a_later_method_labels_what_an_earlier_one_cannot(spark):
     got = {(r["recording_id"], r["label"], r["status"]) for r in first_that_holds(active, edges, {"x": fails_for("x", "b", "c"), "y": fails_for("y", "c")}).collect()}
     assert got == {("a", 1, "x"), ("b", 2, "y"), ("c", 0, "single")} and seen == [("x", ["a", "b", "c"]), ("y", ["b", "c"])]
     assert {r["status"] for r in first_that_holds(active, edges).collect()} == {"communities"}
+
+
+def test_pixels_come_back_from_tiles_of_any_number(spark):
+    # 3 frames of 40 x 15 of which the last column and a row are empty
+    made = [("r", t, y, x, float(t + y * 100 + x)) for t in range(3) for y in range(40) for x in range(14) if y != 7]
+    cut = tiles.to_tiles(spark.createDataFrame(made, "recording_id string, t int, y int, x int, v double"), 16, 15)
+    assert max(len(r["pixels"]) for r in cut.collect()) == 16 * 15
+    got = {(r["t"], r["y"], r["x"]): r["v"] for r in tiles.pixels_of(cut, 16).collect()}
+    want = {(t, y, x): 0.0 for t in range(3) for y in range(40) for x in range(15)} | {(t, y, x): v for _, t, y, x, v in made}
+    assert got == want
+    # a value's place is found by its number, not by a walk through the tile's map
+    assert "element_at" not in cut._jdf.queryExecution().analyzed().toString()
