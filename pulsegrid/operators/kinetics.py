@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.arrays import argmin, gaps, indexes, last_where, let, median, part, time_at_level, time_of
 from ..functions.peaks import local_maxima, prominent
@@ -56,30 +59,46 @@ def single_transient(packed: DataFrame, duration: float) -> DataFrame:
     )
 
 
-def decay_tau(v: Column, first: Column, end: Column, base: Column, amp: Column, step: float | Column) -> Column:
+def tau_of(times: list, shares: list) -> float | None:
+    """Milliseconds of the decay of ``shares`` at ``times`` in seconds, or null; see ``decay_tau``.
+
+    One pass from the first point on, a product and its sum rounded once, as a database's regr_slope goes: where a line hardly falls, the
+    last digits of its slope are the time constant's first.
+    """
+    n, mt, my, both, spread = 0, 0.0, 0.0, 0.0, 0.0
+    for t, share in zip(times, shares, strict=True):
+        n, y, dt, before = n + 1, math.log(share), t - mt, mt
+        mt += dt / n
+        my += (y - my) / n
+        both = math.fma(dt, y - my, both)
+        spread += (t - mt) * (t - before)
+    if n < 4 or not spread:
+        return None
+    slope = (both / n) / (spread / n)
+    return -1000 / slope if slope < 0 else None
+
+
+@arrow_udf(T.DoubleType())
+def fitted_tau(times: pa.Array, shares: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else tau_of(t, s) for t, s in zip(times.to_pylist(), shares.to_pylist(), strict=True)], pa.float64())
+
+
+def decay_tau(v: Column, first: Column, end: Column, base: Column, amp: Column, n: Column, duration: Column | float) -> Column:
     """Milliseconds of an exponential decay: -1 over the slope of log(y) over time, y the share of the amplitude left, between 5 and 95 %.
 
     Null for under 5 frames, under 4 of them in between, a tiny amplitude, or a slope that doesn't fall.
     """
     share = lambda i: (F.get(v, i) - base) / amp
-    points = F.transform(F.filter(indexes(first, end), lambda i: (share(i) > 0.05) & (share(i) < 0.95)), lambda i: F.struct((i * step).alias("t"), F.ln(share(i)).alias("y")))
-    total = lambda ps, f: F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
-    mean = lambda ps, k: total(ps, lambda p: p[k]) / F.size(ps)
-
-    def slope(ps: Column) -> Column:
-        spread = lambda t: F.nullif(total(ps, lambda p: (p["t"] - t) * (p["t"] - t)), F.lit(0.0))
-        found = let(mean(ps, "t"), lambda t: let(mean(ps, "y"), lambda y: total(ps, lambda p: (p["t"] - t) * (p["y"] - y)) / spread(t)))
-        return F.when(F.size(ps) >= 4, found)
-
-    fitted = let(points, slope)
-    return let(F.when((end - first >= 5) & (amp >= 1e-9), fitted), lambda s: F.when(s < 0, -1000 / s))
+    until = F.when((end - first >= 5) & (amp >= 1e-9), end).otherwise(first)
+    kept = F.filter(indexes(first, until), lambda i: (share(i) > 0.05) & (share(i) < 0.95))
+    return fitted_tau(F.transform(kept, lambda i: time_of(i, n, duration)), F.transform(kept, share))
 
 
 def taus(packed: DataFrame, duration: float) -> DataFrame:
     """(pixel, tau_ms) of the decay from each signal's highest frame (the first of equals) to its end."""
     v, n = F.col("v"), F.size("v")
     known = packed.withColumns({"peak": (F.array_position(v, F.array_max(v)) - 1).cast("int"), "base": F.array_min(v), "amp": span(v)})
-    return known.select(*PIXEL, decay_tau(v, F.col("peak"), n, F.col("base"), F.col("amp"), duration / F.greatest(n - 1, F.lit(1))).alias("tau_ms"))
+    return known.select(*PIXEL, decay_tau(v, F.col("peak"), n, F.col("base"), F.col("amp"), n, duration).alias("tau_ms"))
 
 
 def beat_averaged(packed: DataFrame, beats: DataFrame, duration: float) -> DataFrame:
@@ -102,7 +121,7 @@ def beat_averaged(packed: DataFrame, beats: DataFrame, duration: float) -> DataF
     until = F.least(following, stop)
     each = each.withColumn("end", F.when(following.isNotNull() & (until - peak > 1), F.least(stop, argmin(v, peak, until) + 1)).otherwise(stop))
     end, base, amp = F.col("end"), F.col("base"), F.col("amp")
-    each = each.withColumn("tau", decay_tau(v, peak, end, base, amp, duration / F.greatest(n - 1, F.lit(1))))
+    each = each.withColumn("tau", decay_tau(v, peak, end, base, amp, n, duration))
     rise = {f"r{k}": time_at_level(v, start, peak + 1, base + k / 100 * amp, n, duration, True) for k in (10, 50, 90)}
     fall = {f"d{k}": time_at_level(v, peak, end, base + k / 100 * amp, n, duration, False) for k in (5, 10, 50, 90)}
     each = each.withColumns(rise).withColumns(fall)
