@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.plans.oracle import SQL
 from pulsegrid.plans.queries import QUERIES
@@ -56,3 +57,30 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["recording_id", "pixel_id", "active"]
+
+
+def test_means_are_the_same_however_the_events_are_cut(spark, tmp_path):
+    import functools
+
+    from pulsegrid.plans.recording import signals
+
+    # sums of tenths end in other digits in another order
+    values = [(0.1 * k) ** 3 for k in range(1, 41)]
+    made = spark.createDataFrame([(i, 3, "view", v) for i, v in enumerate(values)] + [(1, 4, "view", None)], "k int, user_id long, event_type string, value double")
+    made = made.select("user_id", "event_type", "value", F.expr("timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, k * 7)").alias("ts"))
+    want = functools.reduce(lambda a, b: a + b, values, 0.0) / len(values)
+    for name, rows in (("up", made.orderBy("ts").coalesce(1)), ("down", made.orderBy(F.desc("ts")).coalesce(1)), ("many", made.repartition(7))):
+        rows.write.parquet(str(tmp_path / name / "events.parquet"))
+        got = {(r["pixel_id"], r["t"]): r["v"] for r in signals(spark, str(tmp_path / name)).collect()}
+        assert len(got) == 120 and got[3, 2] == want and got[4, 2] == 0.0, name
+
+
+def test_a_decay_that_hardly_falls_has_the_time_constant_of_the_sql(db):
+    from pulsegrid.operators.kinetics import tau_of
+
+    for k in range(200):
+        random = np.random.default_rng(k)
+        t = [float(i) * 6.0 / 59 for i in np.sort(random.choice(60, 8, replace=False))]
+        y = (0.5 + 1e-9 * random.standard_normal(8)).tolist()
+        got = db.execute("SELECT regr_slope(ln(y), t) FROM (SELECT unnest(?) AS t, unnest(?) AS y)", [t, y]).fetchone()[0]
+        assert tau_of(t, y) == (-1000 / got if got < 0 else None)
