@@ -751,3 +751,41 @@ def test_pipeline_keeps_clashing_columns_null_ids_and_empty_tables(spark, tmp_pa
         empty = spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0)
         empty.write.parquet(str(tmp_path / f"none/{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_mixing_is_fitted_on_all_words(spark):
+    rng = np.random.default_rng(3)
+    words = sorted({bytes(rng.integers(97, 103, rng.integers(2, 7)).astype(np.uint8)) for _ in range(500)})
+    code = lm_scoring.Code(np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256))
+    bit, _, slots = lm_scoring.bits_of(words, code)
+    table = [np.stack([np.bincount(s[bit == b], minlength=1 << n) for b in (0, 1)]).astype(np.float32) for s, n in zip(slots, lm_scoring.SLOT_BITS, strict=True)]
+    types = spark.createDataFrame([(w, 1, i % 40) for i, w in enumerate(words)], "word binary, c long, shard int")
+    weights, came_true = lm_scoring.fit_mixing(types, code, spark.sparkContext.broadcast(table), 40)
+    shards = {}
+    for r in types.select("word", F.pmod(F.hash("word"), F.lit(-(-len(words) // 40))).alias("shard")).collect():
+        shards.setdefault(r["shard"], []).append(bytes(r["word"]))
+    # the plain version: inputs with a word's own bits taken off, all shards in one process
+    total, n, one = 0, 0, 0
+    for some in shards.values():
+        some = [sorted(some)[i] for i in np.random.default_rng(11).permutation(len(some))]
+        bit, _, slots = lm_scoring.bits_of(some, code)
+        x, gate = lm_scoring.inputs(bit, slots, table, 1)
+        w = lm_scoring.learn_weights(bit, x, gate)
+        at = gate * lm_scoring.STEPS + lm_scoring.strength((w[gate] * x).sum(1))
+        total, n, one = total + w * len(bit), n + np.bincount(at, minlength=came_true.size), one + np.bincount(at, bit, minlength=came_true.size)
+    assert np.allclose(weights, total / n.sum(), atol=1e-4)
+    middle = lm_scoring.squash((np.arange(lm_scoring.STEPS) + 0.5 - lm_scoring.STEPS / 2) / 1.5)
+    plain = (one.reshape(came_true.shape) + 8 * middle) / (n.reshape(came_true.shape) + 8)
+    assert np.allclose(came_true, plain, atol=0.02)
+
+
+def test_topics_are_fitted_on_all_texts(spark):
+    texts = [" ".join(("alpha beta gamma", "один два три", "ka ki ku ke ko")[i % 3].split()[j % 3] + "xyz"[i % 2] for j in range(i, i + 9)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    vectors = lm_scoring.with_vectors(docs).cache()
+    centres = lm_scoring.fit_topics(vectors, 3, max_seeds=40)
+    x, of = lm_scoring.topics_of(sorted(bytes(r["x"]) for r in vectors.where("train").collect()), centres)
+    for k in set(of.tolist()):
+        mean = x[of == k].sum(0)
+        assert np.allclose(centres[k], mean / np.linalg.norm(mean), atol=1e-3)
+    vectors.unpersist()
