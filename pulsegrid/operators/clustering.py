@@ -20,6 +20,7 @@ from .scalar import standardise
 
 LABELS = "recording_id string, pixel_id int, label int, status string"
 RID = "recording_id"
+BLOCK = 1024  # pixels of a block
 
 
 # ---- by density
@@ -119,31 +120,89 @@ def _square(x: Column, c: Column) -> Column:
     return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
+def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of points to centres, dimensions added in order; what isn't a number is farthest."""
+    far = np.zeros((len(x), len(centres)))
+    for d in range(x.shape[1]):
+        far += (x[:, d, None] - centres[None, :, d]) ** 2
+    return np.where(np.isnan(far), np.inf, far)
+
+
 def k_means(points: DataFrame, dims: int, most: int, starts: int = 10, rounds: int = 100, seed: int = 42) -> DataFrame:
     """(recording_id, pixel_id, label) of ``points`` (recording_id, pixel_id, k, x of ``dims`` numbers), k up to ``most``.
 
     The best of several runs from starting points drawn by their squared distance; all runs of all recordings go on together, until
-    no centre moves or for ``rounds`` rounds. Fewer different points than k give as many clusters.
+    no centre moves or for ``rounds`` rounds. Fewer different points than k give as many clusters. Points lie in blocks of ``BLOCK``
+    pixels, one row each, so a round meets a block with the centres of all runs at once and sends on sums of the block.
     """
     key = [RID, "start"]
-    runs = points.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-
-    def drawn(step: int, weight: Column) -> Column:
-        chance = (F.xxhash64("pixel_id", "start", F.lit(step), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-        return F.when(weight > 0, -F.log(chance) / weight)
-
-    def told(centres: DataFrame) -> DataFrame:
-        far = F.transform("centres", lambda c: _square(F.col("x"), c))
-        return runs.drop("k").join(centres, key).withColumn("far", far).withColumn("least", F.array_min("far")).withColumn("of", F.array_position("far", F.col("least")).cast("int"))
+    row = F.struct("pixel_id", "x")
+    blocks = points.groupBy(RID, F.floor(F.col("pixel_id") / BLOCK).alias("block")).agg(F.max("k").alias("k"), F.array_sort(F.collect_list(row)).alias("rows"))
+    blocks = cut(blocks.select(RID, "block", "k", F.col("rows.pixel_id").alias("pixels"), F.flatten("rows.x").alias("x")))
+
+    def drawn(step: int) -> Column:
+        """For each run and pixel of a block -log of a chance that only they, the step and the seed decide."""
+        chance = lambda p, s: (F.xxhash64(p, s, F.lit(step), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
+        return F.transform("starts", lambda s: F.transform("pixels", lambda p: -F.log(chance(p, s))))
+
+    def met(centres: DataFrame) -> DataFrame:
+        """The blocks, each with the runs of its recording: their numbers and their centres."""
+        run = F.array_sort(F.collect_list(F.struct("start", F.flatten("centres").alias("flat"))))
+        runs = centres.groupBy(RID).agg(run.alias("runs")).select(RID, F.col("runs.start").alias("starts"), F.col("runs.flat").alias("flats"))
+        return blocks.select(RID, "pixels", "x").join(runs, RID)
+
+    def each(pdf: pd.DataFrame) -> Iterator[tuple]:
+        """(row, start, points, centres, squares) of each run of each block."""
+        for i in range(len(pdf)):
+            x = np.asarray(pdf["x"].iloc[i], float).reshape(-1, dims)
+            for j, start in enumerate(pdf["starts"].iloc[i]):
+                centres = np.asarray(pdf["flats"].iloc[i][j], float).reshape(-1, dims)
+                yield i, j, int(start), x, squares(x, centres)
+
+    def nearest_draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, j, start, x, far in each(pdf):
+                least = far.min(1)
+                draw = np.where(least > 0, np.asarray(pdf["draws"].iloc[i][j], float) / np.where(least > 0, least, 1.0), np.inf)
+                at = int(draw.argmin())
+                if np.isfinite(draw[at]):
+                    out.append((pdf[RID].iloc[i], start, draw[at], x[at]))
+            yield pd.DataFrame(out, columns=[*key, "draw", "x"])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, _, start, x, far in each(pdf):
+                of = far.argmin(1)
+                n = np.bincount(of, minlength=far.shape[1])
+                total = np.stack([np.bincount(of, x[:, d], far.shape[1]) for d in range(dims)], 1)
+                out += [(pdf[RID].iloc[i], start, c + 1, int(n[c]), total[c]) for c in np.flatnonzero(n)]
+            yield pd.DataFrame(out, columns=[*key, "of", "n", "total"])
+
+    def costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(pdf[RID].iloc[i], start, far.min(1).sum()) for i, _, start, _, far in each(pdf)], columns=[*key, "cost"])
 
-    centres = cut(runs.groupBy(key).agg(F.max("k").alias("k"), F.array(F.min_by("x", drawn(0, F.lit(1.0)))).alias("centres")))
+    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, _, _, _, far in each(pdf):
+                yield pd.DataFrame({RID: pdf[RID].iloc[i], "pixel_id": np.asarray(pdf["pixels"].iloc[i], np.int32), "label": far.argmin(1).astype(np.int32)})
+
+    # a run's first centre is the point of the smallest draw, all being equally likely
+    runs = blocks.withColumn("starts", F.sequence(F.lit(0), F.lit(starts - 1))).withColumn("draws", drawn(0))
+    least = F.transform("draws", lambda d: F.struct(F.array_min(d).alias("draw"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("at")))
+    firsts = runs.select(RID, "k", "x", F.posexplode(least).alias("start", "e")).select(*key, "k", "e.draw", F.slice("x", F.col("e.at") * dims + 1, dims).alias("x"))
+    centres = cut(firsts.groupBy(key).agg(F.max("k").alias("k"), F.array(F.min_by("x", "draw")).alias("centres")))
     for step in range(1, most):
-        more = told(centres).groupBy(key).agg(F.min_by("x", drawn(step, F.col("least"))).alias("more"))
+        draws = met(centres).withColumn("draws", drawn(step)).mapInPandas(nearest_draw, f"{RID} string, start int, draw double, x array<double>")
+        more = draws.groupBy(key).agg(F.min_by("x", "draw").alias("more"))
         grown = F.when((F.size("centres") < F.col("k")) & F.col("more").isNotNull(), F.concat("centres", F.array("more"))).otherwise(F.col("centres"))
-        centres = cut(centres.join(more, key).select(*key, "k", grown.alias("centres")), centres)
+        centres = cut(centres.join(more, key, "left").select(*key, "k", grown.alias("centres")), centres)
     table = centres
     for _ in range(rounds):
-        means = told(centres).groupBy(*key, "of").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("mean"))
+        found = met(centres).mapInPandas(sums, f"{RID} string, start int, of int, n long, total array<double>")
+        means = found.groupBy(*key, "of").agg(F.array(*[F.sum(F.col("total")[i]) / F.sum("n") for i in range(dims)]).alias("mean"))
         means = means.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("of", "mean"))).alias("means"))  # k entries
         moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("means", i + 1), c))
         after = cut(centres.join(means, key).select(*key, "k", moved.alias("centres"), F.col("centres").alias("was")), table)
@@ -151,8 +210,9 @@ def k_means(points: DataFrame, dims: int, most: int, starts: int = 10, rounds: i
         table, centres = after, after.drop("was")
         if still:
             break
-    best = told(centres).groupBy(key).agg(F.round(F.sum("least"), 9).alias("cost")).groupBy(RID).agg(F.min_by("start", F.struct("cost", "start")).alias("start"))
-    return told(centres.join(best, key, "left_semi")).select(RID, "pixel_id", (F.col("of") - 1).alias("label"))
+    cost = met(centres).mapInPandas(costs, f"{RID} string, start int, cost double").groupBy(key).agg(F.round(F.sum("cost"), 9).alias("cost"))
+    best = cost.groupBy(RID).agg(F.min_by("start", F.struct("cost", "start")).alias("start"))
+    return met(centres.join(best, key, "left_semi")).mapInPandas(labels, f"{RID} string, pixel_id int, label int")
 
 
 # ---- by a graph

@@ -241,6 +241,21 @@ def test_k_means_finds_blobs_of_each_recording(spark):
     assert of_pixels(found, "same") == [0] * 4
 
 
+def test_k_means_rounds_read_blocks_and_end_where_no_point_is_nearer_another_mean(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, written = 3000, []
+    x = rng.normal(0, 1, (n, 3)) + rng.integers(0, 4, (n, 1)) * 6
+    plain = clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df, *spent: written.append(plain(df, *spent)) or written[-1])
+    rows = [("r", i, 4, v.tolist()) for i, v in enumerate(x)]
+    found = clustering.k_means(spark.createDataFrame(rows, "recording_id string, pixel_id int, k int, x array<double>"), 3, 4)
+    labels = np.array(of_pixels(found))
+    # three blocks of points, and no table of points for each run
+    assert written[0].count() == -(-n // clustering.BLOCK) and set(written[0].columns) >= {"block", "pixels"}
+    means = np.stack([x[labels == c].mean(0) for c in range(4)])
+    assert (((x[:, None] - means) ** 2).sum(2).argmin(1) == labels).all()
+
+
 def test_few_or_flat_features(spark):
     assert clustering.density_labels(np.zeros((2, 5))).tolist() == [-2, -2]
     assert clustering.density_labels(np.ones((5, 5))).tolist() == [0] * 5
