@@ -275,48 +275,85 @@ def spectral(pixels: DataFrame, edges: DataFrame, most: int = 8, rounds: int = 4
     """(recording_id, pixel_id, label): k-means of the leading vectors of the normalised affinity, k a tenth of the pixels, 2 to ``most``.
 
     The vectors come from ``rounds`` rounds of orthogonal iteration: a product along the edges by a join, then a change of basis from
-    the ``most`` x ``most`` products of the vectors, one small matrix for each recording.
+    the ``most`` x ``most`` products of the vectors, one small matrix for each recording. Nodes lie in blocks of ``BLOCK`` pixels and edges in
+    blocks of two such; a round joins these and writes one table, and the change of basis is done where the next round reads it.
     """
     links = _both_ways(pixels, edges).withColumn("w", F.least("w", F.lit(1.0)))
     degree = links.groupBy(RID, "u").agg(F.sum("w").alias("degree"))
     of = {end: degree.toDF(RID, end, f"d_{end}") for end in "uv"}
-    links = cut(links.join(of["u"], [RID, "u"]).join(of["v"], [RID, "v"]).select(RID, "u", "v", (F.col("w") / F.sqrt(F.col("d_u") * F.col("d_v"))).alias("w")))
+    links = links.join(of["u"], [RID, "u"]).join(of["v"], [RID, "v"]).select(RID, "u", "v", (F.col("w") / F.sqrt(F.col("d_u") * F.col("d_v"))).alias("w"))
+    in_block = lambda c: F.floor(F.col(c) / BLOCK)
+    entry = F.array_sort(F.collect_list(F.struct("u", "v", "w"))).alias("e")
+    matrix = links.groupBy(RID, in_block("u").alias("to"), in_block("v").alias("block")).agg(entry)
+    matrix = cut(matrix.select(RID, "to", "block", F.col("e.u").alias("us"), F.col("e.v").alias("vs"), F.col("e.w").alias("ws")))
     start = F.array(*[F.xxhash64("u", F.lit(i), F.lit(seed)) / F.lit(float(1 << 63)) for i in range(most)])
     nodes = pixels.select(RID, F.col("pixel_id").cast("long").alias("u")).distinct()
-    vectors = cut(nodes.select(RID, "u", start.alias("x")))
+    rows = nodes.select(RID, in_block("u").alias("block"), F.struct("u", start.alias("x")).alias("row")).groupBy(RID, "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    vectors = cut(rows.select(RID, "block", F.col("rows.u").alias("ids"), F.flatten("rows.x").alias("x")))
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_vectors(flat) -> np.ndarray:
+        return np.asarray(flat, float).reshape(-1, most)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, some in pdf.groupby(RID):
-                x = np.stack(some["x"])
-                yield pd.DataFrame({RID: [name], "gram": [(x.T @ x).ravel()]})
+                yield pd.DataFrame({RID: [name], "gram": [np.sum(np.stack(some["gram"]), 0)]})
 
-    def basis(pdf: pd.DataFrame) -> pd.DataFrame:
+    @F.pandas_udf("array<double>")
+    def basis(grams: pd.Series) -> pd.Series:
         """The change of basis that makes the vectors orthogonal and of length one; directions that have vanished become zero."""
-        values, q = np.linalg.eigh(np.sum(np.stack(pdf["gram"]), 0).reshape(most, most))
-        good = values > max(values.max(), 1e-300) * 1e-13
-        turn = (q * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0))[:, ::-1]
-        return pd.DataFrame({RID: [pdf[RID].iloc[0]], "turn": [turn.ravel()]})
+        out = []
+        for some in grams:
+            values, q = np.linalg.eigh(as_vectors(some).reshape(-1, most, most).sum(0))
+            good = values > max(values.max(), 1e-300) * 1e-13
+            out.append((q * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0))[:, ::-1].ravel())
+        return pd.Series(out)
 
     @F.pandas_udf("array<double>")
     def rotate(x: pd.Series, turn: pd.Series) -> pd.Series:
-        return pd.Series(list(np.einsum("ni,nij->nj", np.stack(x), np.stack(turn).reshape(-1, most, most))))
+        return pd.Series([(as_vectors(a) @ as_vectors(t)).ravel() for a, t in zip(x, turn, strict=True)])
 
-    def rotated(v: DataFrame) -> DataFrame:
-        turns = v.select(RID, "x").mapInPandas(products, f"{RID} string, gram array<double>").groupBy(RID).applyInPandas(basis, f"{RID} string, turn array<double>")
-        return v.join(turns, RID).select(RID, "u", rotate("x", "turn").alias("x"))
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for ids, flat, us, vs, ws in zip(pdf["ids"], pdf["x"], pdf["us"], pdf["vs"], pdf["ws"], strict=True):
+                x = as_vectors(flat)[np.searchsorted(ids, vs)]
+                reached, at = np.unique(us, return_inverse=True)
+                out.append((reached, np.stack([np.bincount(at, ws * x[:, i], len(reached)) for i in range(most)], 1).ravel()))
+            yield pd.DataFrame({RID: pdf[RID], "block": pdf["to"], "us": [u for u, _ in out], "y": [y for _, y in out]})
 
-    for _ in range(rounds):
-        along = links.join(vectors.withColumnRenamed("u", "v"), [RID, "v"])
-        summed = along.groupBy(RID, "u").agg(F.array(*[F.sum(F.col("w") * F.col("x")[i]) for i in range(most)]).alias("y"))
+    def step(own: pd.DataFrame, products: pd.DataFrame) -> pd.DataFrame:
         # half of the vector itself stays, so that eigenvalues near -1 don't lead
-        step = F.array(*[F.col("x")[i] + F.coalesce(F.col("y")[i], F.lit(0.0)) for i in range(most)])
-        ahead = cut(vectors.join(summed, [RID, "u"], "left").select(RID, "u", step.alias("x")), vectors)
-        vectors = cut(rotated(ahead), ahead)
+        ids, x = own["ids"].iloc[0], as_vectors(own["x"].iloc[0])
+        y = np.zeros_like(x)
+        for us, flat in zip(products["us"], products["y"], strict=True):
+            y[np.searchsorted(ids, us)] += as_vectors(flat)
+        ahead = x + y
+        return pd.DataFrame({RID: own[RID], "block": own["block"], "ids": own["ids"], "x": [ahead.ravel()], "gram": [(ahead.T @ ahead).ravel()]})
+
+    def turned(v: DataFrame) -> DataFrame:
+        if "gram" not in v.columns:
+            return v
+        grams = v.select(RID, "gram").mapInPandas(added, f"{RID} string, gram array<double>")
+        turns = grams.groupBy(RID).agg(F.flatten(F.collect_list("gram")).alias("grams")).select(RID, basis("grams").alias("turn"))
+        return v.join(turns, RID).select(RID, "block", "ids", rotate("x", "turn").alias("x"))
+
+    for _ in range(rounds):
+        now = turned(vectors)
+        products = matrix.join(now, [RID, "block"]).mapInPandas(multiply, f"{RID} string, block long, us array<long>, y array<double>")
+        both = now.toDF(*now.columns).groupBy(RID, "block").cogroup(products.groupBy(RID, "block"))
+        vectors = cut(both.applyInPandas(step, f"{RID} string, block long, ids array<long>, x array<double>, gram array<double>"), vectors)
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, ids, flat in zip(pdf[RID], pdf["ids"], pdf["x"], strict=True):
+                yield pd.DataFrame({RID: name, "u": np.asarray(ids), "x": list(as_vectors(flat))})
+
+    found = turned(vectors).mapInPandas(apart, f"{RID} string, u long, x array<double>")
     k = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.count("*") / 10).cast("int")))
     ks = nodes.groupBy(RID).agg(k.alias("k"))
     lead = F.array(*[F.when(F.col("k") > i, F.col("x")[i] / F.sqrt(F.coalesce("degree", F.lit(1.0)))).otherwise(0.0) for i in range(most)])
-    points = vectors.join(ks, RID).join(degree, [RID, "u"], "left").select(RID, F.col("u").cast("int").alias("pixel_id"), "k", lead.alias("x"))
+    points = found.join(ks, RID).join(degree, [RID, "u"], "left").select(RID, F.col("u").cast("int").alias("pixel_id"), "k", lead.alias("x"))
     return k_means(cut(points), most, most, seed=seed)
 
 

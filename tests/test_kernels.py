@@ -231,6 +231,17 @@ def test_spectral_labels_part_two_cliques(spark):
     assert same_partition(of_pixels(found), [0] * 8 + [1] * 8)
 
 
+def test_spectral_rounds_write_one_table_of_blocks_and_labels_stay(spark, monkeypatch):
+    pairs = [(a, b, 1.0) for k in (0, 8) for a in range(k, k + 8) for b in range(a + 1, k + 8)]
+    pixels, links = graph(spark, [*pairs, (7, 8, 0.05)])
+    plain, written = clustering.cut, []
+    monkeypatch.setattr(clustering, "cut", lambda df, *spent: written.append(df.columns) or plain(df, *spent))
+    monkeypatch.setattr(clustering, "BLOCK", 3)  # edges within blocks and between them
+    found = clustering.spectral(pixels.where("recording_id = 'r' and pixel_id < 16"), links, rounds=12)
+    assert same_partition(of_pixels(found), [0] * 8 + [1] * 8)
+    assert sum("gram" in c for c in written) == 12 and sum("u" in c for c in written) == 0
+
+
 def test_k_means_finds_blobs_of_each_recording(spark):
     rng = np.random.default_rng(8)
     rows = [(r, i, 2, (rng.normal(0, 0.1, 2) + (i % 2) * far).tolist()) for r, far in (("r", 5.0), ("s", 50.0)) for i in range(20)]
