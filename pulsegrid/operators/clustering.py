@@ -9,6 +9,7 @@ Labels: -2 inactive, -1 noise, 0 and up a cluster. Every choice is fixed by a se
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,183 @@ BLOCK = 1024  # pixels of a block
 # ---- by density
 
 
+LEAF = 32  # points of a leaf, about
+
+
+class Boxes:
+    """Points halved along the widest side of their box until a leaf has about ``LEAF``: boxes of each level, and leaves as rows of point numbers."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        self.x, self.levels = x, max(int(np.ceil(np.log2(n / LEAF))), 0)
+        self.order, self.at = np.arange(n), [n * np.arange((1 << d) + 1) // (1 << d) for d in range(self.levels + 1)]
+        for d in range(self.levels):
+            for k in range(1 << d):
+                part = self.order[self.at[d][k] : self.at[d][k + 1]]
+                side = x[part, np.ptp(x[part], axis=0).argmax()]
+                part[:] = part[np.argpartition(side, self.at[d + 1][2 * k + 1] - self.at[d][k])]
+        laid = x[self.order]
+        self.low = [np.minimum.reduceat(laid, at[:-1], axis=0) for at in self.at]
+        self.high = [np.maximum.reduceat(laid, at[:-1], axis=0) for at in self.at]
+        first, size = self.at[-1][:-1, None], np.diff(self.at[-1])[:, None]
+        slot = np.arange(size.max())[None]
+        for a, b in zip(self.at[-1][:-1], self.at[-1][1:], strict=True):
+            self.order[a:b].sort()
+        self.leaves, self.empty = self.order[first + np.minimum(slot, size - 1)], slot >= size
+
+    def of(self, values: np.ndarray, how: np.ufunc) -> list[np.ndarray]:
+        """``how`` (a minimum or maximum) of the points' values in the boxes of each level."""
+        return [how.reduceat(values[self.order], at[:-1]) for at in self.at]
+
+    def searched(self, bound: Callable[[], np.ndarray], meet: Callable[[np.ndarray, np.ndarray, np.ndarray], None], least: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+        """``meet(p, q, distances)`` for points p, each once in a call, and rows q of the points of a leaf, nearest leaves first, unless these are farther
+        than the point's ``bound()``. ``least`` is a lower bound of every length at a point, and points and boxes of one class of ``of`` don't meet.
+        """
+        bounds, a, b = self.of(bound(), np.maximum), np.zeros(1, int), np.zeros(1, int)
+        floor = None if least is None else self.of(least, np.minimum)
+        ends = None if of is None else (self.of(of, np.minimum), self.of(of, np.maximum))
+        for d in range(self.levels + 1):
+            if d:
+                a, b = (2 * a[:, None] + [0, 0, 1, 1]).ravel(), (2 * b[:, None] + [0, 1, 0, 1]).ravel()
+            kept, far = [], []
+            for k in range(0, len(a), 1 << 20):
+                i, j = a[k : k + (1 << 20)], b[k : k + (1 << 20)]
+                gap = np.maximum(np.maximum(self.low[d][i] - self.high[d][j], self.low[d][j] - self.high[d][i]), 0)
+                length = np.sqrt((gap**2).sum(1)) * (1 - 1e-12)
+                if floor is not None:
+                    length = np.maximum(length, np.maximum(floor[d][i], floor[d][j]))
+                good = length <= bounds[d][i]
+                if ends is not None:
+                    good &= ~((ends[0][d][i] == ends[1][d][j]) & (ends[1][d][i] == ends[0][d][j]))
+                kept.append(k + np.flatnonzero(good))
+                far.append(length[good])
+            kept = np.concatenate(kept)
+            a, b, far = a[kept], b[kept], np.concatenate(far)
+        order = np.lexsort((b, far, a))
+        a, b, far = a[order], b[order], far[order]
+        turn = np.arange(len(a)) - np.searchsorted(a, a)
+        order = np.argsort(turn, kind="stable")
+        a, b, far, cuts = a[order], b[order], far[order], np.cumsum(np.bincount(turn))
+        for k, end in enumerate(cuts):
+            begin, now = cuts[k - 1] if k else 0, bound()
+            near = begin + np.flatnonzero(far[begin:end] <= self.of(now, np.maximum)[-1][a[begin:end]])
+            p, leaf = self.leaves[a[near]], np.broadcast_to(b[near, None], (len(near), self.leaves.shape[1]))
+            gap = sum(np.maximum(np.maximum(self.low[-1][leaf, c] - self.x[p, c], self.x[p, c] - self.high[-1][leaf, c]), 0) ** 2 for c in range(self.x.shape[1]))
+            good = ~self.empty[a[near]] & (np.sqrt(gap) * (1 - 1e-12) <= now[p])
+            if ends is not None:
+                good &= ~((ends[0][-1][leaf] == of[p]) & (ends[1][-1][leaf] == of[p]))
+            p, leaf = p[good], leaf[good]
+            for i in range(0, len(p), 1 << 15):
+                points, others = p[i : i + (1 << 15)], leaf[i : i + (1 << 15)]
+                q = self.leaves[others]
+                square = sum((self.x[points, c][:, None] - self.x[q, c]) ** 2 for c in range(self.x.shape[1]))
+                meet(points, q, np.where(self.empty[others], np.inf, np.sqrt(square)))
+
+
+def point_tree(x: np.ndarray, samples: int = 2) -> np.ndarray:
+    """The edges of ``spanning_tree`` for points, whose time isn't to the square of their number: equal points first meet in one, which takes the others on
+    at its own least length; the tree of the rest grows from all points at once (Boruvka), by search in boxes. Of equal lengths the lower numbers go first."""
+    n, samples = len(x), min(samples, len(x) - 1)
+    _, firsts, of, copies = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.argsort(np.argsort(firsts))
+    of, copies, firsts = rank[of.ravel()], copies[np.argsort(firsts)], np.sort(firsts)
+    boxes, m = Boxes(x[firsts]), len(firsts)
+
+    # the nearest different points, itself among them, and which they are
+    k, known = min(samples + 1, m), min(max(samples + 1, 6), m)
+    nearest, which = np.full((m, known), np.inf), np.zeros((m, known), int)
+
+    def gather(p: np.ndarray, q: np.ndarray, length: np.ndarray) -> None:
+        if length.shape[1] > known:
+            at = np.argpartition(length, known - 1, axis=1)[:, :known]
+            length, q = np.take_along_axis(length, at, 1), np.take_along_axis(q, at, 1)
+        both, those = np.concatenate([nearest[p], length], 1), np.concatenate([which[p], q], 1)
+        first = np.argsort(both, axis=1, kind="stable")[:, :known]
+        nearest[p], which[p] = np.take_along_axis(both, first, 1), np.take_along_axis(those, first, 1)
+
+    start = np.full(m, np.inf)  # a leaf's own points bound what is farther
+    for i in range(0, len(boxes.leaves), 2048):
+        leaf = np.arange(i, min(i + 2048, len(boxes.leaves)))
+        p = x[firsts][boxes.leaves[leaf]]
+        square = sum((p[:, :, None, c] - p[:, None, :, c]) ** 2 for c in range(p.shape[2]))
+        square = np.where(boxes.empty[leaf][:, None, :], np.inf, square)
+        if square.shape[2] >= known:
+            start[boxes.leaves[leaf]] = np.sqrt(np.partition(square, known - 1, axis=2)[:, :, known - 1])
+    boxes.searched(lambda: np.minimum(start, nearest[:, -1]), gather)
+    counts = np.where(np.isfinite(nearest), copies[which], 0)
+    core = nearest[np.arange(m), (np.cumsum(counts, 1) > samples).argmax(1)]
+
+    tree, group = [], np.arange(m)
+    while True:
+        groups = int(group.max()) + 1
+        if groups == 1:
+            break
+        best, ends = np.full(groups, np.inf), np.full((groups, 2), m)
+
+        def offer(p: np.ndarray, q: np.ndarray, length: np.ndarray, best=best, ends=ends, group=group) -> None:
+            use = length <= best[group[p]]
+            p, q, length = p[use], q[use], length[use]
+            low, high, g = np.minimum(p, q), np.maximum(p, q), group[p]
+            order = np.lexsort((high, low, length, g))
+            order = order[np.flatnonzero(np.diff(g[order], prepend=-1))]
+            g, told = g[order], np.stack([low[order], high[order]], 1)
+            less = (length[order] < best[g]) | ((length[order] == best[g]) & ((told[:, 0] < ends[g, 0]) | ((told[:, 0] == ends[g, 0]) & (told[:, 1] < ends[g, 1]))))
+            best[g[less]], ends[g[less]] = length[order][less], told[less]
+
+        def across(p: np.ndarray, q: np.ndarray, length: np.ndarray, best=best, group=group, offer=offer) -> None:
+            length = np.maximum(length, np.maximum(core[p][:, None], core[q]))
+            length = np.where(group[p][:, None] == group[q], np.inf, length)
+            at = length.argmin(1)[:, None]  # of equal ones the lowest number
+            length = np.take_along_axis(length, at, 1)[:, 0]
+            use = np.isfinite(length) & (length <= best[group[p]])
+            offer(p[use], np.take_along_axis(q, at, 1)[use, 0], length[use])
+
+        # neighbours in the order of the boxes give every group some way out, near points mostly a short one
+        p = np.concatenate([boxes.order[:-1], np.repeat(np.arange(m), known)])
+        q = np.concatenate([boxes.order[1:], np.where(np.isfinite(nearest), which, np.arange(m)[:, None]).ravel()])
+        apart = group[p] != group[q]
+        p, q = p[apart], q[apart]
+        length = np.maximum(np.sqrt(sum((x[firsts[p], c] - x[firsts[q], c]) ** 2 for c in range(x.shape[1]))), np.maximum(core[p], core[q]))
+        offer(p, q, length)
+        offer(q, p, length)
+        boxes.searched(lambda best=best, group=group: best[group], across, core, group)
+
+        found = np.unique(np.column_stack([ends, np.arange(groups)]), axis=0)
+        found = found[np.flatnonzero(np.diff(found[:, 0], prepend=-1) | np.diff(found[:, 1], prepend=-1))]
+        tree.append(np.column_stack([found[:, :2], best[found[:, 2]]]))
+        up = np.arange(groups)
+        pairs = group[found[:, :2].astype(int)]
+        while True:  # the least number spreads along the edges, halving the way each time
+            least = np.minimum(up[pairs[:, 0]], up[pairs[:, 1]])
+            after = up.copy()
+            for side in (0, 1):
+                np.minimum.at(after, up[pairs[:, side]], least)
+            after = after[after]
+            if (after == up).all():
+                break
+            up = after
+        group = np.unique(up[group], return_inverse=True)[1]
+
+    own = np.flatnonzero(firsts[of] != np.arange(n))
+    edges = np.concatenate([np.column_stack([firsts[t[:, :2].astype(int)], t[:, 2]]) for t in tree] + [np.column_stack([firsts[of[own]], own, core[of[own]]])])
+    # walked from the first point on, always along the shortest edge, as spanning_tree does
+    ends = np.concatenate([edges[:, 0], edges[:, 1]]).astype(int)
+    order = np.argsort(ends, kind="stable")
+    others, lengths = np.concatenate([edges[:, 1], edges[:, 0]]).astype(int)[order].tolist(), np.tile(edges[:, 2], 2)[order].tolist()
+    at = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+    inside, ahead, here, walked = [False] * n, [], 0, []
+    for turn in range(n - 1):
+        inside[here] = True
+        for i in range(at[here], at[here + 1]):
+            if not inside[others[i]]:
+                heappush(ahead, (lengths[i], others[i], turn, here))
+        length, nxt, _, source = heappop(ahead)
+        walked.append((source, nxt, length))
+        here = nxt
+    walked = np.array(walked).reshape(-1, 3)
+    return walked[np.argsort(walked[:, 2], kind="stable")]
+
+
 def spanning_tree(n: int, row: Callable[[int], np.ndarray], samples: int) -> np.ndarray:
     """(a, b, length) of the minimum spanning tree of mutual reachability, shortest edges first.
 
@@ -48,6 +226,11 @@ def spanning_tree(n: int, row: Callable[[int], np.ndarray], samples: int) -> np.
 
 def density_clusters(n: int, row: Callable[[int], np.ndarray], least: int, samples: int = 2) -> np.ndarray:
     """Labels of the clusters of most excess mass in the tree of points condensed to groups of ``least`` or more; -1 for noise."""
+    return condensed(n, spanning_tree(n, row, samples), least)
+
+
+def condensed(n: int, edges: np.ndarray, least: int) -> np.ndarray:
+    """The same of a tree's ``edges``, shortest first."""
     if n < 2:
         return np.full(n, -1)
     parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
@@ -59,7 +242,7 @@ def density_clusters(n: int, row: Callable[[int], np.ndarray], least: int, sampl
             x = parent[x]
         return x
 
-    for k, (a, b, length) in enumerate(spanning_tree(n, row, samples)):
+    for k, (a, b, length) in enumerate(edges):
         x, y, new = find(int(a)), find(int(b)), n + k
         parent[x] = parent[y] = new
         children[new] = (x, y, float(length))
@@ -384,7 +567,7 @@ def density_labels(features: np.ndarray) -> np.ndarray:
     if not good.any():
         return np.zeros(n, int)
     x = np.nan_to_num((features[:, good] - features[:, good].mean(0)) / std[good], nan=0.0, posinf=0.0, neginf=0.0)
-    return density_clusters(n, lambda i: np.sqrt(((x - x[i]) ** 2).sum(1)), max(3, n // 15))
+    return condensed(n, point_tree(x), max(3, n // 15))
 
 
 def graph_density_labels(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:

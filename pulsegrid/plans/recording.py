@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 
 @dataclass(frozen=True)
@@ -48,20 +52,7 @@ GRID = Grid()
 
 def signals(spark: SparkSession, sf_dir: str, grid: Grid = GRID, by_type: bool = False) -> DataFrame:
     """The grid of all events, or a recording for each event type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    half_days = (F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 2 + (F.hour("ts") >= 12).cast("int")).cast("int")
-    rec = F.col("event_type") if by_type else F.lit("events")
-    second = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int")
-    # sums go by time and not as tasks happen to end: with other last digits, frames of one height are no plateau or no equal peaks
-    key = [rec.alias("recording_id"), F.col("user_id").cast("int").alias("pixel_id"), half_days.alias("t")]
-    parts = events.groupBy(*key, second.alias("second")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("second", "total")))
-    total = F.aggregate(ordered, F.lit(0.0), lambda a, p: a + F.coalesce(p["total"], F.lit(0.0)))
-    means = parts.groupBy("recording_id", "pixel_id", "t").agg((total / F.nullif(F.sum("n"), F.lit(0))).alias("v"))
-    # one shuffle by pixel; the frames without events are filled in the packed array
-    known = means.groupBy("recording_id", "pixel_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "v"))).alias("known"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(grid.frames - 1)), lambda t: F.coalesce(F.element_at("known", t), F.lit(0.0)))
-    return known.select("recording_id", "pixel_id", F.posexplode(values).alias("t", "v")).select("recording_id", "pixel_id", "t", (F.col("t") * grid.duration / (grid.frames - 1)).alias("time_s"), "v")
+    return unpack(packed(spark, sf_dir, grid, by_type), grid)
 
 
 def pack(signals: DataFrame, value: str = "v") -> DataFrame:
@@ -76,8 +67,33 @@ def unpack(packed: DataFrame, grid: Grid = GRID, value: str = "v") -> DataFrame:
     return long.select("recording_id", "pixel_id", "t", (F.col("t") * grid.duration / (grid.frames - 1)).alias("time_s"), "v")
 
 
+def frame_means(parts: Column, frames: int) -> Column:
+    """The mean of each frame of ``parts`` (t, second, total, n), 0 in frames without a value; totals are added in their order."""
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(t: pa.Array, total: pa.Array, n: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(t)), t.value_lengths().to_numpy(zero_copy_only=False))
+        frame = t.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        inside = (frame >= 0) & (frame < frames)
+        at = row[inside] * frames + frame[inside]
+        sums, counts = (np.bincount(at, x.flatten().fill_null(0).to_numpy(zero_copy_only=False)[inside], len(t) * frames) for x in (total, n))
+        means = np.where(counts > 0, sums / np.where(counts > 0, counts, 1), 0.0)
+        return pa.ListArray.from_arrays(np.arange(0, len(means) + 1, frames, dtype=np.int32), means)
+
+    return run(parts["t"], parts["total"], parts["n"])
+
+
 def packed(spark: SparkSession, sf_dir: str, grid: Grid = GRID, by_type: bool = False) -> DataFrame:
-    return pack(signals(spark, sf_dir, grid, by_type))
+    """The same grid, packed. Events are dealt out by pixel once, so neither the means nor the arrays shuffle again."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    half_days = (F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 2 + (F.hour("ts") >= 12).cast("int")).cast("int")
+    rec = F.col("event_type") if by_type else F.lit("events")
+    second = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int")
+    # sums go by time and not as tasks happen to end: with other last digits, frames of one height are no plateau or no equal peaks
+    told = events.select(rec.alias("recording_id"), F.col("user_id").cast("int").alias("pixel_id"), half_days.alias("t"), second.alias("second"), "value")
+    parts = told.repartition("recording_id", "pixel_id").groupBy("recording_id", "pixel_id", "t", "second").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("t", "second", "total", "n")))
+    return parts.groupBy("recording_id", "pixel_id").agg(ordered.alias("parts")).select("recording_id", "pixel_id", frame_means(F.col("parts"), grid.frames).alias("v"))
 
 
 def auto_bin(height: Column, width: Column) -> Column:
