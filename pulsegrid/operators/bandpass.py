@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 from .scalar import PIXEL
 
+STACK = 1024  # signals filtered side by side, which bounds a task's memory
+
 
 def design(low: float, high: float, order: int = 4) -> np.ndarray:
     """Second-order sections (b0 b1 b2 1 a1 a2) of a digital band-pass; ``low`` and ``high`` are shares of the Nyquist rate."""
@@ -114,9 +116,10 @@ def bandpass(packed: DataFrame, fps: float) -> DataFrame:
             out = [np.asarray(v, float) for v in pdf["v"]]
             for n in {len(v) for v in out}:
                 rows = [i for i, v in enumerate(out) if len(v) == n and np.isfinite(v).all()]
-                if rows and n:
-                    for i, y in zip(rows, zero_phase(sections, np.stack([out[i] for i in rows])), strict=True):
-                        out[i] = y
+                for begin in range(0, len(rows) if n else 0, STACK):
+                    some = rows[begin : begin + STACK]
+                    for i, y in zip(some, zero_phase(sections, np.stack([out[i] for i in some])), strict=True):
+                        out[i] = y.copy()  # without the mirrored ends, which a view would keep
             yield pdf.assign(v=out)
 
     return packed.select(*PIXEL, "v").mapInPandas(run, "recording_id string, pixel_id int, v array<double>")

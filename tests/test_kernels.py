@@ -1,5 +1,7 @@
 """Kernels and array columns against plain versions and known answers."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -337,3 +339,21 @@ def test_density_of_many_points_does_not_grow_with_their_square():
     kinds = np.random.default_rng(6).normal(size=(390, 5))
     labels = clustering.density_labels(np.tile(kinds, (360, 1)))
     assert (labels.reshape(360, 390) == labels[:390]).all()
+
+
+def test_bandpass_memory_does_not_grow_with_the_rows_of_a_batch():
+    class Batches:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"recording_id": "r", "pixel_id": np.arange(10_000), "v": list(rng.normal(size=(10_000, 60)))})
+    tracemalloc.start()
+    (out,) = bandpass.bandpass(Batches(), 10.0)(iter([pdf]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # 60 MB when all rows were filtered at once
+    assert np.array_equal(np.stack(out["v"])[::999], bandpass.zero_phase(bandpass.design(*bandpass.band(10.0)), np.stack(pdf["v"])[::999]))
