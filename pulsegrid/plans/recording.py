@@ -1,8 +1,8 @@
 """The virtual recording: a signal grid built from the events table, and the packed form that operators read.
 
 Signals are rows (recording_id, pixel_id, t, time_s, v); packed signals have one row for each pixel with an array of its values in
-frame order. A pixel is a user, a frame half a day, a value the mean of the user's events in it and 0 without any. A mean's sum goes by
-seconds in order, 43,200 in a frame at most, so it is the same however the input is cut.
+frame order. A pixel is a user, a frame half a day, a value the mean of the user's events in it and 0 without any. A mean's sum goes event
+by event in the order of their ids (of their times where the table has no ids), so it is the same however the input is cut.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -67,20 +67,19 @@ def unpack(packed: DataFrame, grid: Grid = GRID, value: str = "v") -> DataFrame:
     return long.select("recording_id", "pixel_id", "t", (F.col("t") * grid.duration / (grid.frames - 1)).alias("time_s"), "v")
 
 
-def frame_means(parts: Column, frames: int) -> Column:
-    """The mean of each frame of ``parts`` (t, second, total, n), 0 in frames without a value; totals are added in their order."""
+def in_frames(means: Column, frames: int) -> Column:
+    """``means`` (t, v) as an array with a place for each frame, 0 in frames without a value."""
 
     @arrow_udf(T.ArrayType(T.DoubleType()))
-    def run(t: pa.Array, total: pa.Array, n: pa.Array) -> pa.Array:
+    def run(t: pa.Array, v: pa.Array) -> pa.Array:
         row = np.repeat(np.arange(len(t)), t.value_lengths().to_numpy(zero_copy_only=False))
         frame = t.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         inside = (frame >= 0) & (frame < frames)
-        at = row[inside] * frames + frame[inside]
-        sums, counts = (np.bincount(at, x.flatten().fill_null(0).to_numpy(zero_copy_only=False)[inside], len(t) * frames) for x in (total, n))
-        means = np.where(counts > 0, sums / np.where(counts > 0, counts, 1), 0.0)
-        return pa.ListArray.from_arrays(np.arange(0, len(means) + 1, frames, dtype=np.int32), means)
+        out = np.zeros(len(t) * frames)
+        out[row[inside] * frames + frame[inside]] = v.flatten().fill_null(0).to_numpy(zero_copy_only=False)[inside]
+        return pa.ListArray.from_arrays(np.arange(0, len(out) + 1, frames, dtype=np.int32), out)
 
-    return run(parts["t"], parts["total"], parts["n"])
+    return run(means["t"], means["v"])
 
 
 def packed(spark: SparkSession, sf_dir: str, grid: Grid = GRID, by_type: bool = False) -> DataFrame:
@@ -88,12 +87,13 @@ def packed(spark: SparkSession, sf_dir: str, grid: Grid = GRID, by_type: bool =
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     half_days = (F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 2 + (F.hour("ts") >= 12).cast("int")).cast("int")
     rec = F.col("event_type") if by_type else F.lit("events")
-    second = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("int")
-    # sums go by time and not as tasks happen to end: with other last digits, frames of one height are no plateau or no equal peaks
-    told = events.select(rec.alias("recording_id"), F.col("user_id").cast("int").alias("pixel_id"), half_days.alias("t"), second.alias("second"), "value")
-    parts = told.repartition("recording_id", "pixel_id").groupBy("recording_id", "pixel_id", "t", "second").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("t", "second", "total", "n")))
-    return parts.groupBy("recording_id", "pixel_id").agg(ordered.alias("parts")).select("recording_id", "pixel_id", frame_means(F.col("parts"), grid.frames).alias("v"))
+    # sums go event by event and not as tasks happen to end: with other last digits, frames of one height are no plateau or no equal peaks
+    order = [c for c in ("event_id", "ts", "value") if c in events.columns]
+    told = events.select(rec.alias("recording_id"), F.col("user_id").cast("int").alias("pixel_id"), half_days.alias("t"), *order)
+    frame = Window.partitionBy("recording_id", "pixel_id", "t").orderBy(*order)
+    sums = told.repartition("recording_id", "pixel_id").withColumns({"v": F.avg("value").over(frame.rowsBetween(Window.unboundedPreceding, 0)), "left": F.lead(F.lit(1)).over(frame)})
+    means = sums.where(F.col("left").isNull()).groupBy("recording_id", "pixel_id").agg(F.collect_list(F.struct("t", "v")).alias("means"))
+    return means.select("recording_id", "pixel_id", in_frames(F.col("means"), grid.frames).alias("v"))
 
 
 def auto_bin(height: Column, width: Column) -> Column:

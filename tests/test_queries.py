@@ -84,3 +84,17 @@ def test_a_decay_that_hardly_falls_has_the_time_constant_of_the_sql(db):
         y = (0.5 + 1e-9 * random.standard_normal(8)).tolist()
         got = db.execute("SELECT regr_slope(ln(y), t) FROM (SELECT unnest(?) AS t, unnest(?) AS y)", [t, y]).fetchone()[0]
         assert tau_of(t, y) == (-1000 / got if got < 0 else None)
+
+
+def test_means_of_events_of_one_second_are_those_of_the_sql(spark, tmp_path):
+    from pulsegrid.plans.oracle import grid
+    from pulsegrid.plans.recording import signals
+
+    # every event comes again with a new id, as in a copy with shifted keys: sums by second add the copies of an event first
+    made = spark.createDataFrame([(c * 90 + u * 3 + k, u, ((u * 37 + k * 53) % 997) / 100 + k, k, u) for c in range(20) for u in range(30) for k in range(3)], "event_id long, user_id long, value double, k int, u int")
+    at = F.expr("timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, k * 7, u)")
+    made.select("event_id", at.alias("ts"), "user_id", F.lit("view").alias("event_type"), "value").orderBy("event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    one = duckdb.connect()
+    one.execute(f"SET threads = 1; CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(p, t): v for p, t, v in one.execute(f"WITH {grid()} SELECT pixel_id, t, v FROM s").fetchall()}
+    assert {(r["pixel_id"], r["t"]): r["v"] for r in signals(spark, str(tmp_path)).collect()} == want
