@@ -98,3 +98,17 @@ def test_means_of_events_of_one_second_are_those_of_the_sql(spark, tmp_path):
     one.execute(f"SET threads = 1; CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
     want = {(p, t): v for p, t, v in one.execute(f"WITH {grid()} SELECT pixel_id, t, v FROM s").fetchall()}
     assert {(r["pixel_id"], r["t"]): r["v"] for r in signals(spark, str(tmp_path)).collect()} == want
+
+
+def test_prominences_of_frames_of_nearly_one_height_are_those_of_the_sql(spark, tmp_path):
+    # two frames hold the same values in another order, so their means' last digits tell a plateau from a peak
+    values = lambda u: [((u * 37 + k * 53) % 997) / 100 + k for k in range(3)]
+    rows = [(c * 1200 + u * 6 + f * 3 + k, u, values(u)[(k - f) % 3], 43200 * f + 7 * k) for c in range(20) for u in range(200) for f in range(2) for k in range(3)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, value double, s int")
+    at = F.expr("timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, 0, s)")
+    made.select("event_id", at.alias("ts"), "user_id", F.lit("view").alias("event_type"), "value").orderBy("event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    one = duckdb.connect()
+    one.execute(f"SET threads = 1; CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = one.execute(SQL["win07_prominence"]).df()
+    assert 0 < (want["t"] == 3).sum() < len(want)
+    same(QUERIES["win07_prominence"](spark, str(tmp_path)).toPandas(), want)
