@@ -789,3 +789,48 @@ def test_topics_are_fitted_on_all_texts(spark):
         mean = x[of == k].sum(0)
         assert np.allclose(centres[k], mean / np.linalg.norm(mean), atol=1e-3)
     vectors.unpersist()
+
+
+def test_runs_of_words_are_counted_in_all_training_texts(spark, texts):
+    from collections import defaultdict
+
+    rows = [(i, t, k % 3 > 0) for k, (i, t, _) in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string, train boolean")
+    vectors = lm_scoring.with_vectors(docs).cache()
+    vectors.count()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # blocks in parts
+    try:
+        unused = lm_scoring.unused_bits(40_000_000)  # as many buckets as that many tokens have
+        got = lm_scoring.with_grams(vectors, lm_scoring.count_grams(vectors, unused), unused).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    runs = lambda t: list(zip(["^", "^", *t[:-2]][: len(t)], ["^", *t[:-1]], t, strict=True))
+    told, counts = {}, [Counter(), Counter(), Counter()]
+    for _, t, train in [*rows, *rows[:9]]:
+        told[t] = runs([*lm_scoring.word_list(t or ""), b""])
+        for run in told[t] if train else []:
+            for n in range(3):
+                counts[n][run[2 - n :]] += 1
+    assert len(got) == len(rows) + 9
+    for r in got:
+        n = lm_scoring.wide(r["grams"], 3 * r["size"]).reshape(3, -1)
+        assert n.tolist() == [[counts[k][run[2 - k :]] for run in told[r["text"]]] for k in range(3)]
+    # so what follows a run has chances that add up to one
+    n, met, part = lm_scoring.in_order([r["grams"] for r in got], np.array([r["size"] for r in got]))
+    after = defaultdict(dict)
+    for run, a, b in zip([x for r in got for x in told[r["text"]]], part.T.tolist(), met.T.tolist(), strict=True):
+        for k in range(2):
+            if b[k]:
+                after[run[1 - k : 2]][run[2]] = a[k]
+    assert len(after) > 20 and np.allclose([sum(x.values()) for x in after.values()], 1)
+    vectors.unpersist()
+
+
+def test_word_order_counts(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    verse = [words[k] for k in rng.permutation(60)]
+    rows = [(k, " ".join(verse if k % 2 else rng.permutation(words)), True) for k in range(40)] + [(100, " ".join(verse), False), (101, " ".join(verse[::-1]), False)]
+    out = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
+    # the same words: without their order both had one score
+    assert out[100] > out[101] + 20
